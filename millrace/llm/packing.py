@@ -45,7 +45,7 @@ class CachedTokenizer:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-            new = list(set(parts) - known.keys())
+            new = [p for p in set(parts) if p not in known]
             for part, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
             return b"".join(map(known.__getitem__, parts))

@@ -97,8 +97,9 @@ def _count(path: str, most: int = 400_000):
                 except KeyError:
                     if len(known) > most:
                         known.clear()
-                    for w in set(words) - known.keys():
-                        known[w] = counter.count(w.decode("utf-8", "replace"))
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = counter.count(w.decode("utf-8", "replace"))
                     counts = list(map(known.__getitem__, words))
                 unknown = counts.count(0)
                 n_words.append(len(words))
