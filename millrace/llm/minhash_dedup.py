@@ -21,37 +21,61 @@ COORDINATES = 128
 MATCHES = 70
 #: Fixed size of the table of coordinate-value counts that orders a signature from rare to frequent.
 COUNT_SLOTS = 1 << 16
+#: The same for the shingles of documents that meet again.
+SHINGLE_SLOTS = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
 
 
-class Words:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: bytes | None, words: Words) -> np.ndarray:
+#: One random number per byte, 0 for the six blanks; a word's hash is a polynomial in _BASE over them.
+_BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_BASE = 0xD6E8FEB86659FD93
+_CHUNK = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2^64."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    return both[0], both[1]
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased."""
+    text, parts, at = (text or b"").lower(), [], 0
+    while at < len(text):
+        end = at + _CHUNK
+        while end < len(text) and _IN_WORD[text[end]]:
+            end += 1
+        a = np.frombuffer(text, np.uint8)[at:end]
+        at = end
+        inside = np.zeros(len(a) + 2, np.int8)
+        inside[1:-1] = _IN_WORD[a]
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, inverse = _powers(_CHUNK if len(a) <= _CHUNK else 1 << len(a).bit_length())
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_BYTE[a] * power[: len(a)], out=total[1:])
+        h = (total[last] - total[first]) * inverse[first]
+        h ^= h >> np.uint64(32)
+        h *= _FOLD
+        h ^= h >> np.uint64(29)
+        parts.append(h)
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; fewer words make one shingle, none make no shingle."""
-    split = (text or b"").lower().split()
-    if not split:
-        return np.empty(0, np.uint64)
-    h = words.hashes(split)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(SHINGLE_WORDS, len(h))
     s = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -92,11 +116,10 @@ def _elements(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for batch in batches:
         n, key, sig = [], [], []
         for text in batch.column(1).to_pylist():
-            s = shingle_set(text, words)
+            s = shingle_set(text)
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
@@ -116,7 +139,7 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
 
 
-def _post(counts: np.ndarray, prefix: int):
+def _post(counts, prefix: int):
     """Posts each signature under its `prefix` rarest coordinate-value pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +147,7 @@ def _post(counts: np.ndarray, prefix: int):
             for part in range(0, len(batch), 2000):
                 rows = batch.slice(part, 2000)
                 e = _elements(_matrix(rows.column(2)))
-                order = np.argsort(counts[(e % np.uint64(COUNT_SLOTS)).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
+                order = np.argsort(counts.value[(e % np.uint64(COUNT_SLOTS)).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
                 key = np.take_along_axis(e, order, axis=1).view(np.int64).ravel()
                 ids, n = (np.repeat(rows.column(i).to_numpy(zero_copy_only=False), order.shape[1]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n)], ["key", "id", "n"])
@@ -142,9 +165,51 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
+        for at in range(0, len(batch), 100):
+            part = batch.slice(at, 100)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SHINGLE_SLOTS, np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            counts += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(SHINGLE_SLOTS)).astype(np.int64), minlength=SHINGLE_SLOTS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+
+def _post_shingles(counts):
+    """Posts a set (id, component, shingles) under its rarest shingles.
+
+    Sets of n and m that pass have ceil(3/7 (n + m)) in common, which is ceil(3/4 n) or more, so they share one of the first
+    n - common + 1 of the one and m - common + 1 of the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, comps, ns, places = [], [], [], [], []
+            for i, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                n = len(s)
+                s = s[np.lexsort((s, counts.value[(s % np.uint64(SHINGLE_SLOTS)).astype(np.int64)]))[: n - (3 * n + 3) // 4 + 1]]
+                keys.append(s.view(np.int64))
+                places.append(np.arange(len(s)))
+                for x, v in ((ids, i), (comps, c), (ns, n)):
+                    x.append(np.full(len(s), v, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, comps, ns, places)], ["key", "id", "c", "n", "place"])
+
+    return run
+
+
+def _slot_counts(spark, counted: DataFrame, slots: int) -> np.ndarray:
+    """A table of fixed size on the driver."""
+    counts = np.zeros(slots, np.int64)
+    for slot, n in counted.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[slot] = n
+    return spark.sparkContext.broadcast(counts)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Signatures of 128 coordinates over the whole text; equal shingle sets form a class with one representative.
     2. A signature agreeing with another in MATCHES coordinates shares a pair among its 128 - MATCHES + 1 first
        ones in any common order; from rare to frequent, pairs that many documents share are skipped.
-    3. In each posting list all members meet the smallest first; confirmed links give components, and
-       only pairs of a list that lie in different components meet afterwards, so that a large group of near
-       copies costs one pair a member and yet no link between two components is lost.
-    4. Candidates need matching sizes, then MATCHES agreeing coordinates, then the similarity of the full sets.
+    3. In each posting list all members meet the smallest first: matching sizes, MATCHES agreeing coordinates and the
+       similarity of the full sets make a link.  A large group of near copies costs about one pair a member.
+    4. Members of lists that then still hold several components meet across components where their full sets share one
+       of their rarest shingles, which a pair that passes must.  No link between two components is lost.
 
     Texts that are null, empty or blank have no shingles and link with nothing; fewer than five words form one
     shingle.  Rows with a null id are returned with a null component, not kept, and link with nothing.
@@ -187,10 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "sig"),
             "representatives",
         )
-        counted = reps.select("sig").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        counts = np.zeros(COUNT_SLOTS, np.int64)
-        for slot, n in counted.toLocalIterator():
-            counts[slot] = n
+        counts = _slot_counts(spark, reps.select("sig").mapInArrow(_count_slots, "slot long, n long"), COUNT_SLOTS)
         posts = stages.write(
             reps.select("id", "n_shingles", "sig").mapInArrow(_post(counts, COORDINATES - MATCHES + 1), "key long, id long, n long"), "postings"
         )
@@ -203,17 +265,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _links(stages, texts, reps, star)
         grouped = stages.write(components(stages, links), "components")
 
-        # lists that still hold several components: their other pairs
+        # lists that still hold several components
         labels = grouped.select(F.col("node").alias("id"), "component")
-        marked = stages.write(
-            shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "labelled-postings"
-        )
+        marked = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        marked = stages.write(marked, "labelled-postings")
         mixed = stages.write(marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed-lists")
-        open_posts = stages.write(marked.join(mixed, "key"), "open-postings")
-        left = open_posts.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-        rest = left.join(open_posts, "key").where((F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & alike)
-        rest = rest.select("a", F.col("id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = _links(stages, texts, reps, stages.write(rest, "rest-pairs"))
+        still = stages.write(marked.join(mixed, "key").select("id", "c").distinct(), "open-documents")
+        sets = stages.write(texts.join(still, "id").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "open-shingles")
+        often = _slot_counts(spark, sets.select("shingles").mapInArrow(_count_shingles, "slot long, n long"), SHINGLE_SLOTS)
+        rare = sets.join(still, "id").select("id", "c", "shingles")
+        rare = stages.write(rare.mapInArrow(_post_shingles(often), "key long, id long, c long, n long, place long"), "rare-shingles")
+        left = rare.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("place").alias("place_a"))
+        common = F.expr("(3 * (n_a + n) + 6) div 7")
+        met = (F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & (F.col("n_a") - F.col("place_a") >= common) & (F.col("n") - F.col("place") >= common)
+        rest = left.join(rare, "key").where(met)
+        rest = stages.write(rest.select("a", F.col("id").alias("b")).distinct(), "rest-pairs")
+        more = _confirmed(stages, sets, rest)
         final = stages.write(components(stages, links.union(more)), "final-components")
 
         whole = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -235,6 +302,10 @@ def _links(stages: Stages, texts: DataFrame, reps: DataFrame, pairs: DataFrame)
     likely = stages.write(with_b.mapInArrow(_agree, "a long, b long"), "likely-pairs")
     wanted = stages.write(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "wanted")
     sets = stages.write(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
-    with_a = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return _confirmed(stages, sets, likely)
+
+
+def _confirmed(stages: Stages, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return stages.write(with_b.mapInArrow(_confirm, "a long, b long"), "links")
