@@ -23,6 +23,8 @@ MATCHES = 70
 COUNT_SLOTS = 1 << 16
 #: The same for the shingles of documents that meet again.
 SHINGLE_SLOTS = 1 << 18
+#: Posting lists up to this length pair their members; longer ones meet on rare shingles.
+SHORT_LIST = 32
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
@@ -233,8 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ones in any common order; from rare to frequent, pairs that many documents share are skipped.
     3. In each posting list all members meet the smallest first: matching sizes, MATCHES agreeing coordinates and the
        similarity of the full sets make a link.  A large group of near copies costs about one pair a member.
-    4. Members of lists that then still hold several components meet across components where their full sets share one
-       of their rarest shingles, which a pair that passes must.  No link between two components is lost.
+    4. Lists that then still hold several components: short ones pair their members across components; members
+       of long ones meet across components where their full sets share one of their rarest shingles, which a
+       pair that passes must.  No link between two components is lost.
 
     Texts that are null, empty or blank have no shingles and link with nothing; fewer than five words form one
     shingle.  Rows with a null id are returned with a null component, not kept, and link with nothing.
@@ -259,6 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
         heads = stages.write(heads.select("key", F.col("head.id").alias("a"), F.col("head.n").alias("n_a")), "heads")
         shared = stages.write(posts.join(heads, "key"), "shared-postings")
+        stages.drop(posts, heads)
         alike = F.expr(f"100 * least(n_a, n) >= {LINK_PERCENT} * greatest(n_a, n)")
         star = shared.where((F.col("a") != F.col("id")) & alike).select("a", F.col("id").alias("b")).distinct()
         star = stages.write(star, "star-pairs")
@@ -267,10 +271,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         # lists that still hold several components
         labels = grouped.select(F.col("node").alias("id"), "component")
-        marked = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        marked = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         marked = stages.write(marked, "labelled-postings")
-        mixed = stages.write(marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed-lists")
-        still = stages.write(marked.join(mixed, "key").select("id", "c").distinct(), "open-documents")
+        mixed = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        mixed = stages.write(mixed.select("key", "size"), "mixed-lists")
+        short = stages.write(marked.join(mixed.where(F.col("size") <= SHORT_LIST), "key").drop("size"), "short-lists")
+        left = short.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+        near = left.join(short, "key").where((F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & alike)
+        near = near.select("a", F.col("id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        more = _links(stages, texts, reps, stages.write(near, "short-list-pairs"))
+
+        still = marked.join(mixed.where(F.col("size") > SHORT_LIST), "key").select("id", "c").distinct()
+        still = stages.write(still, "open-documents")
+        stages.drop(marked, mixed, short, shared, reps)
         sets = stages.write(texts.join(still, "id").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "open-shingles")
         often = _slot_counts(spark, sets.select("shingles").mapInArrow(_count_shingles, "slot long, n long"), SHINGLE_SLOTS)
         rare = sets.join(still, "id").select("id", "c", "shingles")
@@ -280,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = (F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & (F.col("n_a") - F.col("place_a") >= common) & (F.col("n") - F.col("place") >= common)
         rest = left.join(rare, "key").where(met)
         rest = stages.write(rest.select("a", F.col("id").alias("b")).distinct(), "rest-pairs")
-        more = _confirmed(stages, sets, rest)
+        more = more.union(_confirmed(stages, sets, rest))
         final = stages.write(components(stages, links.union(more)), "final-components")
 
         whole = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -302,7 +315,9 @@ def _links(stages: Stages, texts: DataFrame, reps: DataFrame, pairs: DataFrame)
     likely = stages.write(with_b.mapInArrow(_agree, "a long, b long"), "likely-pairs")
     wanted = stages.write(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "wanted")
     sets = stages.write(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
-    return _confirmed(stages, sets, likely)
+    links = _confirmed(stages, sets, likely)
+    stages.drop(likely, wanted, sets)
+    return links
 
 
 def _confirmed(stages: Stages, sets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -60,14 +60,13 @@ class Stages:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Stages:
         return self
 
     def __exit__(self, *_: object) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
+        self.drop(*(table for table, _ in self.paths.values()))
 
     def _write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -77,9 +76,14 @@ class Stages:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         table, path = self._write(df, name)
-        self.paths.append(path)
+        self.paths[id(table)] = table, path
         return table
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes written tables that no later step reads."""
+        for table in tables:
+            remove(self.spark, self.paths.pop(id(table))[1])
+
     def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
         return self._write(df, name)[0]
 
@@ -112,9 +116,12 @@ def components(stages: Stages, links: DataFrame, a: str = "a", b: str = "b") ->
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(),
             "large",
         )
+        stages.drop(least)
         least = stages.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        old = (edges, large, least)
         edges = stages.write(small.union(least).distinct(), "edges")
+        stages.drop(*old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
