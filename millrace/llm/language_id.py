@@ -38,7 +38,7 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _count(most: int = 200_000):
+def _count(most: int = 400_000):
     """Rows (lang, kind, item, n): kind 0 for words, else the n-gram's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,38 +70,40 @@ def _count(most: int = 200_000):
 
 @dataclass
 class Model:
-    """Log frequencies by item: one row of `scores` per item, one column per language, smoothed where unseen."""
+    """Log frequencies: one row of `scores` per word or n-gram, one column per language, smoothed where unseen."""
 
     languages: list[str]
-    index: dict[tuple[int, str], int]
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
     scores: np.ndarray
 
-    def word(self, word: str) -> np.ndarray | None:
-        """A known word's scores; else the mean over its n-grams of the greatest length with any known, or None."""
-        row = self.index.get((0, word))
-        if row is not None:
-            return self.scores[row]
+    def fallback(self, word: str) -> list[int]:
+        """The rows of an unseen word: its n-grams of the greatest length with any known."""
         for n in GRAM_LENGTHS:
-            rows = [r for g in grams_of(word, n) if (r := self.index.get((n, g))) is not None]
+            known = self.grams[n]
+            rows = [known[g] for g in grams_of(word, n) if g in known]
             if rows:
-                return self.scores[rows].mean(axis=0)
-        return None
+                return rows
+        return []
 
-    def predict(self, text: str | None, known: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        """(language, probability).  Ties go to the language first in order of name."""
+    def predict(self, text: str | None, cache: dict[str, list[int]]) -> tuple[str, float]:
+        """(language, probability).  A word adds its row, an unseen one the mean of its n-grams' rows.  Ties go to the language first by name."""
         words = letter_words(text)
-        if not words:
+        if not words or not self.languages:
             return UNKNOWN, 0.0
-        if not self.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for w, n in Counter(words).items():
-            if w in known:
-                s = known[w]
-            else:
-                s = known[w] = self.word(w)
-            if s is not None:
-                total += n * s
+        rows = list(map(self.words.get, words))
+        weights: list[float] | np.ndarray = np.ones(len(rows))
+        if None in rows:
+            known = [r for r in rows if r is not None]
+            unseen = Counter(w for w, r in zip(words, rows, strict=True) if r is None)
+            rows, weights = known, [1.0] * len(known)
+            for w, n in unseen.items():
+                r = cache.get(w)
+                if r is None:
+                    r = cache[w] = self.fallback(w)
+                rows += r
+                weights += [n / len(r)] * len(r) if r else []
+        total = np.asarray(weights) @ self.scores[rows] if len(rows) else np.zeros(len(self.languages))
         e = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.languages[best], float(e[best] / e.sum())
@@ -133,15 +135,17 @@ def fit(stages: Stages, docs: DataFrame, text_col: str = "text", lang_col: str =
     for lang, kind, item, n in kept.toLocalIterator():
         found.append((index.setdefault((kind, item), len(index)), column[lang], n))
     table = np.zeros((len(index), len(langs)))
+    words = {item: r for (kind, item), r in index.items() if not kind}
+    grams = {n: {item: r for (kind, item), r in index.items() if kind == n} for n in GRAM_LENGTHS}
     if not found:
-        return Model(langs, index, table)
+        return Model(langs, words, grams, table)
     for r, c, n in found:
         table[r, c] = n
     kinds = np.fromiter((k for k, _ in index), np.int64, len(index))
     totals_by = np.array([[sums.get((x, k), 0) for x in langs] for k in range(max(GRAM_LENGTHS) + 1)], float).reshape(-1, len(langs))
     size = np.bincount(kinds, minlength=max(GRAM_LENGTHS) + 1)
     scores = np.log(table + 0.5) - np.log(totals_by[kinds] + 0.5 * np.maximum(1, size[kinds])[:, None])
-    return Model(langs, index, scores)
+    return Model(langs, words, grams, scores)
 
 
 def _least_step(steps: list[tuple[int, int]], bound: int) -> int:
@@ -157,11 +161,11 @@ def _least_step(steps: list[tuple[int, int]], bound: int) -> int:
 
 def _predict(model, most: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = model.value, {}
+        m, cache = model.value, {}
         for batch in batches:
-            out = [m.predict(t, known) for t in batch.column(1).to_pylist()]
-            if len(known) > most:
-                known.clear()
+            out = [m.predict(t, cache) for t in batch.column(1).to_pylist()]
+            if len(cache) > most:
+                cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["id", "lang_pred", "score"])
 
     return run

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, language_id, minhash_dedup, packing, suffix_dedup, token_counts
+from millrace.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts
+from millrace.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,14 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, t
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = sharding.compacted(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/millrace-shards-{uuid.uuid4().hex}")
+    return held.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+OP2_SQL = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("item_ids")), 256)
@@ -62,6 +72,11 @@ FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -85,6 +100,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    found = quality.score_quality(table(spark, sf_dir, "documents"), labels.where(~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
@@ -113,9 +135,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_decontaminate, op5_token_counts, op6_language_id, op8_packing, op9_minhash, op10_suffix_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_exact_dedup,
+            op2_sharding,
+            op3_decontaminate,
+            op4_line_dedup,
+            op5_token_counts,
+            op6_language_id,
+            op7_quality,
+            op8_packing,
+            op9_minhash,
+            op10_suffix_dedup,
+        )
+    } | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL}

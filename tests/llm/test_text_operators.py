@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, language_id, minhash_dedup, packing, suffix_dedup, token_counts
+from millrace.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts
 from millrace.llm.queries import piece_model, word_tokenizer
 from millrace.llm.shared import Stages, components
 
@@ -281,7 +281,80 @@ def test_language(spark):
 
 
 def test_language_model_backs_off():
-    index = {(0, "the"): 0, (3, "<th"): 1, (1, "z"): 2}
-    model = language_id.Model(["x", "y"], index, np.array([[0.0, -1.0], [-2.0, 0.0], [-5.0, -5.0]]))
-    assert model.word("the").tolist() == [0.0, -1.0] and model.word("thq").tolist() == [-2.0, 0.0]
-    assert model.word("zz").tolist() == [-5.0, -5.0] and model.word("q") is None
+    grams = {4: {"<the": 3}, 3: {"<th": 1}, 2: {}, 1: {"z": 2}}
+    model = language_id.Model(["x", "y"], {"the": 0}, grams, np.array([[0.0, -1.0], [-2.0, 0.0], [-5.0, -5.0], [-1.0, -1.0]]))
+    assert [model.fallback(w) for w in ("them", "thq", "zz", "q")] == [[3], [1], [2, 2], []]
+    e = np.exp(-3.0)
+    assert model.predict("the thq thq", {}) == ("y", pytest.approx(1 / (1 + e)))
+    assert model.predict("zz the", {})[0] == "x" and model.predict("q", {}) == ("x", 0.5)
+
+
+def test_quality(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)) if i % 4 else "!! " * 50) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0) for i in range(150)] + [(None, 1), (3, None), (9999, 1)], "doc_id long, quality int")
+    rows += [(1000, None), (1001, ""), (None, "alpha beta"), (5, rows[5][1])]
+    got = quality.score_quality(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["doc_id"] is not None and 150 <= r["doc_id"] < 400]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 > 0) for r in held) > 0.95 * len(held)
+    assert quality.score_quality(frame(spark, rows[:5]), labels.limit(0)).select("score").distinct().collect()[0][0] == quality.PRIOR
+    assert quality.score_quality(empty(spark), labels).count() == 0
+
+
+def test_shard_store(spark, tmp_path):
+    docs = frame(spark, [(i, f"text {i}" * 50) for i in range(1000)] + [(None, None), (1, None), (2, "")])
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=20_000, fanout=2)
+    for k in range(3):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).repartition(3))
+    before, rows = store.manifest().count(), sorted(map(str, docs.collect()))
+    version = store.compact(docs.schema)
+    assert version == 4 and store.manifest().count() < before
+    assert sorted(map(str, store.snapshot(docs.schema).collect())) == rows == sorted(map(str, store.snapshot(docs.schema, 3).collect()))
+    assert sum(r["rows"] for r in store.manifest().collect()) == len(rows)
+    with pytest.raises(Exception, match="exist"):
+        store.commit(store.manifest(), 2)
+    store.vacuum()
+    assert sorted(map(str, store.snapshot(docs.schema).collect())) == rows
+    assert sharding.compacted(empty(spark), f"file://{tmp_path}/none").count() == 0
+
+
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row, old = [i], row
+        for j, b in enumerate(y, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (a != b)))
+    return row[-1]
+
+
+def test_fuzzy_lines(spark):
+    rng = random.Random(12)
+    base = [prose(rng, 40) for _ in range(12)]
+    docs = [(i, "\n".join(rng.choice(base) if rng.random() < 0.5 else " ".join([*(w := rng.choice(base).split())[:-1], w[-1] + "x"]) for _ in range(5))) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, "\n\n--\n"), (103, "a b c\nA  b, c!\na b d"), (None, base[0]), (40, base[0].upper() + "\n" + prose(rng, 3000))]
+    got = {r["doc_id"]: r for r in line_dedup.fuzzy_lines(frame(spark, docs)).collect()}
+    import re
+
+    norm = lambda x: re.sub(r"[\s!-/:-@\[-`{-~\d]+", " ", x.lower()).strip()
+    places = [(i, p, norm(x), x) for i, t in docs if i is not None and t is not None for p, x in enumerate(t.split("\n"))]
+    forms = sorted({n for _, _, n, _ in places if n})
+    hashes = {r["norm"]: r["simhash"] for r in line_dedup.simhashes(spark.createDataFrame([(f, i) for i, f in enumerate(forms)], "norm string, first long").repartition("norm")).collect()}
+    group = {f: f for f in forms}
+    for x in forms:
+        for y in forms:
+            if x < y and min(len(x.split()), len(y.split())) >= 5 and bin((hashes[x] ^ hashes[y]) & (2**64 - 1)).count("1") <= 2 and edits(x, y) <= int(0.1 * max(len(x), len(y))):
+                gx, gy = group[x], group[y]
+                group = {k: gx if v == gy else v for k, v in group.items()}
+    keep = {}
+    for i, p, n, _ in sorted(places):
+        if n:
+            keep.setdefault(group[n], (i, p))
+    for i, t in docs:
+        if i is None or t is None:
+            assert got[i]["text"] == t and got[i]["n_removed"] == 0
+            continue
+        kept = [x for j, p, n, x in places if j == i and (not n or keep[group[n]] == (j, p))]
+        assert (got[i]["text"], got[i]["n_lines"]) == ("\n".join(kept), t.count("\n") + 1)
+    assert len(set(group.values())) < len(forms)
+    assert line_dedup.fuzzy_lines(empty(spark)).count() == 0
