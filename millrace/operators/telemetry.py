@@ -41,7 +41,7 @@ def hours_in_stock(readings: DataFrame) -> DataFrame:
 
 def demand_estimate(days: DataFrame) -> DataFrame:
     """Adds kind and estimate to (sku, ds, y, hours): normal, capped, partial or unavailable by the share of the day in stock."""
-    share = F.coalesce(F.least(F.greatest(F.col("hours") / 24, F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    share = F.least(F.greatest(F.coalesce(F.col("hours") / 24, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     rows = days.withColumn("share", share)
     kind = F.when(share < 0.10, F.when(F.col("y") > 0, "capped").otherwise("unavailable")).when(share < 0.95, "partial").otherwise("normal")
     rows = rows.withColumn("kind", kind)
