@@ -22,7 +22,7 @@ MATCHES = 70
 #: Fixed size of the table of coordinate-value counts that orders a signature from rare to frequent.
 COUNT_SLOTS = 1 << 16
 #: The same for the shingles of documents that meet again.
-SHINGLE_SLOTS = 1 << 18
+SHINGLE_SLOTS = 1 << 14
 #: Posting lists up to this length pair their members; longer ones meet on rare shingles.
 SHORT_LIST = 32
 
