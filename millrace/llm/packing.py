@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ PIECE = 512
 #: Windows balanced at a time.
 GROUP_WINDOWS = 32
 
+#: A character of one id, which stands between stretches.
+_MARK = "\x01"
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, token_ids binary"
@@ -33,14 +36,18 @@ class CachedTokenizer:
 
     The pre-tokeniser never joins characters across ASCII white space, so ids are remembered by the stretches between.  It also
     lower-cases, and parts letters from a full stop or comma, which stand apart here to make stretches recur.
+    What is remembered fills two halves of `most` stretches each: where the newer half is full it becomes the older
+    one, and what was not asked for again since then goes.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
     def encode(self, text: bytes | None) -> bytes:
@@ -50,12 +57,36 @@ class CachedTokenizer:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             if len(known) > self.most:
-                known.clear()
-            new = [p for p in set(parts) if p not in known]
-            for part, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-                known[part] = np.array(e.ids, "<u4").tobytes()
+                self.older, self.known = known, {}
+                known = self.known
+            new = []
+            for p in set(parts):
+                if p not in known:
+                    if (ids := self.older.get(p)) is None:
+                        new.append(p)
+                    else:
+                        known[p] = ids
+            self._learn(new)
             return b"".join(map(known.__getitem__, parts))
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Stretches go through the tokenizer in one string, a mark between them; those that might hide a mark go alone."""
+        plain = [p for p in new if b"<|" not in p and _MARK.encode() not in p]
+        groups = [plain] if plain else []
+        groups += [[p] for p in new if b"<|" in p or _MARK.encode() in p]
+        texts = [f" {_MARK} ".join(p.decode("utf-8", "replace") for p in g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.mark).tolist() if len(group) > 1 else []), len(ids)]
+            for part, start, end in zip(group, [0, *(x + 1 for x in ends)], ends, strict=False):
+                self.known[part] = ids[start:end].tobytes()
+
+
+@lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> CachedTokenizer:
+    """One to a Python worker: the tasks that it runs one after the other share what is remembered."""
+    return CachedTokenizer(path)
+
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp: splits the indices of sizes over `windows` sets of nearly equal sums.
@@ -92,7 +123,7 @@ def balance(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
 
 def _pack(path: str, window: int, end_id: int, piece: int, group_windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = CachedTokenizer(path), int(end_id).to_bytes(4, "little")
+        tokenizer, end = tokenizer_at(path), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         full: list[tuple] = []
         rest: list[tuple] = []
