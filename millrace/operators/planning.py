@@ -66,3 +66,24 @@ def planning_lead(orders: DataFrame, manual: int = 14) -> DataFrame:
     every = orders.select("supplier", "sku").distinct().join(own, ["supplier", "sku"], "left").join(supplier_stats(orders), "supplier", "left")
     lead = F.when(F.col("own_n") >= 3, F.col("own")).when(F.col("n") >= 2, F.col("p80_days")).otherwise(F.lit(float(manual)))
     return every.select("supplier", "sku", lead.alias("lead"))
+
+
+def margins(costs: DataFrame) -> DataFrame:
+    """Adds margin_pct, return_tier and protection to rows with price and unit_cost; an unknown margin has no tier and standard protection."""
+    rows = costs.withColumn("margin_pct", F.when(F.col("price") > 0, 100 * (F.col("price") - F.col("unit_cost")) / F.col("price")))
+    m = F.col("margin_pct")
+    tier = F.when(m >= 40, "A").when(m >= 20, "B").when(m > 0, "C").when(m <= 0, "F")
+    protection = F.when(m < 15, "light").when(m < 30, "standard").when(m < 50, "high").when(m >= 50, "max").otherwise("standard")
+    return rows.withColumns({"return_tier": tier, "protection": protection})
+
+
+def cover(plan: DataFrame, lead: int, coverage: int) -> DataFrame:
+    """(sku, days_of_cover, direction, band): how long stock lasts against the lead time, and how near the reorder day is.
+
+    Bands are fractions of the lead time: at risk within half of it, due within one and a half.
+    """
+    days, left = F.col("days_to_stockout"), F.col("days_to_reorder")
+    direction = F.when(days.isNull(), "long").when(days < 1.2 * lead, "short").when(days > lead + coverage, "long").otherwise("healthy")
+    risk, due = max(1, round(lead / 2)), max(2, round(1.5 * lead))
+    band = F.when(left <= 0, "now").when(left <= risk, "risk").when(left <= due, "due").otherwise("later")
+    return plan.select("sku", days.alias("days_of_cover"), direction.alias("direction"), band.alias("band"))

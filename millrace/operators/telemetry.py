@@ -47,3 +47,52 @@ def demand_estimate(days: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", kind)
     estimate = F.when(F.col("kind") == "partial", F.col("y") * F.least(F.lit(3.0), 1 / F.col("share"))).when(F.col("kind") != "unavailable", F.col("y"))
     return rows.withColumn("estimate", estimate)
+
+
+def latest(readings: DataFrame) -> DataFrame:
+    """(sku, ts, on_hand): the newest reading of each product."""
+    return readings.groupBy("sku").agg(F.max(F.struct("ts", "on_hand")).alias("r")).select("sku", "r.ts", "r.on_hand")
+
+
+def coverage(readings: DataFrame) -> DataFrame:
+    """(sku, first_ts, last_ts, samples)."""
+    return readings.groupBy("sku").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("samples"))
+
+
+def retain(readings: DataFrame, days: int = 120) -> DataFrame:
+    """Readings of the last `days` before the newest of all, and of each product the newest older one, which opens the first day."""
+    cutoff = readings.agg((F.max("ts") - F.expr(f"interval {days} days")).alias("cutoff"))
+    marked = readings.join(F.broadcast(cutoff))
+    anchor = marked.where("ts < cutoff").groupBy("sku").agg(F.max(F.struct("ts", "on_hand")).alias("r")).select("sku", "r.ts", "r.on_hand")
+    return marked.where("ts >= cutoff").select("sku", "ts", "on_hand").union(anchor)
+
+
+def state(readings: DataFrame) -> DataFrame:
+    """(sku, level, state, readings_today, went_out_today, out_since); today is the day of the newest reading of all.
+
+    out_since is the first reading of the run of empty ones that still lasts.
+    """
+    today = readings.agg(F.to_date(F.max("ts")).alias("today"))
+    on_day = F.to_date("ts") == F.col("today")
+    filled = readings.join(F.broadcast(today)).withColumn("last_filled", F.max(F.when(F.col("on_hand") > 0, F.col("ts"))).over(Window.partitionBy("sku")))
+    rows = filled.groupBy("sku").agg(
+        F.max(F.struct("ts", "on_hand")).getField("on_hand").alias("level"),
+        F.count_if(on_day).alias("readings_today"),
+        F.coalesce(F.bool_or(on_day & (F.col("on_hand") <= 0)), F.lit(False)).alias("went_out_today"),
+        F.min(F.when(F.col("last_filled").isNull() | (F.col("ts") > F.col("last_filled")), F.col("ts"))).alias("out_since"),
+    )
+    return rows.withColumn("state", F.when(F.col("level") <= 0, "out").otherwise("in"))
+
+
+def censoring_summary(estimated: DataFrame) -> DataFrame:
+    """(sku, days, normal, capped, partial, unavailable, censored_share, observed, hidden_units, understated_pct) of demand_estimate()."""
+    kinds = {k: F.count_if(F.col("kind") == k).alias(k) for k in ("normal", "capped", "partial", "unavailable")}
+    rows = estimated.groupBy("sku").agg(
+        F.count("*").alias("days"), *kinds.values(), F.sum("y").alias("observed"), (F.coalesce(F.sum("estimate"), F.lit(0.0)) - F.sum("y")).alias("hidden_units")
+    )
+    return rows.withColumns(
+        {
+            "censored_share": 100.0 * (F.col("days") - F.col("normal")) / F.col("days"),
+            "understated_pct": F.when(F.col("observed") > 0, 100 * F.col("hidden_units") / F.col("observed")),
+        }
+    )

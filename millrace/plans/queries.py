@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, calendar, demand, forecast, planning, pricing, seasonality, telemetry
+from millrace.operators import backtest, bundles, calendar, demand, forecast, planning, pricing, seasonality, telemetry
 from millrace.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,11 +393,15 @@ def hours_in_stock(spark, d):
 HOURS_IN_STOCK = with_(READINGS, HOURS) + "SELECT sku, CAST(ds AS DATE) AS ds, CAST(covered AS BIGINT) AS covered, round((24.0 * stocked / covered) + 1e-9, 3) AS hours FROM hours"
 
 
-def demand_estimate(spark, d):
+def _estimated(spark, d):
     readings = tables.stock_readings(spark, d)
     sales = tables.table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("sku"), F.to_date("ts").alias("ds")).agg(F.count("*").cast("double").alias("y"))
     days = telemetry.hours_in_stock(readings).join(sales, ["sku", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    return rounded(telemetry.demand_estimate(days).select("sku", "ds", "y", "kind", "estimate"), "estimate", digits=3)
+    return telemetry.demand_estimate(days).select("sku", "ds", "y", "kind", "estimate")
+
+
+def demand_estimate(spark, d):
+    return rounded(_estimated(spark, d), "estimate", digits=3)
 
 
 DEMAND_ESTIMATE = (
@@ -473,11 +477,122 @@ STORE_ZERO_DAYS = (
 SELECT ds, on_file FROM days WHERE units = 0 AND on_file >= 3 AND (SELECT count(DISTINCT sku) FROM daily) >= 3 AND (SELECT median(units) FROM days) >= 5"""
 )
 
+def latest_reading(spark, d):
+    return telemetry.latest(tables.stock_readings(spark, d))
+
+
+LATEST_READING = with_(READINGS) + "SELECT sku, max(ts) AS ts, arg_max(on_hand, ts) AS on_hand FROM readings GROUP BY sku"
+
+
+def reading_coverage(spark, d):
+    return telemetry.coverage(tables.stock_readings(spark, d))
+
+
+READING_COVERAGE = with_(READINGS) + "SELECT sku, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS samples FROM readings GROUP BY sku"
+
+
+def reading_retention(spark, d):
+    return telemetry.retain(tables.stock_readings(spark, d), 10)
+
+
+READING_RETENTION = (
+    with_(READINGS)
+    + """, cut AS (SELECT max(ts) - INTERVAL 10 DAY AS cutoff FROM readings)
+SELECT sku, ts, on_hand FROM readings, cut WHERE ts >= cutoff
+UNION ALL SELECT sku, max(ts), arg_max(on_hand, ts) FROM readings, cut WHERE ts < cutoff GROUP BY sku"""
+)
+
+
+def stock_state(spark, d):
+    return telemetry.state(tables.stock_readings(spark, d))
+
+
+STOCK_STATE = (
+    with_(READINGS)
+    + """, day AS (SELECT CAST(max(ts) AS DATE) AS today FROM readings),
+f AS (SELECT *, max(ts) FILTER (on_hand > 0) OVER (PARTITION BY sku) AS last_filled FROM readings, day)
+SELECT sku, arg_max(on_hand, ts) AS level, CASE WHEN arg_max(on_hand, ts) <= 0 THEN 'out' ELSE 'in' END AS state, count(*) FILTER (CAST(ts AS DATE) = today) AS readings_today,
+  bool_or(CAST(ts AS DATE) = today AND on_hand <= 0) AS went_out_today, min(ts) FILTER (last_filled IS NULL OR ts > last_filled) AS out_since FROM f GROUP BY sku"""
+)
+
+
+def censoring_summary(spark, d):
+    return rounded(telemetry.censoring_summary(_estimated(spark, d)), "censored_share", "hidden_units", "understated_pct", digits=2)
+
+
+CENSORING_SUMMARY = (
+    "WITH est AS (SELECT sku, y, kind, estimate FROM ("
+    + DEMAND_ESTIMATE.replace("round((", "((").replace(") + 1e-9, 3) AS estimate", ")) AS estimate")
+    + """))
+SELECT sku, count(*) AS days, count(*) FILTER (kind = 'normal') AS normal, count(*) FILTER (kind = 'capped') AS capped, count(*) FILTER (kind = 'partial') AS partial,
+  count(*) FILTER (kind = 'unavailable') AS unavailable, sum(y) AS observed, round(100.0 * count(*) FILTER (kind <> 'normal') / count(*) + 1e-9, 2) AS censored_share,
+  round(coalesce(sum(estimate), 0) - sum(y) + 1e-9, 2) AS hidden_units,
+  CASE WHEN sum(y) > 0 THEN round(100 * (coalesce(sum(estimate), 0) - sum(y)) / sum(y) + 1e-9, 2) END AS understated_pct FROM est GROUP BY sku"""
+)
+
+
+def margin_protection(spark, d):
+    costs = tables.table(spark, d, "part").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price"), (F.col("p_retailprice") * (40 + F.col("p_size")) / 100.5).alias("unit_cost"))
+    return rounded(planning.margins(costs).select("sku", "margin_pct", "return_tier", "protection"), "margin_pct")
+
+
+MARGIN_PROTECTION = """WITH m AS (SELECT p_partkey AS sku, 100 * (p_retailprice - p_retailprice * (40 + p_size) / 100.5) / p_retailprice AS m FROM part WHERE p_retailprice > 0
+UNION ALL SELECT p_partkey, NULL FROM part WHERE p_retailprice IS NULL OR p_retailprice <= 0)
+SELECT sku, round(m + 1e-9, 4) AS margin_pct, CASE WHEN m >= 40 THEN 'A' WHEN m >= 20 THEN 'B' WHEN m > 0 THEN 'C' WHEN m <= 0 THEN 'F' END AS return_tier,
+  CASE WHEN m < 15 THEN 'light' WHEN m < 30 THEN 'standard' WHEN m < 50 THEN 'high' WHEN m >= 50 THEN 'max' ELSE 'standard' END AS protection FROM m"""
+
+
+def cover_direction(spark, d):
+    return planning.cover(reorder_plan(spark, d), LEAD, COVERAGE)
+
+
+COVER_DIRECTION = (
+    "SELECT sku, days_to_stockout AS days_of_cover, CASE WHEN days_to_stockout IS NULL THEN 'long' WHEN days_to_stockout < 16.8 THEN 'short' WHEN days_to_stockout > 44 THEN 'long' ELSE 'healthy' END AS direction, "
+    "CASE WHEN days_to_reorder <= 0 THEN 'now' WHEN days_to_reorder <= 7 THEN 'risk' WHEN days_to_reorder <= 21 THEN 'due' ELSE 'later' END AS band FROM (" + REORDER_PLAN + ")"
+)
+
+BOM = """bom AS (SELECT bundle, component, sum(qty) AS qty FROM (
+  SELECT p_partkey AS bundle, p_partkey // 2 AS component, 2.0::DOUBLE AS qty FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_partkey // 5 + 1, 1.0::DOUBLE FROM part WHERE p_partkey % 3 = 0
+) WHERE bundle <> component GROUP BY 1, 2),
+r(bundle, sku, qty, path, depth) AS (SELECT DISTINCT bundle, bundle, 1.0::DOUBLE, []::BIGINT[], 0 FROM bom
+  UNION ALL SELECT r.bundle, bom.component, r.qty * bom.qty, list_append(path, r.sku), depth + 1 FROM r JOIN bom ON r.sku = bom.bundle WHERE depth < 4 AND NOT list_contains(path, r.sku)),
+flat AS (SELECT bundle, sku, sum(qty) AS qty FROM r WHERE depth = 4 OR list_contains(path, sku) OR sku NOT IN (SELECT bundle FROM bom) GROUP BY 1, 2)"""
+
+
+def _bundle_parts(spark, d):
+    """Every third part counts as a bundle of two others."""
+    part = tables.table(spark, d, "part").where("p_partkey % 3 = 0")
+    pairs = part.selectExpr("p_partkey AS bundle", "inline(array(struct(p_partkey div 2 AS component, 2D AS qty), struct(p_partkey div 5 + 1 AS component, 1D AS qty)))")
+    return bundles.normalise(pairs)
+
+
+def bundle_expansion(spark, d):
+    return bundles.expand(_bundle_parts(spark, d))
+
+
+BUNDLE_EXPANSION = "WITH RECURSIVE " + BOM + " SELECT bundle, sku, qty FROM flat"
+
+
+def bundle_dependency(spark, d):
+    units = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("sku")).agg(F.sum("l_quantity").alias("units"))
+    return rounded(bundles.dependency(units, bundles.expand(_bundle_parts(spark, d))), "share_pct")
+
+
+BUNDLE_DEPENDENCY = (
+    "WITH RECURSIVE "
+    + BOM
+    + """, u AS (SELECT l_partkey AS sku, sum(l_quantity) AS units FROM lineitem GROUP BY 1),
+v AS (SELECT flat.sku, sum(qty * units) AS via FROM flat JOIN u ON u.sku = flat.bundle WHERE flat.bundle <> flat.sku GROUP BY 1 HAVING sum(qty * units) > 0)
+SELECT v.sku, coalesce(units, 0) AS own_units, via AS via_bundles, round(100 * via / (coalesce(units, 0) + via) + 1e-9, 4) AS share_pct, 100 * via / (coalesce(units, 0) + via) >= 50 AS bundle_driven
+FROM v LEFT JOIN u ON u.sku = v.sku"""
+)
+
 NAMES = (
     "reorder_plan daily_sales daily_price_rollup calendar_fill demand_class dormancy dispersion_index forecast_route volume_peers monthly_index "
     "index_strength seasonal_signature shape_links year_on_year rush_weeks weekday_profile recent_level moving_average sparse_demand lead_window_sigma "
     "conformal_offsets backtest_windows backtest_summary supplier_stats lane_stats planning_lead reading_collapse stock_jumps hours_in_stock demand_estimate "
-    "price_levels price_evidence elasticity promotion_lift promotion_hold_out store_zero_days"
+    "price_levels price_evidence elasticity promotion_lift promotion_hold_out store_zero_days "
+    "latest_reading reading_coverage reading_retention stock_state censoring_summary margin_protection cover_direction bundle_expansion bundle_dependency"
 ).split()
 
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import calendar, demand, forecast, planning, pricing, telemetry
+from millrace.operators import bundles, calendar, demand, forecast, planning, pricing, telemetry
 from millrace.plans import queries
 
 DATA = Path("/root/testdata/sf0.001")
@@ -117,3 +117,35 @@ def test_elasticity_needs_two_levels_and_falls(spark):
     levels = spark.createDataFrame(rows, "sku string, level long, days long, units_per_day double, price double")
     levels = levels.withColumn("units_per_day", 40 / F.col("price"))
     assert {r["sku"]: round(r["elasticity"], 6) for r in pricing.elasticity(levels).collect()} == {"a": round(-200 / 260, 6), "c": round(-18 / 78, 6)}
+
+
+def test_bundles_end_at_loops_and_drop_themselves(spark):
+    parts = bundles.normalise(spark.createDataFrame([(1, 2, 2.0), (2, 3, 3.0), (3, 1, 1.0), (4, 4, 5.0), (5, 3, 0.0), (6, 1, 1.0)], "bundle long, component long, qty double"))
+    assert {tuple(r) for r in bundles.expand(parts).collect()} == {(1, 1, 6.0), (2, 2, 6.0), (3, 3, 6.0), (6, 1, 6.0)}
+
+
+def test_bundle_share(spark):
+    flat = spark.createDataFrame([(9, 1, 2.0)], "bundle long, sku long, qty double")
+    units = spark.createDataFrame([(9, 5.0), (1, 10.0)], "sku long, units double")
+    assert tuple(bundles.dependency(units, flat).first()) == (1, 10.0, 10.0, 50.0, True)
+
+
+def readings(spark, *levels):
+    return spark.createDataFrame([("s", datetime(2024, 1, 1, 6) + timedelta(hours=8 * i), v) for i, v in enumerate(levels)], "sku string, ts timestamp, on_hand long")
+
+
+def test_out_since_begins_with_the_last_empty_run(spark):
+    row = telemetry.state(readings(spark, 0, 4, 0, 0)).first()
+    assert (row["level"], row["state"], row["out_since"], row["readings_today"], row["went_out_today"]) == (0, "out", datetime(2024, 1, 1, 22), 1, True)
+    row = telemetry.state(readings(spark, 0, 4)).first()
+    assert (row["state"], row["out_since"], row["went_out_today"]) == ("in", None, True)
+
+
+def test_retention_keeps_one_older_reading(spark):
+    kept = telemetry.retain(readings(spark, 1, 2, 3, 4, 5, 6), 1).orderBy("ts")
+    assert [r["on_hand"] for r in kept.collect()] == [2, 3, 4, 5, 6]
+
+
+def test_margins_without_a_price_are_standard(spark):
+    rows = planning.margins(spark.createDataFrame([(1, None, 5.0), (2, 10.0, 5.0), (3, 10.0, 12.0)], "sku long, price double, unit_cost double"))
+    assert [(r["return_tier"], r["protection"]) for r in rows.orderBy("sku").collect()] == [(None, "standard"), ("A", "max"), ("F", "light")]
