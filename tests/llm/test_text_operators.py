@@ -358,3 +358,14 @@ def test_fuzzy_lines(spark):
         assert (got[i]["text"], got[i]["n_lines"]) == ("\n".join(kept), t.count("\n") + 1)
     assert len(set(group.values())) < len(forms)
     assert line_dedup.fuzzy_lines(empty(spark)).count() == 0
+
+
+def test_remembered_stretches_equal_the_plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cached, plain = packing.CachedTokenizer(path, most=3), Tokenizer.from_file(path)
+    texts = ["", "  ", "One two. Three, two\nthree.", "a\x01b c \x01 \x01\x01 d", "<|endoftext|> Hi <| x|>", "a\u0301 \u0301x \u03a3\u0391\u03a3", "don't 12a3 don't"]
+    for text in texts * 2:
+        assert np.frombuffer(cached.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
