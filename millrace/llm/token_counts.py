@@ -18,7 +18,8 @@ WORD_START = "▁"
 class PieceCounter:
     """Greedy longest-match piece counts of a word, in time linear in its length.
 
-    The trie holds the initial pieces behind WORD_START and the other pieces below a second root.  For a state whose string
+    The trie holds the initial pieces behind WORD_START and the other pieces below a second root; where WORD_START alone is a
+    piece, the first root pops it and goes on at the second.  For a state whose string
     cannot be extended, `link` is the state of what is left after greedily popping its leading pieces, and `popped` how
     many they are; a state without link can't be segmented.
     """
@@ -29,8 +30,6 @@ class PieceCounter:
         for piece in pieces:
             initial = piece.startswith(WORD_START)
             body = piece[len(WORD_START) :] if initial else piece
-            if not body:
-                continue
             v = 0 if initial else 1
             for c in body:
                 if c not in self.next[v]:
@@ -42,6 +41,8 @@ class PieceCounter:
         n = len(self.next)
         self.link: list[int] = [-1] * n
         self.popped = [0] * n
+        if piece_end[0]:
+            self.link[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             u = queue.popleft()
@@ -114,8 +115,8 @@ def _count(path: str, most: int = 400_000):
 def count_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_pieces, n_unknown.
 
-    Words stand between ASCII white space and keep their case.  A word is cut greedily: the longest initial piece, then the
-    longest other piece, and so on; a word without such a cut is one unknown piece.  Lengths of words seen are
+    Words stand between ASCII white space and keep their case.  A word is cut greedily: the longest initial piece (WORD_START
+    alone where no longer one fits), then the longest other piece, and so on; a word without such a cut is one unknown piece.  Lengths of words seen are
     remembered up to a bound.
 
     Null, empty and blank texts have no words.  Null ids and repeated rows are counted like others.  An empty table
