@@ -26,7 +26,7 @@ _WORD_END = re.compile(rb"[A-Za-z\x80-\xff]+[^A-Za-z\x80-\xff\s]{2,}$")
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Shape of a text: sizes, repetition of words and lines, shares of kinds of bytes."""
+    """Shape of a text: sizes, repetition of words and lines, shares of kinds of words and bytes, all over the whole text."""
     text = text or b""
     words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
     n, size = len(words), max(1, len(text))
@@ -35,7 +35,6 @@ def features(text: bytes | None) -> np.ndarray:
     lower = Counter(w.lower().strip(_MARKS) for w in words)
     top = [c for _, c in lower.most_common(3)] + [0, 0, 0]
     pairs = len(set(zip(words, words[1:], strict=False)))
-    some = words[:: max(1, n // 200)]
     values = [
         np.log1p(n),
         np.log1p(len(lines)),
@@ -49,10 +48,10 @@ def features(text: bytes | None) -> np.ndarray:
         1 - len(set(lines)) / max(1, len(lines)),
         max(Counter(lines).values(), default=0) / max(1, len(lines)),
         sum(len(x) < 30 for x in lines) / max(1, len(lines)),
-        sum(bool(_WORD_END.match(w)) for w in some) / max(1, len(some)),
-        sum(w.isupper() for w in some) / max(1, len(some)),
-        sum(w[:1].isupper() for w in some) / max(1, len(some)),
-        sum(w.isdigit() for w in some) / max(1, len(some)),
+        sum(c for w, c in counted.items() if _WORD_END.match(w)) / max(1, n),
+        sum(c for w, c in counted.items() if w.isupper()) / max(1, n),
+        sum(c for w, c in counted.items() if w[:1].isupper()) / max(1, n),
+        sum(c for w, c in counted.items() if w.isdigit()) / max(1, n),
         seen[65:91].sum() / size,
         seen[97:123].sum() / size,
         seen[48:58].sum() / size,

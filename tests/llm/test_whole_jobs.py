@@ -3,9 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
-from millrace.llm import token_counts
+from millrace.llm import quality, token_counts
 from millrace.llm.queries import piece_model
 
 
@@ -35,3 +33,11 @@ def test_words_without_an_initial_piece_use_the_bare_mark(spark):
     counts = [longest_pieces(w, pieces) for w in words]
     assert counts[0] > 1 and counts[1] == 2
     assert got == {i: (max(n, 1), int(n == 0)) for i, n in enumerate(counts)}
+
+
+@pytest.mark.parametrize("n", [30, 399, 400, 2000, 2600])
+def test_word_shares_are_over_the_whole_text(n):
+    words = [("Title" if k % 10 == 0 else "12" if k % 7 == 3 else "UP" if k % 11 == 5 else "end..." if k % 13 == 8 else "low") for k in range(n)]
+    text = "\n".join(" ".join(words[k : k + 10]) for k in range(0, n, 10)).encode()
+    shares = [sum(w == "end..." for w in words), sum(w == "UP" for w in words), sum(w in ("Title", "UP") for w in words), sum(w == "12" for w in words)]
+    assert quality.features(text)[14:18] == pytest.approx([x / n for x in shares])
