@@ -17,7 +17,8 @@ _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c
 #: Item words in one automaton; more items go to further automata, each a pass of its own.
 BLOCK_WORDS = 100_000
 
-_SCHEMA = "id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+_HITS = "spans array<struct<start:int,end:int>>, item_ids array<string>"
+_SCHEMA = f"id long, n_words long, n_hit long, {_HITS}"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -135,8 +136,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def _scan(automaton, first: bool):
-    """Adds one automaton's spans and items to those of the automata before it."""
+def _scan(automaton, first: bool, last: bool):
+    """Adds one automaton's spans and items to those of the automata before it; all but the last pass carry the text on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton.value
@@ -155,15 +156,18 @@ def _scan(automaton, first: bool):
                 spans.append([{"start": s, "end": e} for s, e in found])
                 items.append(sorted(held))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
-            names = ["id", "n_words", "n_hit", "spans", "item_ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            hits = {"spans": pa.array(spans, span), "item_ids": pa.array(items, pa.list_(pa.string()))}
+            if last:
+                columns = {"id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} | hits
+            else:
+                columns = {"id": batch.column(0), "text": batch.column(1)} | hits
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of BLOCK_WORDS words, read partition by partition; no more than a block is held."""
+    """Items in blocks of BLOCK_WORDS words, read partition by partition; the block at work and the next are held."""
     block, size = [], 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), text_bytes(text_col)).where(F.col(item_col).isNotNull()).toLocalIterator():
         words = words_of(bytes(text) if text is not None else None)
@@ -190,7 +194,8 @@ def find_contamination(
 
     A window is `window` consecutive words of an item, or all words of a shorter one.  A document is contaminated when
     hit words are at least one in coverage_divisor of its words.  The benchmark is taken in blocks of
-    BLOCK_WORDS words, each one automaton broadcast to all tasks and one pass over the documents.
+    BLOCK_WORDS words, each one automaton broadcast to all tasks and one pass over the documents; between passes the texts
+    are carried on with their hits, row by row.
 
     Null, empty and wordless texts have no words and are clean.  Rows with a null id or repeated rows are
     judged like others.  Items without words or without an id match nothing; items that repeat an id are one item with
@@ -200,16 +205,18 @@ def find_contamination(
     spark = docs.sparkSession
     with Stages(spark, "decontaminate") as stages:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-        found, first = texts, True
-        for items in _blocks(benchmark, item_col, item_text_col) if benchmark is not None else ():
-            automaton = spark.sparkContext.broadcast(Automaton(items, window))
-            if not first:
-                found = texts.join(found.select("id", "spans", "item_ids"), "id")
-            found = stages.write(found.mapInArrow(_scan(automaton, first), _SCHEMA), "hits")
-            first = False
-        if first:
-            automaton = spark.sparkContext.broadcast(Automaton([], window))
-            found = texts.mapInArrow(_scan(automaton, True), _SCHEMA)
+        blocks = _blocks(benchmark, item_col, item_text_col) if benchmark is not None else iter(())
+        items, written = next(blocks, []), None
+        while True:
+            following = next(blocks, None)
+            scan = _scan(spark.sparkContext.broadcast(Automaton(items, window)), written is None, following is None)
+            if following is None:
+                found = (texts if written is None else written).mapInArrow(scan, _SCHEMA)
+                break
+            before, items = written, following
+            written = stages.write((texts if before is None else before).mapInArrow(scan, f"id long, text binary, {_HITS}"), "hits")
+            if before is not None:
+                stages.drop(before)
         contaminated = (F.col("n_hit") > 0) & (coverage_divisor * F.col("n_hit") >= F.col("n_words"))
         return stages.keep(found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "item_ids", contaminated.alias("contaminated")))
 

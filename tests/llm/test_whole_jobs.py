@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from millrace.llm import quality, token_counts
+from millrace.llm import decontaminate, quality, token_counts
 from millrace.llm.queries import piece_model
 
 
@@ -41,3 +41,13 @@ def test_word_shares_are_over_the_whole_text(n):
     text = "\n".join(" ".join(words[k : k + 10]) for k in range(0, n, 10)).encode()
     shares = [sum(w == "end..." for w in words), sum(w == "UP" for w in words), sum(w in ("Title", "UP") for w in words), sum(w == "12" for w in words)]
     assert quality.features(text)[14:18] == pytest.approx([x / n for x in shares])
+
+
+@pytest.mark.parametrize("block_words", [100_000, 15, 4])
+def test_contamination_judges_each_row_whatever_the_blocks(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(4))) for i in range(6)], "item_id long, text string")
+    rows = [(None, "so w1x0 w1x1 w1x2 w1x3"), (None, "clean"), (5, "w0x0 w0x1 w0x2 w0x3"), (5, "w5x0 w5x1 w5x2 w5x3 w2x0 w2x1 w2x2 w2x3"), (5, "none"), (6, "twice"), (6, "twice"), (7, None)]
+    got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    wanted = [(None, 4, 5, ["1"]), (None, 0, 1, []), (5, 4, 4, ["0"]), (5, 8, 8, ["2", "5"]), (5, 0, 1, []), (6, 0, 1, []), (6, 0, 1, []), (7, 0, 0, [])]
+    assert sorted(((r["doc_id"], r["n_hit"], r["n_words"], r["item_ids"]) for r in got), key=str) == sorted(wanted, key=str)
