@@ -9,36 +9,59 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, exact_dedup, language_id, minhash_dedup, packing
 from millrace.llm.queries import word_tokenizer
-from millrace.llm.shared import shared_folder
+from millrace.llm.shared import Stages, shared_folder
 
 #: A prediction less sure than this is no language.
 LEAST_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Number of a row, by which stages decide: ids may be null or repeated.
+ROW = "row"
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id stays, with the columns of documents."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their ROW: as the stage before wrote it, else given and written once here."""
+    if ROW in docs.columns:
+        return docs.select(*COLUMNS, ROW)
+    return Stages(docs.sparkSession, "rows").keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with the columns of documents and ROW."""
+    return docs.join(rows.select(ROW), ROW, "left_semi").select(*COLUMNS, ROW)
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group `of`: that with the smallest id; rows without an id come last."""
+    placed = groups.join(docs.select("doc_id", ROW), ROW).groupBy("of")
+    return placed.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col("first")[ROW].alias(ROW))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learned from the stage's own rows; texts without a letter or a sure language go."""
-    found = language_id.identify(docs, docs)
-    return keep(docs, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    """Learned from the stage's own rows; texts without a letter or a sure language go.  Rows are numbered for the next stages."""
+    found = language_id.identify(docs, docs, carry=COLUMNS[1:])
+    sure = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return sure.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; rows that repeat an id and a text are one."""
-    return keep(docs, exact_dedup.exact_dedup(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One row of each group of equal texts, whatever the ids."""
+    docs = numbered(docs)
+    found = exact_dedup.exact_dedup(docs, id_col=ROW)
+    repeated = first_rows(docs, found.where("group_size > 1").select(ROW, F.col("text_sha256").alias("of")))
+    return keep(docs, found.where("group_size = 1").select(ROW).union(repeated))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, minhash_dedup.near_duplicates(docs).where("kept"))
+    """One row of each group of near copies, whatever the ids."""
+    docs = numbered(docs)
+    found = minhash_dedup.near_duplicates(docs, id_col=ROW)
+    return keep(docs, first_rows(docs, found.select(ROW, F.col("component_id").alias("of"))))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return keep(docs, decontaminate.find_contamination(docs, benchmark).where("not contaminated"))
+    return keep(docs, decontaminate.find_contamination(docs, benchmark, id_col=ROW).where("not contaminated"))
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.shared import Stages
 
@@ -166,13 +167,14 @@ def _predict(model, most: int = 200_000):
             out = [m.predict(t, cache) for t in batch.column(1).to_pylist()]
             if len(cache) > most:
                 cache.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["id", "lang_pred", "score"])
+            scored = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *scored], ["id", *batch.schema.names[2:], "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: id, lang_pred, score (the probability of lang_pred among the learned languages).
+def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id, the columns of `carry` as they are, lang_pred, score (the probability of lang_pred among the learned languages).
 
     Learned from the texts and languages of `training`; predictions read the text alone.  Texts that are null or have no
     letter get "und" and 0; so does every text if nothing was learned.  Ties go to the first language by
@@ -182,8 +184,9 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     with Stages(spark, "language") as stages:
         model = spark.sparkContext.broadcast(fit(stages, training, text_col, lang_col))
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        found = texts.mapInArrow(_predict(model), "id long, lang_pred string, score double")
-        return stages.keep(found.withColumnRenamed("id", id_col), "languages")
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+        schema = StructType([texts.schema["id"], *texts.schema.fields[2:]]).add("lang_pred", "string").add("score", "double")
+        found = texts.mapInArrow(_predict(model), schema)
+        return stages.keep(found.select(F.col("id").alias(id_col), *(F.col(f"carried_{c}").alias(c) for c in carry), "lang_pred", "score"), "languages")
 
 

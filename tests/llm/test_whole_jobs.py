@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 from millrace.llm import decontaminate, quality, token_counts
 from millrace.llm.queries import piece_model
@@ -51,3 +52,32 @@ def test_contamination_judges_each_row_whatever_the_blocks(spark, monkeypatch, b
     got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     wanted = [(None, 4, 5, ["1"]), (None, 0, 1, []), (5, 4, 4, ["0"]), (5, 8, 8, ["2", "5"]), (5, 0, 1, []), (6, 0, 1, []), (6, 0, 1, []), (7, 0, 0, [])]
     assert sorted(((r["doc_id"], r["n_hit"], r["n_words"], r["item_ids"]) for r in got), key=str) == sorted(wanted, key=str)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice(["ta", "ro", "mi", "ken"]) for _ in range(4)) for _ in range(60)) for _ in range(5))
+    item = " ".join(f"item{k}" for k in range(13))
+    near = lambda text: text + " end"
+    # by stage: letterless and null texts; copies; near copies; test items
+    rows = [(None, "12 34"), (9, None), (None, a), (7, b), (7, c), (3, c), (3, c), (7, near(b)), (None, near(c)), (None, d), (None, d), (None, near(d)), (8, item), (8, e), (None, item + " x")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    lettered = rows[2:]
+    distinct = [(None, a), (7, b), (3, c), (7, near(b)), (None, near(c)), (None, d), (None, near(d)), (8, item), (8, e), (None, item + " x")]
+    apart = [(None, a), (3, c), (8, item), (8, e)]
+    ordered = lambda got: sorted(((r["doc_id"], r["text"]) for r in got.select("doc_id", "text").collect()), key=str)
+    alone = ordered(corpus_pipeline.distinct_texts(spark, docs.where("text rlike '[a-z]'"), str(tmp_path)))
+    assert alone == sorted(distinct, key=str)
+    found = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        found.append(ordered(docs))
+    assert found[0] == sorted(lettered, key=str) and found[1] == sorted(distinct, key=str)
+    for got, known in ((found[2], apart), (found[3], [x for x in apart if x[1] != item])):
+        assert [x for x in got if x in apart] == sorted(known, key=str)
+        texts = [t for _, t in got]
+        assert len([t for t in texts if t in (b, near(b))]) == 1 and len([t for t in texts if t in (d, near(d))]) == 1
+        assert len(got) == len(known) + 2 and near(c) not in texts
+    assert all(i is None or i == 7 for i, _ in found[3] if (i, _) not in apart)
