@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +15,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import Stages
+from millrace.llm.shared import Stages, give_back
 
 #: Prediction for texts without a letter.
 UNKNOWN = "und"
 #: Longest first; the fallback for a word tries them in this order.
 GRAM_LENGTHS = (4, 3, 2, 1)
-#: Words kept per language, and n-grams kept per language and length, by frequency in steps of a sixteenth of a doubling: the
-#: model's size bound.
+#: Words kept per language, and n-grams kept per language and length, by frequency in steps of a sixteenth of a doubling.
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 5_000
-#: The most languages a model takes, by words seen.
-LANGUAGES = 200
+#: The model's size bound in scores, words times languages: with over 50 languages each keeps fewer words and n-grams.
+MOST_SCORES = 50_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _characters(*categories: str) -> str:
+    """The inside of a pattern's class: all characters of these Unicode categories (which have none from plane 2 to 13)."""
+    ranges: list[list[int]] = []
+    for c in chain(range(0x20000), range(0xE0000, 0xE0200)):
+        if unicodedata.category(chr(c)) in categories:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in ranges)
+
+
+_MARKS, _NUMERALS = _characters("Mn", "Mc", "Me"), _characters("Nl", "No")
+#: Word characters that are no letters, and marks, which are none but belong to the letter before: rare, so looked for first.
+_ODD = re.compile(f"[{_MARKS}{_NUMERALS}]")
+_NUMERAL = re.compile(f"[{_NUMERALS}]")
+_MARKED_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+
+
 def letter_words(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Stretches of letters (Unicode categories L) with their marks (M), lower-cased."""
+    text = (text or "").lower()
+    if text.isascii() or not _ODD.search(text):
+        return _LETTERS.findall(text)
+    return _MARKED_LETTERS.findall(_NUMERAL.sub(" ", text))
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -50,7 +74,7 @@ def _count(most: int = 400_000):
             for lang, counted in words.items():
                 grams: Counter = Counter()
                 for w, n in counted.items():
-                    out.append((lang, 0, w if len(w) <= 64 else w[:64], n))
+                    out.append((lang, 0, w, n))
                     for k in GRAM_LENGTHS:
                         for g in grams_of(w, k):
                             grams[k, g] += n
@@ -65,6 +89,7 @@ def _count(most: int = 400_000):
             if sum(map(len, words.values())) > most:
                 yield flush()
         yield flush()
+        give_back()
 
     return run
 
@@ -111,7 +136,7 @@ class Model:
 
 
 def fit(stages: Stages, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts words and n-grams of all rows with a language; the most frequent per language make the model.
+    """Counts words and n-grams of all rows with a language; the most frequent of any language make the model, with their counts in all.
 
     A frequency is smoothed by 0.5 over that of the kind's kept items.  Rows with a null text or language are not
     learned from.
@@ -120,16 +145,18 @@ def fit(stages: Stages, docs: DataFrame, text_col: str = "text", lang_col: str =
     counts = rows.mapInArrow(_count(), "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     counts = stages.write(counts, "word-counts")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    langs = sorted(r[0] for r in totals.where("kind = 0").orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect())
-    counts, totals = counts.where(F.col("lang").isin(langs)), totals.where(F.col("lang").isin(langs))
+    sums = {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
+    langs = sorted({lang for lang, _ in sums})
+    most = MOST_SCORES // max(1, len(langs)) ** 2
+    bounds = {kind: max(1, min(GRAMS_PER_LANGUAGE if kind else WORDS_PER_LANGUAGE, most // 2 if not kind else most // (2 * len(GRAM_LENGTHS)))) for kind in (0, *GRAM_LENGTHS)}
     step = F.floor(F.log2("n") * 16).cast("int")
     steps: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for lang, kind, at, items in counts.groupBy("lang", "kind", step.alias("step")).agg(F.count("*")).collect():
         steps.setdefault((lang, kind), []).append((at, items))
-    cut = [(lang, kind, _least_step(found, GRAMS_PER_LANGUAGE if kind else WORDS_PER_LANGUAGE)) for (lang, kind), found in steps.items()]
+    cut = [(lang, kind, _least_step(found, bounds[kind])) for (lang, kind), found in steps.items()]
     cuts = F.broadcast(docs.sparkSession.createDataFrame(cut, "lang string, kind int, least int"))
-    kept = counts.join(cuts, ["lang", "kind"]).where(step >= F.col("least")).select("lang", "kind", "item", "n")
-    sums = {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
+    items = stages.write(counts.join(cuts, ["lang", "kind"]).where(step >= F.col("least")).select("kind", "item").distinct(), "kept-items")
+    kept = counts.join(F.broadcast(items), ["kind", "item"]).select("lang", "kind", "item", "n")
     index: dict[tuple[int, str], int] = {}
     found: list[tuple[int, int, int]] = []
     column = {x: i for i, x in enumerate(langs)}
@@ -169,6 +196,8 @@ def _predict(model, most: int = 200_000):
                 cache.clear()
             scored = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *scored], ["id", *batch.schema.names[2:], "lang_pred", "score"])
+        cache.clear()
+        give_back()
 
     return run
 
@@ -179,7 +208,6 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     Learned from the texts and languages of `training`; predictions read the text alone.  Texts that are null or have no
     letter get "und" and 0; so does every text if nothing was learned.  Ties go to the first language by
     name.  Null ids and repeated rows are judged like others.  An empty table gives no rows.  Other columns are not read.
-    Words over 64 letters are learned by their first 64 but scored by their n-grams.
     """
     spark = docs.sparkSession
     with Stages(spark, "language") as stages:
