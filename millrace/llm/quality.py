@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import Stages, text_bytes
 
-#: Rows of either kind that a fit takes at most: those with the least hash of the id.
+#: Rows of either kind that a fit takes, about: those whose id's hash is within a bound computed from the count.
 FIT_ROWS = 8_000
+#: Buckets of hashed words, and of hashed byte trigrams.
+BUCKETS = 128
 EPOCHS = 300
 HIDDEN = 24
 #: The class prior where no label tells it.
@@ -26,7 +29,7 @@ _WORD_END = re.compile(rb"[A-Za-z\x80-\xff]+[^A-Za-z\x80-\xff\s]{2,}$")
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Shape of a text: sizes, repetition of words and lines, shares of kinds of words and bytes, all over the whole text."""
+    """Sizes, repetition of words and lines, shares of kinds of words and bytes, hashed words and byte trigrams, all over the whole text."""
     text = text or b""
     words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
     n, size = len(words), max(1, len(text))
@@ -59,7 +62,19 @@ def features(text: bytes | None) -> np.ndarray:
         seen[:32].sum() / size,
         *(np.sqrt(seen[c] / size) for c in _MARKS),
     ]
-    return np.array(values, np.float32)
+    word_at = np.fromiter((zlib.crc32(w) % BUCKETS for w in lower), np.int64, len(lower))
+    hashed = np.bincount(word_at, np.fromiter(lower.values(), np.float64, len(lower)), BUCKETS) / max(1, n)
+    return np.concatenate((np.array(values, np.float32), np.sqrt(hashed).astype(np.float32), np.sqrt(_trigrams(text) / size).astype(np.float32)))
+
+
+def _trigrams(text: bytes, step: int = 1 << 20) -> np.ndarray:
+    """Counts of hashed byte trigrams, a stretch of the text at a time."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, max(0, len(text) - 2), step):
+        a = np.frombuffer(text, np.uint8)[at : at + step + 2].astype(np.uint32)
+        codes = (a[:-2] | a[1:-1] << 8 | a[2:] << 16) * np.uint32(0x9E3779B1)
+        counts += np.bincount(codes >> np.uint32(25), minlength=BUCKETS)
+    return counts
 
 
 @dataclass
@@ -116,25 +131,30 @@ def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "features"])
+        yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["features"])
 
 
 def _score(network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(len(batch), -1)
+                x = np.stack([features(t) for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.value.score(x).astype(np.float64))], ["id", "score"])
 
     return run
 
 
+def _among(share: float) -> F.Column:
+    """Whether the id's hash is in the first `share` of all hashes."""
+    return F.shiftrightunsigned(F.xxhash64("id"), 11) < F.lit(int(min(1.0, share) * (1 << 53)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: id, score (the probability of label 1), predicted.
 
     Trusted positives are the documents whose labels are all 1; unlabelled are those without a label here, the
-    rest of the table.  The class prior is the share of 1 among labels.  A fit takes up to FIT_ROWS of either kind.
+    rest of the table.  The class prior is the share of 1 among labels.  A fit takes about FIT_ROWS of either kind, chosen by
+    the hash of the id; never more than twice that, which bounds rows that repeat an id.
 
     Null and empty texts get the score of an empty text.  Null labels and labels of no document are left out; with no
     positive or no unlabelled document all scores are the prior.  Null ids and repeated rows are scored like
@@ -143,19 +163,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     with Stages(spark, "quality") as stages:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-        extracted = stages.write(texts.mapInArrow(_extract, "id long, features binary"), "features")
         marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
         marked = stages.write(marked.groupBy("id").agg(F.min("y").alias("y")), "labels")
-        share = marked.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
-        prior = min(0.99, max(0.01, PRIOR if share is None else share))
-        kinds = {"positive": extracted.join(marked.where("y = 1").select("id"), "id", "left_semi"), "unlabelled": extracted.where("id is not null").join(marked.select("id"), "id", "left_anti")}
+        n_labels, n_positive = marked.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
+        prior = min(0.99, max(0.01, n_positive / n_labels if n_labels else PRIOR))
+        n_docs = texts.where("id is not null").count()
+        positive = marked.where("y = 1").where(_among(FIT_ROWS / max(1, n_positive))).select("id")
+        # both sides keep the same hashes, so what is sent around is bounded by the share
+        share = min(FIT_ROWS / max(1, n_docs - n_labels), 4 * FIT_ROWS / max(1, n_docs), 4 * FIT_ROWS / max(1, n_labels))
+        kinds = [
+            texts.join(F.broadcast(positive), "id", "left_semi"),
+            texts.where(F.col("id").isNotNull() & _among(share)).join(F.broadcast(marked.where(_among(share)).select("id")), "id", "left_anti"),
+        ]
         samples = []
-        for rows in kinds.values():
-            taken = rows.select("features", F.xxhash64("id").alias("h")).orderBy("h").limit(FIT_ROWS).select("features").collect()
+        for rows in kinds:
+            taken = rows.limit(2 * FIT_ROWS).mapInArrow(_extract, "features binary").collect()
             samples.append(np.array([np.frombuffer(r[0], np.float32) for r in taken], np.float64))
         if all(len(x) for x in samples):
             network = fit_positive_unlabelled(*samples, prior)
-            found = extracted.mapInArrow(_score(spark.sparkContext.broadcast(network)), "id long, score double")
+            found = texts.mapInArrow(_score(spark.sparkContext.broadcast(network)), "id long, score double")
         else:
-            found = extracted.select("id", F.lit(float(prior)).alias("score"))
+            found = texts.select("id", F.lit(float(prior)).alias("score"))
         return stages.keep(found.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
