@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from millrace.llm.shared import Stages, text_bytes
 
@@ -17,8 +18,8 @@ _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c
 #: Item words in one automaton; more items go to further automata, each a pass of its own.
 BLOCK_WORDS = 100_000
 
-_HITS = "spans array<struct<start:int,end:int>>, item_ids array<string>"
-_SCHEMA = f"id long, n_words long, n_hit long, {_HITS}"
+_HITS = StructType().add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("item_ids", ArrayType(StringType()))
+_COUNTS = StructType().add("n_words", "long").add("n_hit", "long")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -136,15 +137,20 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def _scan(automaton, first: bool, last: bool):
-    """Adds one automaton's spans and items to those of the automata before it; all but the last pass carry the text on."""
+def _scan(automaton, first: bool, last: bool, with_text: bool):
+    """Adds one automaton's spans and items to those of the automata before it; columns after the text are carried on.
+
+    All but the last pass carry the text on too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton.value
         for batch in batches:
             n_words, n_hit, spans, items = [], [], [], []
             texts = batch.column(1).to_pylist()
-            before = [([], [])] * len(texts) if first else list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            end = batch.num_columns if first else batch.num_columns - 2
+            before = [([], [])] * len(texts) if first else list(zip(batch.column(end).to_pylist(), batch.column(end + 1).to_pylist(), strict=True))
+            carried = {name: batch.column(i) for i, name in enumerate(batch.schema.names[:end]) if i != 1 or with_text or not last}
             for text, (old_spans, old_items) in zip(texts, before, strict=True):
                 words = words_of(text)
                 found, held = matcher.match(words)
@@ -157,10 +163,8 @@ def _scan(automaton, first: bool, last: bool):
                 items.append(sorted(held))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             hits = {"spans": pa.array(spans, span), "item_ids": pa.array(items, pa.list_(pa.string()))}
-            if last:
-                columns = {"id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} | hits
-            else:
-                columns = {"id": batch.column(0), "text": batch.column(1)} | hits
+            counts = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} if last else {}
+            columns = carried | counts | hits
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -189,8 +193,9 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     coverage_divisor: int = 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, spans of hit words, item_ids, contaminated.
+    """One row per row of docs: id, the columns of `carry` as they are, n_words, n_hit, spans of hit words, item_ids, contaminated.
 
     A window is `window` consecutive words of an item, or all words of a shorter one.  A document is contaminated when
     hit words are at least one in coverage_divisor of its words.  The benchmark is taken in blocks of
@@ -204,21 +209,26 @@ def find_contamination(
     """
     spark = docs.sparkSession
     with Stages(spark, "decontaminate") as stages:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+        kept = [c for c in carry if c != text_col]
+        with_text = text_col in carry
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in kept))
+        carried = texts.schema.fields
         blocks = _blocks(benchmark, item_col, item_text_col) if benchmark is not None else iter(())
         items, written = next(blocks, []), None
         while True:
             following = next(blocks, None)
-            scan = _scan(spark.sparkContext.broadcast(Automaton(items, window)), written is None, following is None)
+            scan = _scan(spark.sparkContext.broadcast(Automaton(items, window)), written is None, following is None, with_text)
             if following is None:
-                found = (texts if written is None else written).mapInArrow(scan, _SCHEMA)
+                first = carried if with_text else [carried[0], *carried[2:]]
+                found = (texts if written is None else written).mapInArrow(scan, StructType([*first, *_COUNTS.fields, *_HITS.fields]))
                 break
             before, items = written, following
-            written = stages.write((texts if before is None else before).mapInArrow(scan, f"id long, text binary, {_HITS}"), "hits")
+            written = stages.write((texts if before is None else before).mapInArrow(scan, StructType([*carried, *_HITS.fields])), "hits")
             if before is not None:
                 stages.drop(before)
         contaminated = (F.col("n_hit") > 0) & (coverage_divisor * F.col("n_hit") >= F.col("n_words"))
-        return stages.keep(found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "item_ids", contaminated.alias("contaminated")))
+        returned = [(F.col("text").cast("string") if c == text_col else F.col(f"carried_{c}")).alias(c) for c in carry]
+        return stages.keep(found.select(F.col("id").alias(id_col), *returned, "n_words", "n_hit", "spans", "item_ids", contaminated.alias("contaminated")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

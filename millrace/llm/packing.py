@@ -24,6 +24,9 @@ PIECE = 512
 #: Windows balanced at a time.
 GROUP_WINDOWS = 32
 
+#: Stretches remembered in either half, some 75 MB.
+REMEMBERED = 400_000
+
 #: A character of one id, which stands between stretches.
 _MARK = "\x01"
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
@@ -40,7 +43,7 @@ class CachedTokenizer:
     one, and what was not asked for again since then goes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -83,9 +86,9 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=1)
-def tokenizer_at(path: str) -> CachedTokenizer:
+def tokenizer_at(path: str, most: int = REMEMBERED) -> CachedTokenizer:
     """One to a Python worker: the tasks that it runs one after the other share what is remembered."""
-    return CachedTokenizer(path)
+    return CachedTokenizer(path, most)
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -121,9 +124,9 @@ def balance(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         windows += 1
 
 
-def _pack(path: str, window: int, end_id: int, piece: int, group_windows: int, with_ids: bool):
+def _pack(path: str, window: int, end_id: int, piece: int, group_windows: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = tokenizer_at(path), int(end_id).to_bytes(4, "little")
+        tokenizer, end = tokenizer_at(path, remembered), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         full: list[tuple] = []
         rest: list[tuple] = []
@@ -187,6 +190,7 @@ def pack(
     piece: int = PIECE,
     group_windows: int = GROUP_WINDOWS,
     with_ids: bool = True,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, token_ids.
 
@@ -200,7 +204,7 @@ def pack(
     """
     with Stages(docs.sparkSession, "packing") as stages:
         texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-        pieces = texts.mapInArrow(_pack(tokenizer_path, window, end_id, piece, group_windows, with_ids), _SCHEMA)
+        pieces = texts.mapInArrow(_pack(tokenizer_path, window, end_id, piece, group_windows, with_ids, remembered), _SCHEMA)
         if not with_ids:
             pieces = pieces.drop("token_ids")
         return stages.keep(pieces.withColumnRenamed("id", id_col), "pieces")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,14 @@ class Stages:
         return self._write(df, name)[0]
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: Python workers live on beside the heap that later stages fill."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: str = "text") -> F.Column:
     """The text as UTF-8 bytes, which Python workers read without decoding."""
     return F.col(column).cast("string").cast("binary")
