@@ -14,6 +14,10 @@ from millrace.llm.shared import Stages, shared_folder
 #: A prediction less sure than this is no language.
 LEAST_SCORE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The most row numbers that are broadcast: 16 MB, and some 64 MB as a hash table.
+BROADCAST_ROWS = 2_000_000
+#: Stretches that the tokenizer remembers: fewer than alone, beside what the stages before left in an executor's memory.
+REMEMBERED = 100_000
 #: Number of a row, by which stages decide: ids may be null or repeated.
 ROW = "row"
 
@@ -25,15 +29,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return Stages(docs.sparkSession, "rows").keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "rows")
 
 
-def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of documents and ROW."""
-    return docs.join(rows.select(ROW), ROW, "left_semi").select(*COLUMNS, ROW)
+def without(stages: Stages, docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs but those dropped.  Up to BROADCAST_ROWS numbers (8 bytes each) are sent to every executor; more are joined by shuffle."""
+    dropped = stages.keep(dropped.select(ROW), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti").select(*COLUMNS, ROW)
 
 
-def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group `of`: that with the smallest id; rows without an id come last."""
-    placed = groups.join(docs.select("doc_id", ROW), ROW).groupBy("of")
-    return placed.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col("first")[ROW].alias(ROW))
+def place() -> F.Column:
+    """Order within a group: the smallest id first, rows without an id last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,28 +49,35 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, whatever the ids."""
+    """One row of each group of equal texts, whatever the ids: that with the smallest id; rows without an id come last."""
     docs = numbered(docs)
-    found = exact_dedup.exact_dedup(docs, id_col=ROW)
-    repeated = first_rows(docs, found.where("group_size > 1").select(ROW, F.col("text_sha256").alias("of")))
-    return keep(docs, found.where("group_size = 1").select(ROW).union(repeated))
+    with Stages(spark, "distinct-texts") as stages:
+        found = exact_dedup.exact_dedup(docs.withColumn("place", place()), id_col="place")
+        return without(stages, docs, found.where("not kept").select(F.col("place")[ROW].alias(ROW)))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, whatever the ids."""
+    """One row of each group of near copies, whatever the ids: that with the smallest id; rows without an id come last."""
     docs = numbered(docs)
-    found = minhash_dedup.near_duplicates(docs, id_col=ROW)
-    return keep(docs, first_rows(docs, found.select(ROW, F.col("component_id").alias("of"))))
+    with Stages(spark, "distinct-documents") as stages:
+        found = minhash_dedup.near_duplicates(docs, id_col=ROW)
+        later = found.where(F.col(ROW) != F.col("component_id")).select(ROW, F.col("component_id").alias("of"))
+        heads = later.select(F.col("of").alias(ROW), "of").distinct()
+        placed = stages.write(later.union(heads).join(docs.select("doc_id", ROW), ROW).select("of", place().alias("place")), "placed")
+        first = stages.write(placed.groupBy("of").agg(F.min("place").alias("first")), "first")
+        dropped = placed.join(first, "of").where(F.col("place")[ROW] != F.col("first")[ROW])
+        return without(stages, docs, dropped.select(F.col("place")[ROW].alias(ROW)))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = numbered(docs)
+    """Rows that the benchmark's items do not contaminate; each row is judged alone and carried through the scan."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return keep(docs, decontaminate.find_contamination(docs, benchmark, id_col=ROW).where("not contaminated"))
+    found = decontaminate.find_contamination(numbered(docs), benchmark, id_col=ROW, carry=COLUMNS)
+    return found.where("not contaminated").select(*COLUMNS, ROW)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, word_tokenizer(), with_ids=False)
+    return packing.pack(docs, word_tokenizer(), with_ids=False, remembered=REMEMBERED)
 
 
 STAGES = [
