@@ -62,15 +62,51 @@ def test_exact(spark, corpus):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [256, 2])
+def test_exact_null_and_repeated_ids_and_clashing_columns(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot_rows)
+    rows = [(None, "a b"), (5, "a\tb"), (5, "a b"), (5, "other"), (9, "other"), (9, None), (None, "x"), *((i, "copy  of\nall") for i in range(20, 60))]
+    docs = frame(spark, rows).select("doc_id", "text", *(F.lit("clash").alias(c) for c in ("id", "key", "n", "slot", "bucket", "keep_id", "chain", "sha")))
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, bucket_entries=2).collect())
+    wanted = [(None, 5, 3, False), (5, 5, 3, True), (5, 5, 3, True), (5, 5, 2, True), (9, 5, 2, False), (9, 9, 1, True), (None, None, 1, False)]
+    assert got == Counter(wanted + [(i, 20, 40, i == 20) for i in range(20, 60)])
+
+
+def test_exact_results_come_from_the_index(spark, monkeypatch):
+    docs = frame(spark, [(i, f"text {i // 2}") for i in range(40)])
+    held = exact_dedup.grow_directory
+    half = lambda *a: ((found := held(*a))[0].where("slot % 2 = 0"), found[1])
+    monkeypatch.setattr(exact_dedup, "grow_directory", half)
+    assert 0 < exact_dedup.exact_dedup(docs, bucket_entries=2).count() < 40
+
+
+def test_colliding_keys_form_chains(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.hash(F.length(F.col("text"))).cast("long") if c == ("text",) else F.hash(*c).cast("long"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["chain"]) for r in exact_dedup.exact_dedup(frame(spark, [(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "e")])).collect()}
+    assert got == {1: (1, 2, 0), 3: (1, 2, 0), 2: (2, 2, 1), 4: (2, 2, 1), 5: (5, 1, 0)}
+
+
 def test_directory_splits_only_overfull_buckets(spark):
-    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    found = exact_dedup.grow_directory(keys, 3000, 100).collect()
-    depth = found[0]["global_depth"]
+    # half of the keys share their top 6 bits, so their buckets split far beyond the rest
+    keys = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.xxhash64("id")).otherwise(F.shiftrightunsigned(F.xxhash64("id"), 6)).alias("key"))
+    with Stages(spark, "test") as stages:
+        directory, depth = exact_dedup.grow_directory(stages, keys, 3000, 100)
+        found = directory.collect()
     at = {r["slot"]: r for r in found}
     sizes = Counter()
     for k in keys.collect():
         sizes[at[(k["key"] % (1 << 64)) >> (64 - depth)]["bucket"]] += 1
     assert max(sizes.values()) <= 100 and sum(sizes.values()) == 3000
+    local = {r["bucket"]: r["local_depth"] for r in found}
+    slots = Counter(r["bucket"] for r in found)
+    assert all(slots[b] == 1 << (depth - d) for b, d in local.items()) and max(local.values()) == depth > 8 and min(local.values()) < 8
+    start = min(local.values())
+    parents = Counter()
+    for b, n in sizes.items():
+        if local[b] > start:
+            parents[b >> (depth - local[b] + 1), local[b] - 1] += n
+    deepest = {k: n for k, n in parents.items() if k[1] == depth - 1}
+    assert all(n > 100 for n in deepest.values())
 
 
 def test_components(spark):
@@ -328,24 +364,37 @@ def edits(x, y):
     return row[-1]
 
 
-def test_fuzzy_lines(spark):
-    rng = random.Random(12)
-    base = [prose(rng, 40) for _ in range(12)]
-    docs = [(i, "\n".join(rng.choice(base) if rng.random() < 0.5 else " ".join([*(w := rng.choice(base).split())[:-1], w[-1] + "x"]) for _ in range(5))) for i in range(40)]
-    docs += [(100, None), (101, ""), (102, "\n\n--\n"), (103, "a b c\nA  b, c!\na b d"), (None, base[0]), (40, base[0].upper() + "\n" + prose(rng, 3000))]
-    got = {r["doc_id"]: r for r in line_dedup.fuzzy_lines(frame(spark, docs)).collect()}
+def normal(line):
     import re
 
-    norm = lambda x: re.sub(r"[\s!-/:-@\[-`{-~\d]+", " ", x.lower()).strip()
-    places = [(i, p, norm(x), x) for i, t in docs if i is not None and t is not None for p, x in enumerate(t.split("\n"))]
-    forms = sorted({n for _, _, n, _ in places if n})
-    hashes = {r["norm"]: r["simhash"] for r in line_dedup.simhashes(spark.createDataFrame([(f, i) for i, f in enumerate(forms)], "norm string, first long").repartition("norm")).collect()}
+    return re.sub(r"[\s!-/:-@\[-`{-~\d]+", " ", line.lower()).strip()
+
+
+def edited_groups(forms):
+    """The representative of each form's group, linked by edits of a tenth of the longer form at most."""
     group = {f: f for f in forms}
     for x in forms:
         for y in forms:
-            if x < y and min(len(x.split()), len(y.split())) >= 5 and bin((hashes[x] ^ hashes[y]) & (2**64 - 1)).count("1") <= 2 and edits(x, y) <= int(0.1 * max(len(x), len(y))):
+            most = int(0.1 * max(len(x), len(y)))
+            if x < y and group[x] != group[y] and abs(len(x) - len(y)) <= most and edits(x, y) <= most:
                 gx, gy = group[x], group[y]
                 group = {k: gx if v == gy else v for k, v in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("short_list", [64, 2])
+def test_fuzzy_lines(spark, monkeypatch, short_list):
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", short_list)
+    rng = random.Random(12)
+    base = [prose(rng, 40) for _ in range(12)]
+    docs = [(i, "\n".join(rng.choice(base) if rng.random() < 0.5 else " ".join([*(w := rng.choice(base).split())[:-1], w[-1] + "x"]) for _ in range(5))) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, "\n\n--\n"), (103, "a b c\nA  b, c!\na b d"), (None, base[0]), (40, base[0].upper() + "\n" + prose(rng, 3000))]
+    docs += [(200 + i, f"{base[0]} {'abcdefghij'[i]}") for i in range(10)]
+    clashing = frame(spark, docs).select("doc_id", "text", *(F.lit(1).alias(c) for c in ("id", "h", "pos", "norm", "node", "lines", "dropped")))
+    got = {r["doc_id"]: r for r in line_dedup.fuzzy_lines(clashing).collect()}
+    places = [(i, p, normal(x), x) for i, t in docs if i is not None and t is not None for p, x in enumerate(t.split("\n"))]
+    forms = sorted({n for _, _, n, _ in places if n})
+    group = edited_groups(forms)
     keep = {}
     for i, p, n, _ in sorted(places):
         if n:
@@ -360,6 +409,53 @@ def test_fuzzy_lines(spark):
     assert line_dedup.fuzzy_lines(empty(spark)).count() == 0
 
 
+def test_fuzzy_lines_repeated_ids(spark):
+    line = "the same line stands in all of these texts"
+    rows = [(1, line), (1, line), (1, line + "\nmore words of its own"), (None, line), (None, line)]
+    got = line_dedup.fuzzy_lines(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) in (Counter({(1, 0): 2, (1, 1): 1, (None, 0): 2}), Counter({(1, 1): 2, (1, 0): 1, (None, 0): 2}))
+
+
+@pytest.mark.parametrize("words", [6, 12, 40])
+def test_fuzzy_lines_find_one_changed_letter(spark, words):
+    rng = random.Random(words)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    lines = [[word() for _ in range(words)] for _ in range(300)]
+    changed = []
+    for w in lines:
+        k = rng.randrange(words)
+        changed.append(w[:k] + [w[k][:1] + rng.choice(letters) + w[k][2:]] + w[k + 1 :])
+    docs = [(i, " ".join(w)) for i, w in enumerate(lines)] + [(1000 + i, " ".join(w)) for i, w in enumerate(changed)]
+    assert line_dedup.fuzzy_lines(frame(spark, docs)).agg(F.sum("n_removed")).first()[0] >= (295 if words > 6 else 270)
+
+
+def test_fuzzy_lines_recall_on_the_test_data(spark):
+    """Against edit distance alone, over pairs of lines of up to 400 characters that share two neighbouring words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    forms = sorted({n for r in docs.collect() for x in (r["text"] or "").split("\n") if 10 <= len(n := normal(x)) <= 400})
+    posts = defaultdict(set)
+    for f in forms:
+        ws = f.split()
+        for g in zip(ws, ws[1:], strict=False):
+            posts[g].add(f)
+    pairs = {(x, y) for fs in posts.values() if len(fs) <= 40 for x in fs for y in fs if x < y and abs(len(x) - len(y)) <= 0.1 * max(len(x), len(y))}
+    near = []
+    for x, y in pairs:
+        apart = (Counter(x) - Counter(y)).total(), (Counter(y) - Counter(x)).total()
+        if max(apart) <= int(0.1 * max(len(x), len(y))) and edits(x, y) <= int(0.1 * max(len(x), len(y))):
+            near.append((x, y))
+    lines = spark.createDataFrame([(i, f, len(f)) for i, f in enumerate(forms)], "node long, norm string, len int")
+    with Stages(spark, "test") as stages:
+        classes = stages.write(lines, "classes")
+        posts, simhashes = line_dedup.signatures(stages, classes)
+        found, _ = line_dedup.candidates(stages, posts)
+        links = {(r["a"], r["b"]) for r in line_dedup.within_edits(stages, classes, simhashes, found).collect()}
+    number = {f: i for i, f in enumerate(forms)}
+    got = sum(tuple(sorted((number[x], number[y]))) in links for x, y in near)
+    assert len(near) > 100 and got >= 0.9 * len(near)
+
+
 def test_remembered_stretches_equal_the_plain_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
