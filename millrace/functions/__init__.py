@@ -1 +1 @@
-
+"""Rules that are expressions over columns."""

@@ -36,3 +36,23 @@ def dependency(units: DataFrame, flat: DataFrame) -> DataFrame:
     rows = via.join(units, "sku", "left").withColumn("own_units", F.coalesce("units", F.lit(0.0)))
     share = 100 * F.col("via_bundles") / (F.col("own_units") + F.col("via_bundles"))
     return rows.select("sku", "own_units", "via_bundles", share.alias("share_pct"), (share >= 50).alias("bundle_driven"))
+
+
+def faults(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """(bundle, component, fault): unknown bundles and components, and components that are bundles themselves; known has (sku)."""
+    names = known.select(F.col("sku").alias("bundle"), F.lit(True).alias("has_bundle")), known.select(F.col("sku").alias("component"), F.lit(True).alias("has_component"))
+    nested = parts.select(F.col("bundle").alias("component"), F.lit(True).alias("nested")).distinct()
+    met = parts.select("bundle", "component").join(names[0], "bundle", "left").join(names[1], "component", "left").join(nested, "component", "left")
+    fault = F.when(F.col("has_bundle").isNull(), "unknown bundle").when(F.col("has_component").isNull(), "unknown component").when(F.col("nested"), "nested")
+    return met.withColumn("fault", fault).where("fault IS NOT NULL").select("bundle", "component", "fault")
+
+
+def attribute(daily: DataFrame, flat: DataFrame) -> DataFrame:
+    """(sku, ds, y, bundle_units, from_bundle_only): daily sales with the units that components sold through bundles, on days of their own too.
+
+    daily has one row per product and day, so each day's bundle units are added once.  Bundles keep their rows.
+    """
+    via = flat.where("bundle != sku").select(F.col("bundle"), F.col("sku").alias("component"), "qty")
+    pushed = daily.where("y > 0").join(via, daily["sku"] == via["bundle"]).groupBy(F.col("component").alias("sku"), "ds").agg(F.sum(F.col("y") * F.col("qty")).alias("extra")).where("extra > 0")
+    met = daily.select("sku", "ds", "y").join(pushed, ["sku", "ds"], "full_outer")
+    return met.select("sku", "ds", (F.coalesce("y", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("y"), F.coalesce("extra", F.lit(0.0)).alias("bundle_units"), F.col("y").isNull().alias("from_bundle_only"))

@@ -90,3 +90,40 @@ def hold_out_promotions(filled: DataFrame, promo: F.Column) -> DataFrame:
 def without_closed_days(rows: DataFrame, closed: DataFrame) -> DataFrame:
     """Rows on days that `closed` (ds) doesn't list."""
     return rows.join(closed.select("ds").distinct(), "ds", "left_anti")
+
+
+def closed_days(dates: DataFrame, yearly: DataFrame, first: str, last: str) -> DataFrame:
+    """(ds): single dates (ds) and yearly rules (month, day) within a range; 29 February is left out of other years."""
+    years = yearly.withColumn("year", F.explode(F.sequence(F.year(F.lit(first).cast("date")), F.year(F.lit(last).cast("date")))))
+    every = years.select(F.expr("try_make_timestamp(year, month, day, 0, 0, 0)").cast("date").alias("ds")).union(dates.select("ds"))
+    return every.where(F.col("ds").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).distinct()
+
+
+def zero_closed_days(forecast: DataFrame, closed: DataFrame, *columns: str) -> DataFrame:
+    """A forecast with nothing sold on closed days."""
+    shut = closed.select("ds", F.lit(True).alias("shut")).distinct()
+    rows = forecast.join(shut, "ds", "left")
+    return rows.withColumns({c: F.when(F.col("shut"), 0.0).otherwise(F.col(c)) for c in columns}).drop("shut")
+
+
+def reanchored(rows: DataFrame, newest: F.Column) -> DataFrame:
+    """All days moved so that the newest is `newest`; `shift` undoes it."""
+    end = F.broadcast(rows.agg(F.max("ds").alias("end")))
+    moved = rows.join(end).withColumn("shift", F.datediff(newest, "end"))
+    return moved.withColumn("ds", F.expr("date_add(ds, shift)")).drop("end")
+
+
+def true_days(rows: DataFrame) -> DataFrame:
+    """The days of reanchored() rows as they were."""
+    return rows.withColumn("ds", F.expr("date_sub(ds, shift)")).drop("shift")
+
+
+def scoreable_days(estimated: DataFrame) -> DataFrame:
+    """Days that may be graded: all but those on which nothing could be sold."""
+    return estimated.where("kind <> 'unavailable'")
+
+
+def from_day(forecast: DataFrame, day: F.Column) -> DataFrame:
+    """A forecast from a day on; products whose forecast ends before it keep all of theirs."""
+    last = forecast.groupBy("sku").agg(F.max("ds").alias("last"))
+    return forecast.join(last, "sku").where((F.col("ds") >= day) | (F.col("last") < day)).drop("last")

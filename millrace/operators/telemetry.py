@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A reading speaks for this many hours at most.
+#: The last reading speaks for this many hours.
 CARRY_HOURS = 26
 #: Hours of a day that readings must cover.
 LEAST_HOURS = 12
@@ -24,14 +24,24 @@ def jumps(readings: DataFrame, least: int = 3) -> DataFrame:
     return readings.withColumn("gain", gain).where(F.col("gain") >= least).select("sku", "ts", "gain")
 
 
+def local_day(ts: F.Column, zone: str) -> F.Column:
+    """The store's day of a UTC instant."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def day_start(day: F.Column, zone: str) -> F.Column:
+    """The UTC instant at which a store's day starts."""
+    return F.to_utc_timestamp(day.cast("timestamp"), zone)
+
+
 def hours_in_stock(readings: DataFrame) -> DataFrame:
     """(sku, ds, covered, hours): per UTC day the seconds that readings cover, and the hours in stock scaled to 24.
 
-    A reading holds until the next or for CARRY_HOURS; stretches are cut at midnight, and days covered less than LEAST_HOURS left out.
+    A reading holds until the next one, the last for CARRY_HOURS; stretches are cut at midnight, and days covered less than LEAST_HOURS left out.
     """
     second = F.unix_timestamp("ts")
     nxt = F.lead(second).over(Window.partitionBy("sku").orderBy("ts"))
-    held = readings.select("sku", "on_hand", second.alias("a"), F.least(F.coalesce(nxt, second + CARRY_HOURS * 3600), second + CARRY_HOURS * 3600).alias("b")).where("b > a")
+    held = readings.select("sku", "on_hand", second.alias("a"), F.coalesce(nxt, second + CARRY_HOURS * 3600).alias("b")).where("b > a")
     days = held.withColumn("d", F.explode(F.sequence(F.floor(F.col("a") / 86400), F.floor((F.col("b") - 1) / 86400))))
     share = F.least("b", (F.col("d") + 1) * 86400) - F.greatest("a", F.col("d") * 86400)
     sums = days.withColumn("s", share).groupBy("sku", "d").agg(F.sum("s").alias("covered"), F.sum(F.when(F.col("on_hand") > 0, F.col("s")).otherwise(0)).alias("stocked"))
@@ -39,14 +49,75 @@ def hours_in_stock(readings: DataFrame) -> DataFrame:
     return whole.select("sku", F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).alias("ds"), "covered", (24.0 * F.col("stocked") / F.col("covered")).alias("hours"))
 
 
+def availability_series(hours: DataFrame, first: str, last: str) -> DataFrame:
+    """(sku, ds, hours) for every product and day of a range, null where readings don't cover the day."""
+    days = hours.select("sku").distinct().withColumn("ds", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+    return days.join(hours.select("sku", "ds", "hours"), ["sku", "ds"], "left")
+
+
 def demand_estimate(days: DataFrame) -> DataFrame:
-    """Adds kind and estimate to (sku, ds, y, hours): normal, capped, partial or unavailable by the share of the day in stock."""
+    """Adds share, kind, estimate, is_floor and weight to (sku, ds, y, hours, closing).
+
+    Under a tenth of the day in stock a day with sales is capped and one without unavailable; under 95% it is partial, and sales are scaled
+    up to three times; a whole day that ended empty is capped.  Unknown hours count as a whole day, unknown closing stock as not empty.
+    """
     share = F.least(F.greatest(F.coalesce(F.col("hours") / 24, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     rows = days.withColumn("share", share)
-    kind = F.when(share < 0.10, F.when(F.col("y") > 0, "capped").otherwise("unavailable")).when(share < 0.95, "partial").otherwise("normal")
+    empty = F.coalesce(F.col("closing") <= 0, F.lit(False))
+    kind = F.when(F.col("share") < 0.10, F.when(F.col("y") > 0, "capped").otherwise("unavailable")).when(F.col("share") < 0.95, "partial").when(empty, "capped").otherwise("normal")
     rows = rows.withColumn("kind", kind)
-    estimate = F.when(F.col("kind") == "partial", F.col("y") * F.least(F.lit(3.0), 1 / F.col("share"))).when(F.col("kind") != "unavailable", F.col("y"))
-    return rows.withColumn("estimate", estimate)
+    partial, gone = F.col("kind") == "partial", F.col("kind") == "unavailable"
+    estimate = F.when(partial, F.col("y") * F.least(F.lit(3.0), 1 / F.col("share"))).when(~gone, F.col("y"))
+    weight = F.when(gone, 0.0).when(F.col("kind") == "capped", 0.5).when(partial, F.greatest(F.lit(0.1), F.col("share"))).otherwise(1.0)
+    return rows.withColumns({"estimate": estimate, "is_floor": F.col("kind") != "normal", "weight": weight})
+
+
+def demand_frame(days: DataFrame) -> DataFrame:
+    """Training rows of demand in place of sales: (sku, ds, y, kind, weight) from (sku, ds, y, hours, closing).
+
+    Without hours, an empty day without a sale after a day that closed empty had nothing to sell.  Unavailable days go, partial ones
+    are scaled up, capped ones keep their sales as a floor.
+    """
+    before = F.lag("closing").over(Window.partitionBy("sku").orderBy("ds"))
+    still_empty = F.col("hours").isNull() & (F.col("closing") <= 0) & (F.col("before") <= 0) & (F.col("y") <= 0)
+    known = days.withColumn("before", before).withColumn("hours", F.when(still_empty, 0.0).otherwise(F.col("hours"))).drop("before")
+    return demand_estimate(known).where("kind <> 'unavailable'").select("sku", "ds", F.col("estimate").alias("y"), "kind", "weight")
+
+
+def order_matches(gains: DataFrame, orders: DataFrame, daily: DataFrame | None = None) -> DataFrame:
+    """(sku, ts, gain, order_id, qty, score): the open order that explains a rise of stock best.
+
+    orders has (sku, order_id, qty, expected); one is considered from 21 days before to 60 after its expected day if the sizes are within a
+    half, scored by 0.75 size + 0.25 timing.  With daily rates (sku, rate) a rise under two days of sales counts as a refund unless
+    it is exact.
+    """
+    met = gains.join(orders, "sku").withColumn("late", F.datediff("ts", "expected")).where("late BETWEEN -21 AND 60")
+    ratio = F.least(F.col("gain"), F.col("qty")) / F.greatest(F.col("gain"), F.col("qty"))
+    timing = F.greatest(F.lit(0.0), 1 - F.abs("late") / 60.0)
+    scored = met.withColumns({"ratio": ratio}).where("ratio >= 0.5").withColumn("score", 0.75 * F.col("ratio") + 0.25 * timing)
+    if daily is not None:
+        scored = scored.join(daily, "sku", "left").where("gain = qty OR rate IS NULL OR gain >= 2 * rate")
+    best = F.row_number().over(Window.partitionBy("sku", "ts").orderBy(F.desc("score"), "order_id"))
+    return scored.withColumn("r", best).where("r = 1").select("sku", "ts", "gain", "order_id", "qty", "score")
+
+
+def units_sold_since(counts: DataFrame, daily: DataFrame, today: DataFrame) -> DataFrame:
+    """(sku, units): closed days from the count's day on and today's units; counts has (sku, counted_on), today (sku, units)."""
+    closed = daily.join(counts, "sku").where("ds >= counted_on").groupBy("sku").agg(F.sum("y").alias("closed"))
+    rows = counts.join(closed, "sku", "left").join(today.withColumnRenamed("units", "open"), "sku", "left")
+    return rows.select("sku", (F.coalesce("closed", F.lit(0.0)) + F.coalesce("open", F.lit(0.0))).alias("units"))
+
+
+def share_after(hourly: DataFrame, least_days: int = 14) -> DataFrame:
+    """(hour, share): the part of a day's units that sells from the hour on, over days (ds, hour, units); even under least_days days."""
+    total = hourly.groupBy("ds").agg(F.sum("units").alias("total")).where("total > 0")
+    days = F.broadcast(total.agg(F.count("*").alias("days")))
+    part = hourly.join(total, "ds").groupBy("hour").agg(F.sum(F.col("units") / F.col("total")).alias("part"))
+    hours = hourly.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    met = hours.join(part, "hour", "left").join(days).withColumn("part", F.coalesce("part", F.lit(0.0)) / F.col("days"))
+    left = met.select(F.col("hour").alias("h"), "part")
+    summed = met.select("hour", "days").join(F.broadcast(left), F.col("h") >= F.col("hour")).groupBy("hour", "days").agg(F.sum("part").alias("s"))
+    return summed.select("hour", F.when(F.col("days") >= least_days, F.col("s")).otherwise((24 - F.col("hour")) / 24.0).alias("share"))
 
 
 def latest(readings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import rules
 from millrace.operators import backtest, bundles, calendar, demand, forecast, planning, pricing, seasonality, telemetry
 from millrace.sources import tables
 
@@ -32,6 +33,10 @@ def filled(spark: SparkSession, d: str, key: str = "p_type") -> DataFrame:
     return calendar.fill_calendar(calendar.daily_sales(tables.sales_lines(spark, d, key)))
 
 
+def daily(spark: SparkSession, d: str, key: str = "p_type") -> DataFrame:
+    return calendar.daily_sales(tables.sales_lines(spark, d, key))
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     """Rounds for comparison; halves go up, whatever their binary form."""
     return df.withColumns({n: F.round(F.col(n) + 1e-9, digits) for n in names})
@@ -77,14 +82,14 @@ classes AS (SELECT sku, days, selling_days, units, CAST(days AS DOUBLE) / nullif
 
 
 def demand_class(spark, d):
-    return rounded(demand.classify(filled(spark, d, "p_partkey")), "adi", "cv2")
+    return rounded(demand.classify(daily(spark, d, "p_partkey")), "adi", "cv2")
 
 
 DEMAND_CLASS = with_(LINES, DAILY, FILLED, CLASSES, key="p_partkey") + "SELECT sku, days, selling_days, units, round(adi + 1e-9, 4) AS adi, round(cv2 + 1e-9, 4) AS cv2, demand_class FROM classes"
 
 
 def dormancy(spark, d):
-    return rounded(demand.dormancy(filled(spark, d, "p_partkey")), "active_adi")
+    return rounded(demand.dormancy(daily(spark, d, "p_partkey")), "active_adi")
 
 
 DORMANCY = (
@@ -107,11 +112,11 @@ SELECT sku, round(x + 1e-9, 4) AS dispersion, CASE WHEN x < 1.25 THEN 'steady' W
 
 
 def forecast_route(spark, d):
-    rows = filled(spark, d, "p_partkey")
+    classes = demand.classify(daily(spark, d, "p_partkey"))
     family = tables.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("sku"), "p_brand")
-    usable = rows.groupBy("sku").agg(F.count("*").alias("days")).where("days >= 180").join(family, "sku").groupBy("p_brand").agg((F.count("*") - 1).alias("relatives"))
+    usable = classes.where("days >= 180").join(family, "sku").groupBy("p_brand").agg((F.count("*") - 1).alias("relatives"))
     relatives = family.join(usable, "p_brand").select("sku", "relatives", F.lit(None).cast("double").alias("cohesion"))
-    return demand.route(demand.classify(rows), relatives)
+    return demand.route(classes, relatives)
 
 
 FORECAST_ROUTE = (
@@ -125,7 +130,7 @@ SELECT sku, CASE WHEN est AND NOT gaps AND demand_class <> 'no_demand' THEN 'reg
 
 
 def volume_peers(spark, d):
-    return rounded(demand.nearest_peers(tables.sales_lines(spark, d, "p_partkey"), 5), "distance", digits=6)
+    return rounded(demand.nearest_peers(tables.sales_lines(spark, d, "p_partkey")), "distance", digits=6)
 
 
 VOLUME_PEERS = (
@@ -133,7 +138,7 @@ VOLUME_PEERS = (
     + """, v AS (SELECT category, sku, ln(sum(units)) AS v FROM lines GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY v, sku) AS place FROM v),
 p AS (SELECT a.sku, a.category, b.sku AS peer, round(abs(a.v - b.v), 9) AS distance, abs(a.place - b.place) AS "between" FROM n a JOIN n b ON a.category = b.category AND a.sku <> b.sku)
-SELECT sku, category, peer, round(distance + 1e-9, 6) AS distance, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category, sku ORDER BY distance, "between", peer) AS r FROM p) WHERE r <= 5"""
+SELECT sku, category, peer, round(distance + 1e-9, 6) AS distance, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category, sku ORDER BY distance, "between", peer) AS r FROM p) WHERE r <= 25"""
 )
 
 
@@ -141,14 +146,28 @@ def monthly_index(spark, d):
     return rounded(seasonality.monthly_index(filled(spark, d)), "index")
 
 
-INDEX = """span AS (SELECT sku, count(*) AS n, avg(y) AS mean FROM filled GROUP BY sku),
-months AS (SELECT sku, month(ds) AS month, avg(y) AS m FROM filled GROUP BY 1, 2 HAVING count(*) >= 8),
-ok AS (SELECT sku FROM months GROUP BY sku HAVING count(*) >= 8),
-raw AS (SELECT s.sku, g.month, 1 + (coalesce(m / mean, 1) - 1) * (n / 365.25) / (n / 365.25 + 1) AS x
+TREND = """tspan AS (SELECT sku, min(ds) AS start, avg(y) AS mean, count(*) AS n FROM filled GROUP BY sku),
+tmon AS (SELECT f.sku, month(m0) AS month, CAST(w AS DOUBLE) AS w, date_diff('day', start, m0 + 14) / 365.25 AS x, ln(greatest(m, 0) + 0.1 * mean + 1e-6) AS z
+  FROM (SELECT sku, CAST(date_trunc('month', ds) AS DATE) AS m0, count(*) AS w, avg(y) AS m FROM filled GROUP BY 1, 2 HAVING count(*) >= 10) f JOIN tspan USING (sku)),
+treg AS (SELECT sku, month, count(*) AS k, sum(w) AS sw, sum(w * x) AS sx, sum(w * z) AS sz, sum(w * x * x) AS sxx, sum(w * x * z) AS sxz FROM tmon GROUP BY 1, 2),
+tsum AS (SELECT sku, sum(k) AS months, count(*) FILTER (k >= 2) AS rep, sum(sxz - sx * sz / sw) / sum(sxx - sx * sx / sw) AS seasonal,
+  (sum(sxz) - sum(sx) * sum(sz) / sum(sw)) / (sum(sxx) - sum(sx) * sum(sx) / sum(sw)) AS line FROM treg GROUP BY sku),
+tslope AS (SELECT sku, start, least(greatest(CASE WHEN n < 60 OR coalesce(months, 0) < 4 THEN 0 WHEN rep >= 2 THEN seasonal ELSE {short} END, -ln(4.0)), ln(4.0)) AS b,
+  CASE WHEN n < 60 OR coalesce(months, 0) < 4 THEN 'none' WHEN rep >= 2 THEN 'seasonal-fit' ELSE {short_name} END AS basis FROM tspan LEFT JOIN tsum USING (sku)),
+level AS (SELECT sku, ds, y * avg(f) OVER (PARTITION BY sku) / f AS y FROM (SELECT sku, ds, y, exp(b * date_diff('day', start, ds) / 365.25) AS f FROM filled JOIN tslope USING (sku)))"""
+TREND_LINEAR = TREND.replace("{short_name}", "'linear'").replace("{short}", "line")
+TREND_NONE = TREND.replace("{short_name}", "'none'").replace("{short}", "0")
+INDEX = TREND_NONE + """, span AS (SELECT sku, count(*) AS n FROM filled GROUP BY sku),
+months AS (SELECT sku, month(ds) AS month, avg(y) AS m, sum(y) AS total, count(*) AS d FROM level GROUP BY 1, 2 HAVING count(*) >= 8),
+ok AS (SELECT sku, sum(total) / sum(d) AS mean FROM months GROUP BY sku HAVING count(*) >= 8),
+r0 AS (SELECT s.sku, g.month, 1 + (coalesce(m / mean, 1) - 1) * {shrunk} AS x
   FROM span s JOIN ok USING (sku) CROSS JOIN (SELECT unnest(range(1, 13)) AS month) g LEFT JOIN months m ON m.sku = s.sku AND m.month = g.month WHERE n >= 330 AND mean > 0),
-r1 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM raw),
+r1 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM r0),
 r2 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM r1),
-r3 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM r2)"""
+r4 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM r2),
+r3 AS (SELECT sku, month, least(greatest(x / avg(x) OVER (PARTITION BY sku), 0.25), 4.0) AS x FROM r4)"""
+UNSHRUNK_INDEX = INDEX.replace("{shrunk}", "1.0")
+INDEX = INDEX.replace("{shrunk}", "(n / 365.0) / (n / 365.0 + 1)")
 MONTHLY_INDEX = with_(LINES, DAILY, FILLED, INDEX) + 'SELECT sku, CAST(month AS INTEGER) AS month, round(x + 1e-9, 4) AS "index" FROM r3'
 
 
@@ -158,7 +177,7 @@ def index_strength(spark, d):
 
 INDEX_STRENGTH = with_(LINES, DAILY, FILLED, INDEX, key="p_brand") + "SELECT sku, round(((max(x) - min(x)) / 2) + 1e-9, 4) AS strength, (max(x) - min(x)) / 2 >= 0.15 AS used FROM r3 GROUP BY sku"
 
-SIGNATURES = """ratios AS (SELECT sku, ds, y / avg(y) OVER (PARTITION BY sku) AS ratio FROM filled),
+SIGNATURES = TREND_LINEAR + """, ratios AS (SELECT sku, ds, y / coalesce(nullif(avg(y) OVER (PARTITION BY sku), 0), 1) AS ratio FROM level WHERE sku IN (SELECT sku FROM filled GROUP BY sku HAVING count(*) >= 120)),
 sig AS (SELECT sku, slot, avg(ratio) AS value FROM (SELECT sku, ratio, unnest([dayofweek(ds) + 1, month(ds) + 7]) AS slot FROM ratios) GROUP BY 1, 2)"""
 
 
@@ -179,8 +198,9 @@ SHAPE_LINKS = (
     with_(LINES, DAILY, FILLED, SIGNATURES, key="p_brand")
     + """, base AS (SELECT slot, avg(value) AS base FROM sig GROUP BY slot),
 own AS (SELECT substring(sku, 1, 7) AS category, sku, slot, value - base AS v FROM sig JOIN base USING (slot)),
-p AS (SELECT a.category, a.sku AS a, b.sku AS b, corr(a.v, b.v) AS r, count(*) FILTER (a.slot > 7) AS months FROM own a JOIN own b ON a.category = b.category AND a.slot = b.slot AND a.sku < b.sku GROUP BY ALL)
-SELECT category, a, b, round((CASE WHEN months >= 5 THEN coalesce(r, 0) ELSE 0 END) + 1e-9, 3) AS likeness, CASE WHEN months >= 5 THEN coalesce(r, 0) ELSE 0 END >= 0.35 AS linked FROM p"""
+p AS (SELECT a.category, a.sku AS a, b.sku AS b, corr(a.v, b.v) AS r, count(*) FILTER (a.slot > 7) AS months, count(*) AS slots, stddev_pop(a.v) < 1e-9 AS fa, stddev_pop(b.v) < 1e-9 AS fb FROM own a JOIN own b ON a.category = b.category AND a.slot = b.slot AND a.sku < b.sku GROUP BY ALL),
+links AS (SELECT category, a, b, CASE WHEN months < 5 OR slots < 3 THEN 0 WHEN fa AND fb THEN 1 WHEN fa OR fb THEN 0 ELSE coalesce(r, 0) END AS likeness FROM p)
+SELECT category, a, b, round(likeness + 1e-9, 3) AS likeness, likeness >= 0.35 AS linked FROM links"""
 )
 
 
@@ -190,8 +210,8 @@ def year_on_year(spark, d):
 
 YEAR_ON_YEAR = (
     with_(LINES, DAILY, FILLED, AGED, key="p_brand")
-    + """, s AS (SELECT sku, sum(y) FILTER (age < 182) AS n, sum(y) FILTER (age >= 364 AND age < 546) AS t FROM aged GROUP BY sku)
-SELECT sku, round((least(greatest(1 + (n / t - 1) * t / (t + 30), 1 / 3.0), 3.0)) + 1e-9, 4) AS growth FROM s WHERE t > 0"""
+    + """, s AS (SELECT sku, count(*) FILTER (age < 182) AS cn, count(*) FILTER (age >= 364 AND age < 546) AS ct, coalesce(sum(y) FILTER (age < 182), 0) AS n, coalesce(sum(y) FILTER (age >= 364 AND age < 546), 0) AS t FROM aged GROUP BY sku)
+SELECT sku, round(CASE WHEN t <= 0 THEN 1 ELSE least(greatest(exp(ln(greatest((n / cn) / (t / ct), 1e-6)) * least(n, t) / (least(n, t) + 30)), 1 / 3.0), 3.0) END + 1e-9, 4) AS growth FROM s WHERE cn >= 20 AND ct >= 20"""
 )
 
 
@@ -201,10 +221,9 @@ def rush_weeks(spark, d):
 
 RUSH_WEEKS = (
     with_(LINES, DAILY, FILLED, AGED, key="p_brand")
-    + """, weeks AS (SELECT sku, CAST(-(age // 7) AS INTEGER) AS w, sum(y) AS units FROM aged GROUP BY 1, 2 HAVING count(*) >= 4),
-n AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY w) AS i FROM weeks),
-u AS (SELECT a.sku, a.w, median(b.units) AS usual FROM n a JOIN n b ON a.sku = b.sku AND abs(a.i - b.i) BETWEEN 2 AND 13 GROUP BY 1, 2),
-hot AS (SELECT weeks.*, weeks.w - row_number() OVER (PARTITION BY sku ORDER BY weeks.w) AS run FROM weeks JOIN u USING (sku, w) WHERE usual > 0 AND units >= 1.5 * usual)
+    + """, weeks AS (SELECT sku, CAST(-(age // 7) AS INTEGER) AS w, sum(y) AS units, avg(y) AS rate FROM aged GROUP BY 1, 2 HAVING count(*) >= 4),
+u AS (SELECT a.sku, a.w, median(b.rate) AS usual FROM weeks a JOIN weeks b ON a.sku = b.sku AND abs(a.w - b.w) BETWEEN 2 AND 13 GROUP BY 1, 2 HAVING count(*) >= 4),
+hot AS (SELECT weeks.*, weeks.w - row_number() OVER (PARTITION BY sku ORDER BY weeks.w) AS run FROM weeks JOIN u USING (sku, w) WHERE usual > 0 AND rate >= 1.5 * usual)
 SELECT sku, min(w) AS first_week, max(w) AS last_week, count(*) AS weeks, sum(units) AS units FROM hot GROUP BY sku, run HAVING count(*) >= 2"""
 )
 
@@ -238,7 +257,7 @@ MOVING_AVERAGE = with_(LINES, DAILY, FILLED, AGED, key="p_brand") + "SELECT sku,
 
 
 def sparse_demand(spark, d):
-    return rounded(forecast.sparse_demand(filled(spark, d, "p_partkey")), "size", "interval", "classic", "corrected")
+    return rounded(forecast.sparse_demand(daily(spark, d, "p_partkey")), "size", "interval", "classic", "corrected")
 
 
 SPARSE_DEMAND = (
@@ -278,7 +297,15 @@ CONFORMAL_OFFSETS = (
 )
 
 SCORES = """span AS (SELECT sku, min(ds) AS a, max(ds) AS b FROM filled GROUP BY sku),
-cuts AS (SELECT sku, CAST(b - CAST(28 + k * 91 AS INTEGER) AS DATE) AS cutoff FROM (SELECT *, unnest(range(0, (date_diff('day', a, b) - 148) // 91 + 1)) AS k FROM span WHERE date_diff('day', a, b) >= 148)),
+room AS (SELECT sku, a + 120 AS first, b - 28 AS last, date_diff('day', a + 120, b - 28) AS testable, greatest(4, date_diff('day', a + 120, b - 28) // 28 + 1) AS windows FROM span WHERE date_diff('day', a + 120, b - 28) >= 0),
+steps AS (SELECT *, least(greatest(1, CAST(round_even(windows * 0.5, 0) AS BIGINT)), testable // step + 1) AS recent FROM room, (SELECT unnest(range(14, 29)) AS step)),
+spread AS (SELECT *, (recent - 1) * step AS oldest, windows - recent AS rest, testable - (recent - 1) * step AS back FROM steps),
+wider AS (SELECT *, greatest(14, back // greatest(rest, 1)) AS wide FROM spread),
+sized AS (SELECT *, CASE WHEN rest > 0 AND back >= 14 THEN least(rest, back // wide) ELSE 0 END AS historic FROM wider),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY recent + historic DESC, step DESC) AS r FROM sized) WHERE r = 1),
+blocks AS (SELECT sku, CAST(last - CAST(i * step AS INTEGER) AS DATE) AS cutoff, 'recent' AS block FROM (SELECT *, unnest(range(0, recent)) AS i FROM picked)
+  UNION ALL SELECT sku, CAST(last - CAST(oldest + i * wide AS INTEGER) AS DATE), 'historic' FROM (SELECT *, unnest(range(1, historic + 1)) AS i FROM picked)),
+cuts AS (SELECT sku, cutoff FROM blocks),
 lev AS (SELECT c.sku, cutoff, avg(y) AS yhat FROM cuts c JOIN filled f ON f.sku = c.sku AND f.ds BETWEEN cutoff - 27 AND cutoff GROUP BY 1, 2),
 sc AS (SELECT sku, ds AS cutoff, avg(abs(y - l)) OVER (PARTITION BY sku ORDER BY ds ROWS UNBOUNDED PRECEDING) AS scale FROM (SELECT *, lag(y, 7) OVER (PARTITION BY sku ORDER BY ds) AS l FROM filled)),
 s AS (SELECT c.sku, c.cutoff, count(*) AS n, sum(y) AS sum_y, sum(yhat) AS sum_yhat, sum(abs(y - yhat)) AS abs_err FROM cuts c JOIN filled f ON f.sku = c.sku AND f.ds BETWEEN c.cutoff + 1 AND c.cutoff + 28 JOIN lev ON lev.sku = c.sku AND lev.cutoff = c.cutoff GROUP BY 1, 2),
@@ -380,7 +407,7 @@ def stock_jumps(spark, d):
 
 STOCK_JUMPS = with_(READINGS) + "SELECT sku, ts, gain FROM (SELECT sku, ts, on_hand - lag(on_hand) OVER (PARTITION BY sku ORDER BY ts) AS gain FROM readings) WHERE gain >= 3"
 
-HOURS = """h AS (SELECT sku, on_hand, CAST(floor(epoch(ts)) AS BIGINT) AS a, least(coalesce(lead(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY sku ORDER BY ts), CAST(floor(epoch(ts)) AS BIGINT) + 93600), CAST(floor(epoch(ts)) AS BIGINT) + 93600) AS b FROM readings),
+HOURS = """h AS (SELECT sku, on_hand, CAST(floor(epoch(ts)) AS BIGINT) AS a, coalesce(lead(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY sku ORDER BY ts), CAST(floor(epoch(ts)) AS BIGINT) + 93600) AS b FROM readings),
 e AS (SELECT *, unnest(range(a // 86400, (b - 1) // 86400 + 1)) AS d FROM h WHERE b > a),
 hours AS (SELECT sku, DATE '1970-01-01' + CAST(d AS INTEGER) AS ds, sum(least(b, (d + 1) * 86400) - greatest(a, d * 86400)) AS covered, sum(CASE WHEN on_hand > 0 THEN least(b, (d + 1) * 86400) - greatest(a, d * 86400) ELSE 0 END) AS stocked
   FROM e GROUP BY 1, 2 HAVING sum(least(b, (d + 1) * 86400) - greatest(a, d * 86400)) >= 43200)"""
@@ -396,63 +423,92 @@ HOURS_IN_STOCK = with_(READINGS, HOURS) + "SELECT sku, CAST(ds AS DATE) AS ds, C
 def _estimated(spark, d):
     readings = tables.stock_readings(spark, d)
     sales = tables.table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("sku"), F.to_date("ts").alias("ds")).agg(F.count("*").cast("double").alias("y"))
-    days = telemetry.hours_in_stock(readings).join(sales, ["sku", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    return telemetry.demand_estimate(days).select("sku", "ds", "y", "kind", "estimate")
+    closing = readings.groupBy("sku", F.to_date("ts").alias("ds")).agg(F.max_by("on_hand", "ts").alias("closing"))
+    days = telemetry.hours_in_stock(readings).join(sales, ["sku", "ds"], "left").join(closing, ["sku", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return telemetry.demand_estimate(days).select("sku", "ds", "y", "kind", "estimate", "is_floor", "weight")
 
 
 def demand_estimate(spark, d):
-    return rounded(_estimated(spark, d), "estimate", digits=3)
+    return rounded(_estimated(spark, d), "estimate", "weight", digits=3)
 
 
 DEMAND_ESTIMATE = (
     with_(READINGS, HOURS)
     + """, sales AS (SELECT user_id AS sku, CAST(ts AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-j AS (SELECT h.sku, CAST(h.ds AS DATE) AS ds, coalesce(y, 0) AS y, CAST(stocked AS DOUBLE) / covered AS share FROM hours h LEFT JOIN sales s ON s.sku = h.sku AND s.ds = CAST(h.ds AS DATE)),
-k AS (SELECT *, CASE WHEN share < 0.10 THEN CASE WHEN y > 0 THEN 'capped' ELSE 'unavailable' END WHEN share < 0.95 THEN 'partial' ELSE 'normal' END AS kind FROM j)
-SELECT sku, ds, y, kind, round((CASE WHEN kind = 'partial' THEN y * least(3.0, 1 / share) WHEN kind <> 'unavailable' THEN y END) + 1e-9, 3) AS estimate FROM k"""
+closes AS (SELECT sku, CAST(ts AS DATE) AS ds, arg_max(on_hand, ts) AS closing FROM readings GROUP BY 1, 2),
+j AS (SELECT h.sku, CAST(h.ds AS DATE) AS ds, coalesce(y, 0) AS y, CAST(stocked AS DOUBLE) / covered AS share, closing FROM hours h LEFT JOIN sales s ON s.sku = h.sku AND s.ds = CAST(h.ds AS DATE) LEFT JOIN closes c ON c.sku = h.sku AND c.ds = CAST(h.ds AS DATE)),
+k AS (SELECT *, CASE WHEN share < 0.10 THEN CASE WHEN y > 0 THEN 'capped' ELSE 'unavailable' END WHEN share < 0.95 THEN 'partial' WHEN closing <= 0 THEN 'capped' ELSE 'normal' END AS kind FROM j)
+SELECT sku, ds, y, kind, round((CASE WHEN kind = 'partial' THEN y * least(3.0, 1 / share) WHEN kind <> 'unavailable' THEN y END) + 1e-9, 3) AS estimate, kind <> 'normal' AS is_floor,
+  round(CASE kind WHEN 'unavailable' THEN 0.0 WHEN 'capped' THEN 0.5 WHEN 'partial' THEN greatest(0.1, share) ELSE 1.0 END + 1e-9, 3) AS weight FROM k"""
 )
 
-PRICE_LEVELS_SQL = """lv AS (SELECT sku, CAST(floor(ln(price) / 0.05) AS BIGINT) AS level, count(*) AS days, avg(y) AS units_per_day, avg(price) AS price FROM priced WHERE price_mixed = 0 AND price > 0 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+STEPPED = """daily AS (SELECT p_brand AS sku, CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) AS y,
+  CAST(20 + 2 * ((year(CAST(l_shipdate AS DATE)) * 4 + quarter(CAST(l_shipdate AS DATE)) + CAST(substring(p_brand, 7) AS INTEGER)) % 3) + 0.01 * (day(CAST(l_shipdate AS DATE)) % 2) AS DOUBLE) AS price,
+  CAST(day(CAST(l_shipdate AS DATE)) = 13 AS INTEGER) AS price_mixed, CAST(2 * sum(CASE WHEN l_discount >= 0.08 THEN l_quantity ELSE 0 END) > sum(l_quantity) AS INTEGER) AS on_promotion
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 4, 5),
+spans AS (SELECT sku, CAST(unnest(generate_series(CAST(min(ds) AS TIMESTAMP), CAST((SELECT max(ds) FROM daily) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ds FROM daily GROUP BY sku),
+sj AS (SELECT s.sku, s.ds, coalesce(y, 0) AS y, price, coalesce(price_mixed, 0) AS price_mixed, coalesce(on_promotion, 0) AS on_promotion, CASE WHEN coalesce(price_mixed, 0) = 0 THEN price END AS pure FROM spans s LEFT JOIN daily d ON d.sku = s.sku AND d.ds = s.ds),
+stepped AS (SELECT sku, ds, y, price_mixed, on_promotion, coalesce(price, last_value(pure IGNORE NULLS) OVER (PARTITION BY sku ORDER BY ds ROWS UNBOUNDED PRECEDING),
+  first_value(pure IGNORE NULLS) OVER (PARTITION BY sku ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM sj),
+single AS (SELECT *, round(price + 1e-9, 2) AS cents FROM stepped WHERE price_mixed < 1 AND price IS NOT NULL)"""
+PRICE_LEVELS_SQL = """pc AS (SELECT sku, cents, count(*) AS n FROM single GROUP BY 1, 2),
+po AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY cents) AS i FROM pc),
+anchored(sku, i, cents, n, anchor) AS (SELECT sku, i, cents, n, cents FROM po WHERE i = 1
+  UNION ALL SELECT po.sku, po.i, po.cents, po.n, CASE WHEN po.cents - a.anchor <= greatest(0.02, 0.005 * abs(po.cents)) THEN a.anchor ELSE po.cents END FROM anchored a JOIN po ON po.sku = a.sku AND po.i = a.i + 1),
+lv AS (SELECT sku, dense_rank() OVER (PARTITION BY sku ORDER BY anchor) AS level, sum(n) AS days, arg_max(cents, n * 1e7 + cents) AS price FROM anchored GROUP BY sku, anchor)"""
+
+
+def stepped(spark, d):
+    """Brands whose listed price moves by quarter."""
+    return calendar.fill_calendar(tables.stepped_sales(spark, d))
 
 
 def price_levels(spark, d):
-    return rounded(pricing.price_levels(calendar.daily_price_rollup(tables.sales_lines(spark, d, "p_brand"))), "units_per_day", "price")
+    return pricing.price_levels(stepped(spark, d))
 
 
-PRICE_LEVELS = with_(LINES, PRICED, PRICE_LEVELS_SQL, key="p_brand") + "SELECT sku, level, days, round(units_per_day + 1e-9, 4) AS units_per_day, round(price + 1e-9, 4) AS price FROM lv"
+PRICE_LEVELS = "WITH RECURSIVE " + STEPPED + ",\n" + PRICE_LEVELS_SQL + "SELECT sku, CAST(level AS INTEGER) AS level, CAST(days AS BIGINT) AS days, price, " + rules.TIER_QUALITY + " AS quality FROM lv"
 
 
 def price_evidence(spark, d):
-    return rounded(pricing.price_evidence(pricing.price_levels(calendar.daily_price_rollup(tables.sales_lines(spark, d, "p_brand")))), "spread")
+    rows = stepped(spark, d)
+    return pricing.price_evidence(rows, pricing.price_levels(rows))
 
 
+EVIDENCE_SQL = """ev AS (SELECT s.sku, coalesce(levels, 0) AS levels, coalesce(q, 0) AS qualifying, mixed_days, last_price, lo, hi,
+  CASE WHEN coalesce(levels, 0) = 0 THEN 'no-price-data' WHEN coalesce(q, 0) < 2 THEN 'too-few-price-levels' WHEN (hi - lo) / hi < 0.05 THEN 'levels-too-close' ELSE 'usable' END AS reason
+  FROM (SELECT sku, count(*) FILTER (price_mixed >= 1) AS mixed_days, arg_max(price, ds) FILTER (price_mixed < 1 AND price IS NOT NULL) AS last_price FROM stepped GROUP BY sku) s
+  LEFT JOIN (SELECT sku, count(*) AS levels, count(*) FILTER (days >= 30) AS q, min(price) FILTER (days >= 30) AS lo, max(price) FILTER (days >= 30) AS hi FROM lv GROUP BY sku) USING (sku))"""
 PRICE_EVIDENCE = (
-    with_(LINES, PRICED, PRICE_LEVELS_SQL, key="p_brand")
-    + "SELECT sku, count(*) AS levels, round((max(price) / min(price) - 1) + 1e-9, 4) AS spread, count(*) >= 2 AND max(price) / min(price) - 1 >= 0.05 AS usable FROM lv WHERE days >= 30 GROUP BY sku"
+    "WITH RECURSIVE " + STEPPED + ",\n" + PRICE_LEVELS_SQL + ",\n" + EVIDENCE_SQL
+    + """SELECT sku, levels, qualifying, mixed_days, last_price, CASE WHEN qualifying >= 2 THEN lo END AS range_lo, CASE WHEN qualifying >= 2 THEN hi END AS range_hi, reason = 'usable' AS usable, reason FROM ev"""
 )
 
 
 def elasticity(spark, d):
-    return rounded(pricing.elasticity(pricing.price_levels(calendar.daily_price_rollup(tables.sales_lines(spark, d, "p_brand")))), "elasticity")
+    return rounded(pricing.elasticity(stepped(spark, d)), "elasticity")
 
 
-ELASTICITY = (
-    with_(LINES, PRICED, PRICE_LEVELS_SQL, key="p_brand")
-    + """, s AS (SELECT sku, count(*) AS k, sum(days) AS w, sum(days * ln(price)) AS wx, sum(days * ln(units_per_day)) AS wy, sum(days * ln(price) * ln(price)) AS wxx, sum(days * ln(price) * ln(units_per_day)) AS wxy FROM lv WHERE units_per_day > 0 GROUP BY sku),
-e AS (SELECT sku, (w * wxy - wx * wy) / (w * wxx - wx * wx) * w / (w + 60) AS e FROM s WHERE k >= 2)
-SELECT sku, round((CASE WHEN e <= 0 THEN greatest(e, -4.0) END) + 1e-9, 4) AS elasticity FROM e"""
-)
+ELASTICITY_SQL = """cells AS (SELECT sku, cents, count(*) AS w, ln(cents) AS x, ln(avg(y)) AS z FROM single WHERE cents > 0 AND y >= 0 GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(y) > 0),
+mcells AS (SELECT sku, month(ds) AS month, cents, count(*) AS w, ln(cents) AS x, ln(avg(y)) AS z FROM single WHERE cents > 0 AND y >= 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND avg(y) > 0),
+across AS (SELECT sku, count(*) AS k, 1 - min(cents) / max(cents) AS spread, sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w) AS den, sum(w * x * z) - sum(w * x) * sum(w * z) / sum(w) AS num FROM cells GROUP BY sku),
+mm AS (SELECT sku, month, sum(w) AS sw, max(w) AS mw, sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w) AS den, sum(w * x * z) - sum(w * x) * sum(w * z) / sum(w) AS num FROM mcells GROUP BY 1, 2 HAVING count(*) >= 2),
+within AS (SELECT sku, sum(num) / sum(den) AS within, count(*) AS months FROM mm GROUP BY sku HAVING sum(den) > 1e-12 AND sum(sw - mw) >= 30),
+pts AS (SELECT sku, count(*) FILTER (y > 0) AS points FROM single WHERE cents > 0 GROUP BY sku),
+el AS (SELECT sku, points, coalesce(within, num / den) AS raw, CASE WHEN points < 30 THEN 'too-few-points' WHEN NOT coalesce(k >= 2 AND spread >= 0.05 AND den > 1e-12, false) THEN 'price-never-varied'
+  WHEN coalesce(within, num / den) > 0 THEN 'positive-elasticity-ignored' ELSE 'measured' END AS basis FROM pts LEFT JOIN across USING (sku) LEFT JOIN within USING (sku)),
+elasticities AS (SELECT sku, points, basis, CASE WHEN basis = 'measured' THEN greatest(raw * points / (points + 60), -4.0) ELSE 0.0 END AS elasticity FROM el)"""
+ELASTICITY = "WITH " + STEPPED + ",\n" + ELASTICITY_SQL + " SELECT sku, points, basis, round(elasticity + 1e-9, 4) AS elasticity FROM elasticities"
 
 
 def promotion_lift(spark, d):
-    return rounded(pricing.promotion_lift(calendar.daily_price_rollup(tables.sales_lines(spark, d, "p_brand"))), "lift")
+    return rounded(pricing.promotion_lift(stepped(spark, d)), "lift")
 
 
-PROMOTION_LIFT = (
-    with_(LINES, PRICED, key="p_brand")
-    + """, s AS (SELECT sku, count(*) FILTER (on_promotion = 1) AS n, avg(y) FILTER (on_promotion = 1) AS p, avg(y) FILTER (on_promotion <> 1) AS q FROM priced GROUP BY sku)
-SELECT sku, n AS promo_days, round((least(greatest(1 + (p / q - 1) * n / (n + 5), 0.5), 5.0)) + 1e-9, 4) AS lift FROM s WHERE n > 0 AND q > 0"""
-)
+LIFT_SQL = """ls AS (SELECT sku, count(*) FILTER (on_promotion >= 1) AS n, count(*) FILTER (on_promotion < 1) AS m, avg(y) FILTER (on_promotion >= 1) AS p, avg(y) FILTER (on_promotion < 1) AS q FROM stepped GROUP BY sku),
+lifts AS (SELECT sku, n AS promo_days, m AS normal_days, CASE WHEN n < 3 OR m = 0 THEN 'too-few-promo-days' WHEN q <= 0 THEN 'no-normal-baseline' ELSE 'own-history' END AS basis,
+  CASE WHEN n >= 3 AND m > 0 AND q > 0 THEN least(greatest(1 + (p / q - 1) * n / (n + 5), 0.5), 5.0) ELSE 1.0 END AS lift FROM ls)"""
+PROMOTION_LIFT = "WITH " + STEPPED + ",\n" + LIFT_SQL + " SELECT sku, promo_days, normal_days, basis, round(lift + 1e-9, 4) AS lift FROM lifts"
 
 
 def promotion_hold_out(spark, d):

@@ -40,3 +40,18 @@ def stock_readings(spark: SparkSession, folder: str) -> DataFrame:
     """(sku, ts, on_hand): one reading an instant, the greatest where several fall together; levels in whole units."""
     events = table(spark, folder, "events").select(F.col("user_id").alias("sku"), "ts", F.floor(F.col("value") / 10).cast("long").alias("on_hand"))
     return events.groupBy("sku", "ts").agg(F.max("on_hand").alias("on_hand"))
+
+
+def stepped_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """(sku, ds, y, price, price_mixed, on_promotion): brands' daily units at a listed price that moves by quarter, as the tables hold no price levels.
+
+    Every 13th counts as a day of mixed prices, and odd days cost a cent more.
+    """
+    part = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("sku"))
+    lines = table(spark, folder, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("ds"), "l_quantity", "l_discount")
+    units = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("sku", "ds")
+    days = units.agg(F.sum("l_quantity").alias("y"), F.sum(F.when(F.col("l_discount") >= PROMOTION_DISCOUNT, F.col("l_quantity")).otherwise(0.0)).alias("promo_units"))
+    step = (F.year("ds") * 4 + F.quarter("ds") + F.substring("sku", 7, 9).cast("int")) % 3
+    return days.select(
+        "sku", "ds", "y", (20 + 2 * step + 0.01 * (F.dayofmonth("ds") % 2)).alias("price"), (F.dayofmonth("ds") == 13).cast("int").alias("price_mixed"), (2 * F.col("promo_units") > F.col("y")).cast("int").alias("on_promotion")
+    )
