@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,21 @@ class ShardStore:
     def _shards(self, folder: str, schema) -> DataFrame:
         """The files that a job wrote, with their bytes and rows."""
         written = self.spark.read.schema(schema).parquet(folder)
-        return written.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        return written.groupBy(path.alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
 
     def append(self, arrivals: DataFrame) -> int:
-        """Adds the rows as shards of their own, one a task, and commits."""
-        version = (self.versions() or [0])[-1]
+        """Adds the rows as shards of their own, one a task, and commits; after another writer's commit it follows that one."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.parquet(folder)
-        return self.commit(self.manifest(version).union(self._shards(folder, arrivals.schema)) if version else self._shards(folder, arrivals.schema), version)
+        shards = self._shards(folder, arrivals.schema)
+        while True:
+            version = (self.versions() or [0])[-1]
+            try:
+                return self.commit(self.manifest(version).union(shards) if version else shards, version)
+            except Py4JJavaError:
+                if (self.versions() or [0])[-1] == version:
+                    raise
 
     def tier(self) -> F.Column:
         """Shards whose sizes lie within a factor of fanout, counted down from target_bytes; -1 for full ones."""
@@ -102,12 +111,20 @@ class ShardStore:
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self) -> None:
-        """Deletes shards that the newest version doesn't list."""
+    def vacuum(self, keep: int = 1, retention_seconds: float = 86_400) -> None:
+        """Drops all versions but the newest `keep`, then deletes shards that no version lists.
+
+        Shards younger than retention_seconds stay: they may belong to an append that has not committed yet.
+        """
         jvm, fs, _ = self._files()
-        held = {r["path"].rsplit("/", 2)[-2] for r in self.manifest().select("path").toLocalIterator()}
-        for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")):
-            if folder.getPath().getName() not in held:
+        path = jvm.org.apache.hadoop.fs.Path
+        known = self.versions()
+        for version in known[: max(0, len(known) - keep)]:
+            fs.delete(path(f"{self.root}/versions/{version:012d}"), False)
+        held = {r["path"].rsplit("/", 2)[-2] for version in known[-keep:] for r in self.manifest(version).select("path").toLocalIterator()}
+        for folder in fs.listStatus(path(f"{self.root}/data")) if fs.exists(path(f"{self.root}/data")) else ():
+            aged = time.time() - folder.getModificationTime() / 1000 >= retention_seconds
+            if aged and folder.getPath().getName() not in held:
                 remove(self.spark, folder.getPath().toString())
 
 
@@ -121,5 +138,5 @@ def compacted(docs: DataFrame, root: str, arrivals: int = 4, id_col: str = "doc_
     for k in range(arrivals):
         store.append(docs.where(F.pmod(F.xxhash64(id_col), F.lit(arrivals)) == k))
     store.compact(docs.schema)
-    store.vacuum()
+    store.vacuum(retention_seconds=0)
     return store.snapshot(docs.schema)

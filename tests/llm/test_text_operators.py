@@ -340,7 +340,7 @@ def test_quality(spark):
 
 def test_shard_store(spark, tmp_path):
     docs = frame(spark, [(i, f"text {i}" * 50) for i in range(1000)] + [(None, None), (1, None), (2, "")])
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=20_000, fanout=2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/a store+x", target_bytes=20_000, fanout=2)
     for k in range(3):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).repartition(3))
     before, rows = store.manifest().count(), sorted(map(str, docs.collect()))
@@ -350,8 +350,18 @@ def test_shard_store(spark, tmp_path):
     assert sum(r["rows"] for r in store.manifest().collect()) == len(rows)
     with pytest.raises(Exception, match="exist"):
         store.commit(store.manifest(), 2)
-    store.vacuum()
+    docs.limit(0).write.parquet(f"file://{tmp_path}/a store+x/data/not-committed-yet")
+    store.vacuum(keep=2)
+    assert store.versions() == [3, 4] and (tmp_path / "a store+x/data/not-committed-yet").exists()
+    store.vacuum(retention_seconds=0)
+    assert store.versions() == [4] and not (tmp_path / "a store+x/data/not-committed-yet").exists()
     assert sorted(map(str, store.snapshot(docs.schema).collect())) == rows
+    # another writer commits between the look at the version and the commit
+    looked, seen = store.versions, []
+    store.versions = lambda: [4] if not seen.append(1) and len(seen) == 1 else looked()
+    store.commit(store.manifest(4), 4)
+    seen.clear()
+    assert store.append(docs.limit(1)) == 6
     assert sharding.compacted(empty(spark), f"file://{tmp_path}/none").count() == 0
 
 
@@ -382,7 +392,7 @@ def edited_groups(forms):
     return group
 
 
-@pytest.mark.parametrize("short_list", [64, 2])
+@pytest.mark.parametrize("short_list", [8, 2])
 def test_fuzzy_lines(spark, monkeypatch, short_list):
     monkeypatch.setattr(line_dedup, "SHORT_LIST", short_list)
     rng = random.Random(12)
@@ -448,9 +458,9 @@ def test_fuzzy_lines_recall_on_the_test_data(spark):
     lines = spark.createDataFrame([(i, f, len(f)) for i, f in enumerate(forms)], "node long, norm string, len int")
     with Stages(spark, "test") as stages:
         classes = stages.write(lines, "classes")
-        posts, simhashes = line_dedup.signatures(stages, classes)
+        posts = stages.write(line_dedup.signatures(classes), "posts")
         found, _ = line_dedup.candidates(stages, posts)
-        links = {(r["a"], r["b"]) for r in line_dedup.within_edits(stages, classes, simhashes, found).collect()}
+        links = {(r["a"], r["b"]) for r in line_dedup.within_edits(stages, classes, found).collect()}
     number = {f: i for i, f in enumerate(forms)}
     got = sum(tuple(sorted((number[x], number[y]))) in links for x, y in near)
     assert len(near) > 100 and got >= 0.9 * len(near)
