@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bundles, calendar, demand, forecast, planning, pricing, telemetry
+from millrace.operators import bundles, calendar, demand, forecast, planning, telemetry
 from millrace.plans import queries
 
 DATA = Path("/root/testdata/sf0.001")
@@ -106,19 +106,12 @@ def test_reorder_plan(spark):
 def test_hours_in_stock_and_estimates(spark):
     rows = [("s", datetime(2024, 1, 1, 0), 5), ("s", datetime(2024, 1, 1, 12), 0), ("s", datetime(2024, 1, 2, 0), 5), ("s", datetime(2024, 1, 4, 0), 5)]
     days = telemetry.hours_in_stock(spark.createDataFrame(rows, "sku string, ts timestamp, on_hand long")).orderBy("ds").collect()
-    assert [(str(r["ds"]), r["hours"]) for r in days] == [("2024-01-01", 12.0), ("2024-01-02", 24.0), ("2024-01-04", 24.0)]
-    y = spark.createDataFrame([("s", 4.0, 12.0), ("s", 4.0, 1.0), ("s", 0.0, 0.0), ("s", 4.0, None)], "sku string, y double, hours double")
+    assert [(str(r["ds"]), r["hours"]) for r in days] == [("2024-01-01", 12.0), ("2024-01-02", 24.0), ("2024-01-03", 24.0), ("2024-01-04", 24.0)]
+    y = spark.createDataFrame([("s", 4.0, 12.0), ("s", 4.0, 1.0), ("s", 0.0, 0.0), ("s", 4.0, None)], "sku string, y double, hours double").withColumn("closing", F.lit(None).cast("int"))
     got = [(r["kind"], r["estimate"]) for r in telemetry.demand_estimate(y).collect()]
     assert got == [("partial", 8.0), ("capped", 4.0), ("unavailable", None), ("normal", 4.0)]
 
 
-def test_elasticity_needs_two_levels_and_falls(spark):
-    rows = [("a", 1, 100, 10.0, 4.0), ("a", 2, 100, 5.0, 8.0), ("b", 1, 100, 5.0, 4.0), ("c", 1, 9, 5.0, 4.0), ("c", 2, 9, 6.0, 8.0)]
-    levels = spark.createDataFrame(rows, "sku string, level long, days long, units_per_day double, price double")
-    levels = levels.withColumn("units_per_day", 40 / F.col("price"))
-    assert {r["sku"]: round(r["elasticity"], 6) for r in pricing.elasticity(levels).collect()} == {"a": round(-200 / 260, 6), "c": round(-18 / 78, 6)}
-
-
 def test_bundles_end_at_loops_and_drop_themselves(spark):
     parts = bundles.normalise(spark.createDataFrame([(1, 2, 2.0), (2, 3, 3.0), (3, 1, 1.0), (4, 4, 5.0), (5, 3, 0.0), (6, 1, 1.0)], "bundle long, component long, qty double"))
     assert {tuple(r) for r in bundles.expand(parts).collect()} == {(1, 1, 6.0), (2, 2, 6.0), (3, 3, 6.0), (6, 1, 6.0)}
