@@ -20,6 +20,8 @@ BROADCAST_ROWS = 2_000_000
 REMEMBERED = 100_000
 #: Number of a row, by which stages decide: ids may be null or repeated.
 ROW = "row"
+#: Number of a row among near copies.
+NODE = "node"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -56,14 +58,27 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return without(stages, docs, found.where("not kept").select(F.col("place")[ROW].alias(ROW)))
 
 
+def with_node(stages: Stages, docs: DataFrame) -> DataFrame:
+    """Rows with NODE, a number in the order of the ids: the id where it is no other row's, else one below 0 from the row's number.
+
+    Near copies then meet the document with the group's smallest id first.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 OR doc_id IS NULL OR doc_id < 0")
+    shared = stages.keep(shared.select(F.col("doc_id").alias("shared_id"), F.lit(True).alias("shared")), "shared-ids")
+    few = shared.count() <= BROADCAST_ROWS
+    met = docs.join(F.broadcast(shared) if few else shared, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left")
+    return met.select(*COLUMNS, ROW, F.when(F.col("shared"), -1 - F.col(ROW)).otherwise(F.col("doc_id")).alias(NODE))
+
+
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, whatever the ids: that with the smallest id; rows without an id come last."""
     docs = numbered(docs)
     with Stages(spark, "distinct-documents") as stages:
-        found = minhash_dedup.near_duplicates(docs, id_col=ROW)
-        later = found.where(F.col(ROW) != F.col("component_id")).select(ROW, F.col("component_id").alias("of"))
-        heads = later.select(F.col("of").alias(ROW), "of").distinct()
-        placed = stages.write(later.union(heads).join(docs.select("doc_id", ROW), ROW).select("of", place().alias("place")), "placed")
+        nodes = with_node(stages, docs)
+        found = minhash_dedup.near_duplicates(nodes, id_col=NODE)
+        later = found.where(F.col(NODE) != F.col("component_id")).select(NODE, F.col("component_id").alias("of"))
+        heads = later.select(F.col("of").alias(NODE), "of").distinct()
+        placed = stages.write(later.union(heads).join(nodes.select("doc_id", ROW, NODE), NODE).select("of", place().alias("place")), "placed")
         first = stages.write(placed.groupBy("of").agg(F.min("place").alias("first")), "first")
         dropped = placed.join(first, "of").where(F.col("place")[ROW] != F.col("first")[ROW])
         return without(stages, docs, dropped.select(F.col("place")[ROW].alias(ROW)))
