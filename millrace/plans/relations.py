@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import rules
-from millrace.operators import backtest, demand, engines, holidays, planning, telemetry
+from millrace.operators import backtest, engines, holidays, planning, telemetry
 from millrace.plans.decisions import COSTS, LINES, SUPPLIED, Query, _costs, _families, _supplied, r
 from millrace.plans.queries import DAILY, FILLED, STEPPED, TREND_NONE, daily, filled, rounded, stepped, with_
 from millrace.sources import tables
@@ -97,16 +96,6 @@ def holiday_days(spark, d):
     return _holiday_years(spark, d)
 
 
-@query(None)
-def holiday_shapes(spark, d):
-    """Brands' holiday levels and whether they stand out; a test has brute force."""
-    rows = stepped(spark, d)
-    keys = _families(rows)
-    own = holidays.measure(rows, _holiday_years(spark, d))
-    found = holidays.levels(own, holidays.pool(own, keys), keys)
-    return rounded(holidays.significant(found), "high", "low", digits=6)
-
-
 @query(None)
 def fitted_forecast(spark, d):
     """The fitted engine; a test has a trend and a season that it must find."""
@@ -256,15 +245,6 @@ def demand_frame(spark, d):
     return rounded(telemetry.demand_frame(rows), "y", digits=3)
 
 
-@query(None)
-def subtype_forecast(spark, d):
-    """The sparse engine on products with their subtypes."""
-    rows = daily(spark, d, "p_partkey")
-    classes = demand.classify(rows).join(demand.dormancy(rows).select("sku", "dormant"), "sku")
-    subtypes = classes.select("sku", F.expr(rules.SPARSE_SUBTYPE).alias("subtype"))
-    return rounded(engines.sparse_forecast(filled(spark, d, "p_partkey"), subtypes), "rate", "lower", "upper")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
