@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts
-from millrace.llm.shared import shared_folder
+from millrace.llm import decontaminate, exact_dedup, fill_middle, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts
+from millrace.llm.shared import Stages, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +135,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")
+    return Stages(spark, "fill-middle").keep(found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests), "digests")
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:n], '') AS suffix
+  FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,9 +181,10 @@ def queries() -> dict[str, Query]:
             op8_packing,
             op9_minhash,
             op10_suffix_dedup,
+            op11_fill_middle,
         )
     } | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL, "op11_fill_middle": OP11_SQL}
