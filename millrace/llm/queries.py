@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, fill_middle, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts
-from millrace.llm.shared import Stages, shared_folder
+from millrace.llm import decontaminate, exact_dedup, fill_middle, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from millrace.llm.shared import Stages, remove, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +161,15 @@ FROM p
 """
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/millrace-tokens-{uuid.uuid4().hex}"
+    try:
+        token_files.write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer())
+        return token_files.read_token_files(spark, path)
+    finally:
+        remove(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,6 +191,7 @@ def queries() -> dict[str, Query]:
             op9_minhash,
             op10_suffix_dedup,
             op11_fill_middle,
+            op12_token_files,
         )
     } | {"pipeline": pipeline}
 

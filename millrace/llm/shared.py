@@ -70,14 +70,15 @@ class Stages:
     def __exit__(self, *_: object) -> None:
         self.drop(*(table for table, _ in self.paths.values()))
 
-    def _write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    def _write(self, df: DataFrame, name: str, more: dict[str, str] | None = None) -> tuple[DataFrame, str]:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with settings(self.spark, JOB_SETTINGS):
+        with settings(self.spark, JOB_SETTINGS | (more or {})):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = self._write(df, name)
+    def write(self, df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
+        """more: settings of this job beside JOB_SETTINGS."""
+        table, path = self._write(df, name, more)
         self.paths[id(table)] = table, path
         return table
 

@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import fill_middle, queries
+from millrace.llm import fill_middle, queries, token_files
 
 FOLDER = "/root/testdata/sf0.001"
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "word": r"[^ \t\n\v\f\r]*[ \t\n\v\f\r]+|[^ \t\n\v\f\r]+", "character": r"(?s)."}
@@ -65,3 +67,64 @@ def test_fill_middle_keeps_bytes_that_are_no_text(spark):
     docs = spark.sql("SELECT 4L AS doc_id, cast(X'61FF0A62C3' AS string) AS text")
     wanted = by_hand(4, b"a\xff\nb\xc3".decode("utf-8", "surrogateescape"), "line", 7, 100, 50)[-1].encode("utf-8", "surrogateescape")
     assert fill_middle.fill_in_middle(docs).select(F.sha2("output", 256)).first()[0] == hashlib.sha256(wanted).hexdigest()
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.word_tokenizer())
+
+
+@pytest.mark.parametrize("kind", ["empty", "one", "twins", "words", "wide", "noise"])
+def test_grammar_round_trip_and_spans(kind):
+    rng = np.random.default_rng(3)
+    ids = {
+        "empty": np.zeros(0), "one": [7], "twins": [5] * 999, "words": np.concatenate([[3, 9, 4, 4, 4, 1][: rng.integers(1, 7)] for _ in range(900)]),
+        "wide": rng.integers(0, 1 << 32, 9)[rng.integers(0, 9, 3000)], "noise": rng.integers(0, 50_000, 60_000),
+    }[kind]
+    ids = np.asarray(ids, np.uint32)
+    g = token_files.compress(ids, least_count=2, least_gain=0.0001)
+    assert (g.ids() == ids).all() and len(g.lengths) == len(g.rules)
+    n = len(g.terminals)
+    assert [len(g.expand(np.array([n + k]))) for k in range(len(g.rules))] == g.lengths.tolist()
+    for _ in range(40):
+        a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
+        assert (g.span(a, b) == ids[a:b]).all()
+    if kind in ("twins", "words"):
+        assert len(g.symbols) + 2 * len(g.rules) < len(ids) / 3
+
+
+def ids_by_hand(rows, end_id=1):
+    t, start, out = tokenizer(), 0, []
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):  # stable: rows of one id keep the table's order
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, end_id]
+        out.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("block_ids", [1 << 19, 64, 1])
+def test_token_files(spark, tmp_path, block_ids):
+    rng = random.Random(block_ids)
+    words = ["the", "Cat's", "\n", "<|endoftext|>", "x1 2", "日本", "!", "é", "quickly"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for k in rng.sample(range(-50, 4000), 120)]
+    rows += [(None, "no id"), (None, None), (4000, "a long one " * 400), (4001, ""), (4002, None), (4003, "same"), (4003, "same"), (4003, "same id, other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("*", *(F.lit("clash").alias(c) for c in ("id", "part", "n", "place")))
+    token_files.write_token_files(docs, f"{tmp_path}/t", queries.word_tokenizer(), block_ids=block_ids)
+    got = [tuple(r) for r in token_files.read_token_files(spark, f"{tmp_path}/t").collect()]
+    assert Counter(got) == Counter(ids_by_hand(rows))
+    some = {r["doc_id"]: r["token_ids"] for r in token_files.read_documents(spark, f"{tmp_path}/t", [4000, 4001, -9999]).collect()}
+    t = tokenizer()
+    assert some == {4000: [*t.encode("a long one " * 400, add_special_tokens=False).ids, 1], 4001: [1]}
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    token_files.write_token_files(docs, f"{tmp_path}/t", queries.word_tokenizer())
+    assert token_files.read_token_files(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_token_files_query(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    got = queries.op12_token_files(spark, FOLDER).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert Counter(map(tuple, got)) == Counter(ids_by_hand(rows))
