@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, fill_middle, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from millrace.llm import decontaminate, exact_dedup, fill_middle, hard_negatives, language_id, line_dedup, minhash_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
 from millrace.llm.shared import Stages, remove, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,28 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         remove(spark, path)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.place AS anchor, a.id AS anchor_id, v.place, v.id, v.label = a.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.place <> v.place WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor, anchor_id, place AS positive, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, id NULLS LAST) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor, anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -192,9 +214,10 @@ def queries() -> dict[str, Query]:
             op10_suffix_dedup,
             op11_fill_middle,
             op12_token_files,
+            op13_hard_negatives,
         )
     } | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL, "op11_fill_middle": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontaminate": OP3_SQL, "op9_minhash": OP9_SQL, "op11_fill_middle": OP11_SQL, "op13_hard_negatives": OP13_SQL}

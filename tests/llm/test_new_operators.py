@@ -1,6 +1,7 @@
 """Fill-in-the-middle, token files and hard negatives against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,10 +9,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import fill_middle, queries, token_files
+from millrace.llm import fill_middle, hard_negatives, queries, token_files
 
 FOLDER = "/root/testdata/sf0.001"
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "word": r"[^ \t\n\v\f\r]*[ \t\n\v\f\r]+|[^ \t\n\v\f\r]+", "character": r"(?s)."}
@@ -128,3 +130,69 @@ def test_token_files_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     got = queries.op12_token_files(spark, FOLDER).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert Counter(map(tuple, got)) == Counter(ids_by_hand(rows))
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_hard_negatives_sql(spark, folder):
+    same_as_sql(spark, "op13_hard_negatives", folder)
+
+
+def negatives_by_hand(rows, every, positives, negatives, low, high, scale):
+    dims = max((len(x) for _, x, _ in rows if x is not None), default=0)
+    kept = []
+    for i, x, label in rows:
+        if label is not None and x is not None and all(v is not None and math.isfinite(v) for v in x):
+            kept.append((i, [max(-(1 << 23), min(1 << 23, math.floor(scale * v))) for v in x] + [0] * (dims - len(x)), label))
+    best = lambda found, most: sorted(found, key=lambda r: (-r[0], r[1] is None, r[1] or 0))[:most]
+    for a, (i, x, label) in enumerate(kept):
+        if i is None or i % every:
+            continue
+        score = [(sum(p * q for p, q in zip(x, y, strict=True)), j, k, other) for k, (j, y, other) in enumerate(kept)]
+        for s, j, _, _ in best([r for r in score if r[3] == label and r[2] != a], positives):
+            far = best([r for r in score if r[3] != label and low * s <= 100 * r[0] <= high * s], negatives)
+            yield from ((i, j, k + 1, r[1], s, r[0]) for k, r in enumerate(far))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hard_negatives_by_hand(spark, monkeypatch, seed):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", [8192, 20][seed % 2])
+    monkeypatch.setattr(hard_negatives, "ANCHOR_BYTES", [2 << 20, 100][seed % 2])
+    monkeypatch.setattr(hard_negatives, "SAMPLE_ROWS", [4096, 5][seed // 2])
+    rng = random.Random(seed)
+    vector = lambda n=6: [rng.choice([rng.gauss(0.2, 0.5), rng.randrange(-2, 3) / 4]) for _ in range(n)]
+    rows = [(k, vector(), rng.randrange(4)) for k in range(150)]
+    rows += [(k, [0.5] * 6, 0 if k < 230 else 1) for k in range(200, 260)]  # a hot vector
+    rows += [(300, None, 1), (310, vector(), None), (320, [0.1, None, 0.0, 0.0, 0.0, 0.0], 2), (330, [float("nan")] * 6, 1), (340, [float("inf")] * 6, 1), (350, [], 3), (360, vector(2), 1)]
+    rows += [(None, vector(), 1), (None, vector(), 2), (370, vector(), 7), (380, [1e30, -1e30, 0.0, 0.0, 0.0, 0.0], 1), (10, vector(), 1), (10, vector(), 1), (-20, vector(), -1)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *(F.lit("clash").alias(c) for c in ("id", "place", "x", "score", "rank")))
+    asked = {"every": 10, "positives": 3, "negatives": 4, "low": 20, "high": 95, "scale": 16.0}
+    got = hard_negatives.mine(docs.repartition(3), anchors_every=10, positives=3, negatives=4, low_percent=20, high_percent=95, scale=16.0, cells=8).collect()
+    assert Counter(map(tuple, got)) == Counter(negatives_by_hand(rows, *asked.values()))
+    assert len(got) > 100
+    assert hard_negatives.mine(docs.limit(0)).count() == 0
+
+
+def test_few_rows_are_scored_exactly(spark, monkeypatch):
+    """Bounds leave only a small part of the rows to exact scores."""
+    rng = np.random.default_rng(1)
+    n, dims = 4000, 32
+    v = np.clip(np.floor(256 * rng.normal(0, 0.2, (n, dims))), -(1 << 23), 1 << 23).astype(np.int64)
+    edges = hard_negatives.fit_edges(v[:1000], hard_negatives.CELLS)
+    code = np.column_stack([np.searchsorted(edges[d], v[:, d], "right") for d in range(dims)]).astype(np.uint8)
+    table = pa.table({"place": np.arange(n), "id": np.arange(n), "label": np.arange(n) % 5, "code": [c.tobytes() for c in code], "vector": [x.astype("<i4").tobytes() for x in v]})
+    block = hard_negatives.Block(table, dims, edges)
+    low, high = block.bounds(v[:3], slice(None))
+    exact = block.vectors.astype(np.int64) @ v[:3].T
+    assert (low <= exact).all() and (exact <= high).all()
+    scored = []
+    held = block.scores
+    block.scores = lambda rows, a: (scored.append(len(rows)), held(rows, a))[1]
+    some = hard_negatives.Anchors(np.arange(3), np.arange(3) % 5, v[:3])
+    best = {}
+    hard_negatives._look_for_positives(block, some, best, 5)
+    assert sum(scored) < 0.1 * 3 * n / 5
+    some.windows = [{int(s): (-(-30 * int(s) // 100), 90 * int(s) // 100) for s in best[a, 0].score} for a in range(3)]
+    scored.clear()
+    hard_negatives._look_for_negatives(block, some, {}, 10)
+    assert sum(scored) < 0.2 * 3 * n
