@@ -5,12 +5,15 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,9 @@ REMEMBERED = 400_000
 
 #: A character of one id, which stands between stretches.
 _MARK = "\x01"
+#: Byte-level vocabularies write a byte that shows as a character of Latin-1 as that character, and the k-th of the others as character 256 + k.
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+_STOPS = (b".", b",")
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 _SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, token_ids binary"
@@ -49,34 +55,82 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        # a composed lower-case word reaches the model as its bytes' characters, unless this tokenizer adds to it
+        plain = lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids == self._of_model(w.encode())
+        self.direct = all(map(plain, ("the", "quickly", "zqxjkv", "caf\u00e9", "\u00f1and\u00fa", "\u65e5\u672c")))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.most = most
 
     def encode(self, text: bytes | None) -> bytes:
         parts = _STOP.sub(rb" \1 ", (text or b"").lower()).split() if b"<|" not in (text or b"<|") else (text or b"").split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > self.most:
-                self.older, self.known = known, {}
-                known = self.known
-            new = []
-            for p in set(parts):
-                if p not in known:
-                    if (ids := self.older.get(p)) is None:
-                        new.append(p)
-                    else:
-                        known[p] = ids
-            self._learn(new)
-            return b"".join(map(known.__getitem__, parts))
+        if fresh := set(parts).difference(self.known):
+            if len(self.known) > self.most:
+                self.older, self.known = self.known, {}
+                fresh = set(parts)
+            self._meet(fresh)
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def _meet(self, fresh: set[bytes]) -> None:
+        """Puts what is not in the newer half there, from the older one or learned."""
+        held = {p: self.older[p] for p in fresh if p in self.older}
+        self.known.update(held)
+        self._learn([p for p in fresh if p not in held])
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of binary texts behind each other, and how many each text has.
+
+        Each stretch of the texts is looked up once: a stop behind a letter is parted from its word there, which keeps what is remembered small.
+        """
+        same_bytes = lambda a, kind: pa.Array.from_buffers(kind, len(a), a.buffers(), a.null_count, a.offset)  # noqa: E731  bytes that may be no UTF-8
+        strings = same_bytes(texts.fill_null(b""), pa.string())
+        special = pc.match_substring(strings, "<|")
+        lowered = pc.ascii_lower(strings)
+        parts = pc.ascii_split_whitespace(pc.if_else(special, strings, lowered) if pc.any(special).as_py() else lowered)
+        flat = parts.flatten().dictionary_encode()
+        stretches = same_bytes(flat.dictionary, pa.binary()).to_pylist()
+        ended = np.flatnonzero(pc.match_substring_regex(flat.dictionary, "^[^<]*[a-z][.,]$").to_numpy(zero_copy_only=False)).tolist()
+        words = stretches.copy()
+        for k in ended:
+            words[k] = words[k][:-1]
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        self._meet(set(words).union(_STOPS).difference(self.known))
+        values = list(map(self.known.__getitem__, words))
+        stops = {stop: self.known[stop] for stop in _STOPS}
+        for k in ended:
+            values[k] += stops[stretches[k][-1:]]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u4")
+        at = flat.indices.to_numpy()
+        sizes = size[at]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        out = ids[np.arange(total) + np.repeat(begin[at] - stops + sizes, sizes)]
+        ends = np.append(0, stops)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return out, np.diff(ends)
+
+    def _of_model(self, word: bytes) -> list[int]:
+        characters = word.decode("latin-1")
+        return [x.id for x in self.model.tokenize(characters if characters.isascii() else characters.translate(_BYTE_CHARACTERS))]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Stretches go through the tokenizer in one string, a mark between them; those that might hide a mark go alone."""
-        plain = [p for p in new if b"<|" not in p and _MARK.encode() not in p]
+        """Words go to the model, other stretches through the tokenizer in one string, a mark between them; those that might hide a mark go alone."""
+        if self.direct:
+            rest = []
+            for p in new:
+                word = p.decode("utf-8", "replace")
+                if word.isalpha() and (word.islower() if word.isascii() else word == word.lower() and unicodedata.is_normalized("NFC", word)):
+                    ids = self._of_model(p)
+                    self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    rest.append(p)
+            new = rest
+        mark = _MARK.encode()
+        plain = [p for p in new if b"<|" not in p and mark not in p]
         groups = [plain] if plain else []
-        groups += [[p] for p in new if b"<|" in p or _MARK.encode() in p]
+        groups += [[p] for p in new if b"<|" in p or mark in p]
         texts = [f" {_MARK} ".join(p.decode("utf-8", "replace") for p in g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.packing import tokenizer_at
+from millrace.llm.packing import CachedTokenizer, tokenizer_at
 from millrace.llm.shared import JOB_SETTINGS, Stages, give_back, settings, text_bytes
 
 END_ID = 1
@@ -25,6 +25,10 @@ LEAST_COUNT = 8
 LEAST_GAIN = 0.01
 #: Pairs looked at in a round, from the most frequent on.
 ROUND_PAIRS = 8192
+#: Texts tokenised together have about so many bytes.
+BATCH_BYTES = 8 << 20
+#: Slots in which a round's pairs are found.
+SLOTS = 1 << 16
 #: Few blocks at a time between Spark and Python, and in Parquet's reader.
 READ_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8", "spark.sql.parquet.columnarReaderBatchSize": "16"}
 
@@ -46,20 +50,33 @@ class Grammar:
 
     def __init__(self, terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray):
         self.terminals, self.rules, self.lengths, self.symbols = terminals, rules, lengths, symbols
+        self.sizes = np.concatenate((np.ones(len(terminals), np.int64), lengths.astype(np.int64)))
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
         self._ends: np.ndarray | None = None
 
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols' expansions behind each other, as ranks of terminals, and where each begins; rules are replaced pass by pass."""
+        if self._table is None:
+            n = len(self.terminals)
+            symbols = np.arange(n + len(self.rules))
+            while (rule := symbols >= n).any():
+                at = np.arange(len(symbols)) + np.cumsum(rule) - rule
+                wide = np.empty(len(symbols) + int(rule.sum()), np.int64)
+                wide[at[~rule]] = symbols[~rule]
+                pairs = self.rules[symbols[rule] - n]
+                wide[at[rule]], wide[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
+                symbols = wide
+            self._table = self.terminals[symbols], np.cumsum(self.sizes) - self.sizes
+        return self._table
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of symbols; each pass replaces all rules by their pairs."""
-        n = len(self.terminals)
-        symbols = symbols.astype(np.int64)
-        while (rule := symbols >= n).any():
-            at = np.arange(len(symbols)) + np.cumsum(rule) - rule
-            wide = np.empty(len(symbols) + int(rule.sum()), np.int64)
-            wide[at[~rule]] = symbols[~rule]
-            pairs = self.rules[symbols[rule] - n]
-            wide[at[rule]], wide[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = wide
-        return self.terminals[symbols]
+        """The ids of symbols."""
+        flat, begin = self._flat()
+        size = self.sizes[symbols]
+        stop = np.cumsum(size)
+        if not len(stop):
+            return flat[:0]
+        return flat[np.arange(stop[-1]) + np.repeat(begin[symbols] - stop + size, size)]
 
     def ids(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -67,8 +84,7 @@ class Grammar:
     def span(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop: expansion lengths tell which symbols hold them, and only these are expanded."""
         if self._ends is None:
-            every = np.concatenate((np.ones(len(self.terminals), np.int64), self.lengths.astype(np.int64)))
-            self._ends = np.cumsum(every[self.symbols])
+            self._ends = np.cumsum(self.sizes[self.symbols])
         if stop <= start:
             return self.terminals[:0]
         first, last = np.searchsorted(self._ends, [start, stop - 1], "right").tolist()
@@ -76,6 +92,11 @@ class Grammar:
         return self.expand(self.symbols[first : last + 1])[start - before : stop - before]
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """A slot under SLOTS for every key."""
+    return ((keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(keys.dtype.itemsize * 8 - 16 if keys.dtype.itemsize == 4 else 16)).astype(np.int64) & (SLOTS - 1)
+
+
 def _chosen(pairs: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Pairs taken in order, none of which ends with the symbol that another begins with, so that their places cannot overlap; a pair of twins overlaps itself alone."""
     left: set[int] = set()
@@ -124,14 +145,20 @@ def compress(ids: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float
         if not pairs:
             break
         chosen = np.array([(a << shift) | b for a, b in pairs], kind)
-        order = np.argsort(chosen)
-        is_left, is_right = np.zeros(count, bool), np.zeros(count, bool)
-        for k, side in ((0, is_left), (1, is_right)):
-            side[[p[k] for p in pairs]] = True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        place = np.minimum(np.searchsorted(chosen[order], keys[at]), len(chosen) - 1)
-        met = chosen[order][place] == keys[at]
-        at, symbol = at[met], order[place[met]]
+        # pairs meet in a table of slots; of two in one slot the later waits for the next round
+        slots = _slot(chosen)
+        table = np.full(SLOTS, -1, np.int32)
+        table[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1)
+        taken = np.flatnonzero(table[slots] == np.arange(len(chosen)))
+        pairs, chosen = [pairs[k] for k in taken.tolist()], chosen[taken]
+        table[slots[taken]] = np.arange(len(taken))
+        is_left = np.zeros(count, bool)
+        is_left[[a for a, _ in pairs]] = True
+        at = np.flatnonzero(is_left[seq[:-1]])
+        near = keys[at]
+        symbol = table[_slot(near)]
+        met = (symbol >= 0) & (chosen[symbol] == near)
+        at, symbol = at[met], symbol[met]
         # in a run of twins every other place is taken
         fresh = np.append(True, np.diff(at) > 1) if len(at) else np.zeros(0, bool)
         index = np.arange(len(at))
@@ -151,16 +178,38 @@ def compress(ids: np.ndarray, least_count: int = LEAST_COUNT, least_gain: float
     return Grammar(terminals.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), lengths[n:], seq)
 
 
+def _documents(batches: Iterator[pa.RecordBatch], tokenizer: CachedTokenizer, end: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Document ids with their token ids, texts of about BATCH_BYTES looked up together."""
+    held, size = [], 0
+
+    def made() -> Iterator[tuple[int | None, np.ndarray]]:
+        together = pa.Table.from_batches(held).combine_chunks()
+        ids, counts = tokenizer.encode_many(together.column(1).chunk(0))
+        stops = np.cumsum(counts).tolist()
+        for key, a, b in zip(together.column(0).to_pylist(), [0, *stops], stops, strict=False):
+            yield key, np.concatenate((ids[a:b], end))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(1).nbytes
+        if size >= BATCH_BYTES:
+            yield from made()
+            held, size = [], 0
+    if held:
+        yield from made()
+
+
 def _encode(tokenizer_path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = tokenizer_at(tokenizer_path), int(end_id).to_bytes(4, "little")
+        tokenizer, end = tokenizer_at(tokenizer_path), np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
         start = block = 0
         held, n_held, doc_ids, doc_ends = [], 0, [], []
 
         def made(skipped: int, open_end: bool) -> pa.RecordBatch:
             nonlocal start, block, held, n_held, doc_ids, doc_ends
-            g = compress(np.frombuffer(b"".join(held), "<u4"))
+            g = compress(np.concatenate(held))
             width = 2 if len(g.terminals) + len(g.rules) <= 1 << 16 else 4
             stored = (g.terminals.astype("<u4"), g.rules.astype("<u4"), g.lengths.astype("<u4"), g.symbols.astype(f"<u{width}"))
             row = (part, block, start, n_held, skipped, open_end, doc_ids, doc_ends, *(x.tobytes() for x in stored), width)
@@ -168,23 +217,21 @@ def _encode(tokenizer_path: str, end_id: int, block_ids: int):
             held, n_held, doc_ids, doc_ends = [], 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, _BLOCK_TYPES, strict=True)], [name for name, _ in _BLOCK_TYPES])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = tokenizer.encode(text.as_py()) + end
-                total = len(ids) // 4
-                if n_held and total > block_ids:
-                    yield made(0, False)
-                skipped = 0
-                while total - skipped > block_ids:
-                    held, n_held, doc_ids, doc_ends = [ids[4 * skipped : 4 * (skipped + block_ids)]], block_ids, [key.as_py()], [block_ids]
-                    yield made(skipped, True)
-                    skipped += block_ids
-                held.append(ids[4 * skipped :])
-                n_held += total - skipped
-                doc_ids.append(key.as_py())
-                doc_ends.append(n_held)
-                if skipped or n_held >= block_ids:
-                    yield made(skipped, False)
+        for key, ids in _documents(batches, tokenizer, end):
+            total = len(ids)
+            if n_held and total > block_ids:
+                yield made(0, False)
+            skipped = 0
+            while total - skipped > block_ids:
+                held, n_held, doc_ids, doc_ends = [ids[skipped : skipped + block_ids]], block_ids, [key], [block_ids]
+                yield made(skipped, True)
+                skipped += block_ids
+            held.append(ids[skipped:])
+            n_held += total - skipped
+            doc_ids.append(key)
+            doc_ends.append(n_held)
+            if skipped or n_held >= block_ids:
+                yield made(skipped, False)
         if n_held:
             yield made(0, False)
         give_back()
@@ -205,7 +252,8 @@ def write_token_files(
     table makes files without rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    texts = F.coalesce(text_bytes(text_col), F.lit(b""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), texts.alias("text"), F.monotonically_increasing_id().alias("place"))
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_first(), "place").sortWithinPartitions(F.col("id").asc_nulls_first(), "place")
     with settings(spark, JOB_SETTINGS):
         dealt.select("id", "text").mapInArrow(_encode(tokenizer_path, end_id, block_ids), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
