@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Stages, components, text_bytes
+from millrace.llm.shared import Stages, by_row, components, own_ids
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -241,12 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts that are null, empty or blank have no shingles and link with nothing; fewer than five words form one
     shingle.  Rows with a null id are returned with a null component, not kept, and link with nothing.
-    Rows that repeat an id must repeat its text; they get one answer each.  An empty table gives no rows.  Other
-    columns are not read.
+    Rows that repeat an id are documents of their own, whatever their texts; a component bears its smallest id, and all rows with
+    that id in it are kept.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     with Stages(spark, "minhash") as stages:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+        texts, names = by_row(stages, docs, id_col, text_col)
         signed = stages.write(texts.mapInArrow(_sign, "id long, n_shingles long, set_key binary, sig binary"), "signatures")
         classes = stages.write(
             signed.where("id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "classes"
@@ -300,11 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = stages.write(whole.select("set_key", F.coalesce("component", "rep").alias("component")), "class-components")
         found = signed.select("id", "n_shingles", "set_key").join(whole, "set_key", "left")
         component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-        return stages.keep(
-            found.select(
-                F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
-            )
-        )
+        named = own_ids(found.select("id", "n_shingles", component.alias("component_id")), names, "id", "component_id")
+        kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(False))
+        return stages.keep(named.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")))
 
 
 def _links(stages: Stages, texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:

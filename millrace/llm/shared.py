@@ -104,6 +104,34 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def by_row(stages: Stages, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) in which an id has one text, and (id, own), the ids as they were; None where no id is repeated.
+
+    Else texts are numbered in the order of their ids, those of one id in the table's order, by a sort over ranges of both, so that a hot id fills no
+    task.  Rows that repeat id and text share a number.  Null ids stay null.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    if texts.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return texts, None
+    digest = F.sha2(F.coalesce("text", F.lit(b"")), 256)
+    placed = texts.select(F.col("id").alias("own"), "text", digest.alias("digest"), F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("own", "place").sortWithinPartitions("own", "place")
+    # partition and place within it: ascending over the ranges
+    ordered = stages.write(ordered.select("own", "text", "digest", F.monotonically_increasing_id().alias("number")), "ordered")
+    first = ordered.where("own IS NOT NULL").groupBy("own", "digest").agg(F.min("number").alias("id"))
+    numbered = stages.write(ordered.join(stages.write(first, "numbers"), ["own", "digest"], "left").select("id", "own", "text"), "numbered")
+    return numbered.select("id", "text"), numbered.select("id", "own").where("id IS NOT NULL").distinct()
+
+
+def own_ids(found: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """Columns of row numbers as the ids that by_row() took them for."""
+    if names is not None:
+        for c in columns:
+            order = found.columns
+            found = found.join(names.select(F.col("id").alias(c), F.col("own").alias("own_id")), c, "left").withColumn(c, F.col("own_id")).select(*order)
+    return found
+
+
 def components(stages: Stages, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable.
 

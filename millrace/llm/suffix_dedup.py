@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Stages, text_bytes
+from millrace.llm.shared import Stages, by_row, own_ids
 
 LIMIT = 100
 K = 32
@@ -367,12 +367,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings are judged on the input.
 
     Null texts count as empty; texts under LIMIT bytes stay whole.  Rows with a null id are neither earlier than others nor
-    cut.  Rows that repeat an id must repeat its text: they are one place, and neither copy is cut for the
-    other.  An empty table gives no rows.  Other columns are not read.
+    cut.  Rows that repeat an id with another text are documents of their own, earlier ones those that stand earlier in the table; rows that repeat id
+    and text are one place, and neither copy is cut for the other.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     with Stages(spark, "suffix") as stages:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+        texts, names = by_row(stages, docs, id_col, text_col)
         dated = texts.where("id is not null")
         repeated = dated.select("id", "text").mapInArrow(_minimisers, "f long").groupBy("f").agg(F.count("*").alias("c")).where("c > 1")
         repeated = stages.write(repeated.select("f"), "repeated-minimisers")
@@ -405,4 +405,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kept = final.mapInArrow(_remove(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         if not with_text:
             kept = kept.drop("kept")
-        return stages.keep(kept.withColumnRenamed("id", id_col))
+        return stages.keep(own_ids(kept, names, "id").withColumnRenamed("id", id_col))

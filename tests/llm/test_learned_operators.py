@@ -21,7 +21,9 @@ def test_language_learns_long_words_whole_and_all_languages(spark, monkeypatch):
     asked = spark.createDataFrame([(1, f"{long}x", "yy"), (1, f"{long}y", None), (None, "\u00b2\u00b3", None), (3, "worda", None)], "doc_id long, text string, lang string")
     got = [(r["doc_id"], r["lang_pred"]) for r in language_id.identify(asked, docs).collect()]
     assert sorted(got, key=str)[:3] == [(1, "xx"), (1, "yy"), (3, sorted(got, key=str)[2][1])] and (None, "und") in got
-    assert language_id.identify(docs, docs).where("lang_pred = lang").count() > 0.8 * len(rows)
+    truth = {i: lang for i, _, lang in rows}
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, docs).collect()}
+    assert len(set(got.values())) > 200 and sum(got[i] == lang for i, lang in truth.items()) > 0.8 * len(rows)
 
 
 def test_kept_items_have_their_counts_in_all_languages(spark, monkeypatch):

@@ -196,3 +196,27 @@ def test_few_rows_are_scored_exactly(spark, monkeypatch):
     scored.clear()
     hard_negatives._look_for_negatives(block, some, {}, 10)
     assert sum(scored) < 0.2 * 3 * n
+
+
+def texts_of_one_id(rng):
+    a, b, c = (" ".join("".join(rng.choice(["ta", "ro", "mi", "ken"]) for _ in range(4)) for _ in range(70)) for _ in range(3))
+    return [(1, a), (2, a), (7, a), (7, b), (9, b), (7, c), (None, b), (7, c), (3, None)], (a, b, c)
+
+
+def test_suffix_dedup_keeps_the_first_of_every_text_whatever_its_id(spark):
+    from millrace.llm import suffix_dedup
+
+    rows, (a, b, c) = texts_of_one_id(random.Random(2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs).collect())
+    n = {x: len(x.encode()) for x in (a, b, c)}
+    assert got == Counter([(1, n[a], 0), (2, n[a], n[a]), (7, n[a], n[a]), (7, n[b], 0), (9, n[b], n[b]), (7, n[c], 0), (None, n[b], 0), (7, n[c], 0), (3, 0, 0)])
+
+
+def test_near_duplicates_judge_rows_not_ids(spark):
+    from millrace.llm import minhash_dedup
+
+    rows, _ = texts_of_one_id(random.Random(2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("own", F.lit("clash")).withColumn("place", F.lit("clash"))
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (7, 1, False), (7, 7, True), (9, 7, False), (7, 7, True), (None, None, False), (7, 7, True), (3, 3, True)])
