@@ -14,8 +14,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sales_lines(spark: SparkSession, folder: str, key: str = "p_type") -> DataFrame:
-    """(sku, category, ds, units, price, on_promotion): one row per sold line; the product key is a column of part."""
-    part = table(spark, folder, "part").select("p_partkey", F.col(key).cast("string").alias("sku"), F.col("p_brand").alias("category"), "p_retailprice")
+    """(sku, category, ds, units, price, on_promotion): one row per sold line; the product key is a column of part, or an expression on its columns."""
+    part = table(spark, folder, "part").select("p_partkey", F.expr(key).cast("string").alias("sku"), F.col("p_brand").alias("category"), "p_retailprice")
     lines = table(spark, folder, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_discount")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "sku",
