@@ -18,10 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_ROWS = 2_000_000
 #: Stretches that the tokenizer remembers: fewer than alone, beside what the stages before left in an executor's memory.
 REMEMBERED = 100_000
-#: Number of a row, by which stages decide: ids may be null or repeated.
-ROW = "row"
+#: Number of a row, by which stages decide: ids may be null or repeated.  A name that no table of documents bears by chance.
+ROW = "pipeline_row_number"
 #: Number of a row among near copies.
-NODE = "node"
+NODE = "pipeline_node_number"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
