@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +116,60 @@ def by_source(scored: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count_distinct("sku").alias("products"), F.count("*").alias("windows"), (100 * F.sum("abs_err") / F.sum("sum_y")).alias("wape"))
 
 
-def bootstrap(scored: DataFrame, resamples: int = 1000, level: float = 0.9) -> DataFrame:
-    """(lo, hi): interval of the pooled WAPE over resamples of products, drawn by a seeded hash.
+#: The chances that a product counts up to k times in a resample, of a Poisson number of mean 1 (the tail beyond is under 1e-9).
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def resampled(products: DataFrame, resamples: int) -> DataFrame:
+    """Rows of products (sku, ...) for each resample `rep` that they count in, `times` times.
 
-    Products are summed first; a draw is (resample, place) hashed to one of the n products, so the join moves resamples * n small rows.
+    Each product draws a Poisson number of mean 1 of its own, from a digest of its name and the resample: no products are numbered or
+    brought together, and what follows is summed before it is shuffled.
     """
-    sums = scored.groupBy("sku").agg(F.sum("abs_err").alias("e"), F.sum("sum_y").alias("u"))
-    placed = sums.withColumn("pick", F.row_number().over(Window.orderBy("sku")) - 1)
-    n = F.broadcast(sums.agg(F.count("*").alias("n")))
-    draws = placed.select("pick").withColumnRenamed("pick", "place").join(n).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    drawn = draws.select("rep", F.pmod(F.xxhash64("rep", "place"), F.col("n")).cast("int").alias("pick")).groupBy("rep", "pick").agg(F.count("*").alias("times"))
-    wapes = drawn.join(placed, "pick").groupBy("rep").agg((100 * F.sum(F.col("e") * F.col("times")) / F.sum(F.col("u") * F.col("times"))).alias("wape"))
+    drawn = products.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "sku", "rep")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum((F.when(u > p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    return drawn.withColumn("times", times).where("times > 0")
+
+
+def intervals(scored: DataFrame, metrics: tuple[str, ...], resamples: int = 1000, level: float = 0.95) -> DataFrame:
+    """(metric, mean, lo, hi): a metric's mean over all windows and its interval over resamples of products, whose windows stay together.
+
+    Windows without a value don't count; with fewer than two products that have one the interval is null.
+    """
+    long = scored.unpivot("sku", list(metrics), "metric", "value").where("value IS NOT NULL")
+    sums = long.groupBy("metric", "sku").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy("metric").agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("products"))
+    means = resampled(sums, resamples).groupBy("metric", "rep").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     edge = (1 - level) / 2
-    return wapes.agg(F.percentile("wape", F.lit(edge)).alias("lo"), F.percentile("wape", F.lit(1 - edge)).alias("hi"))
+    edges = means.groupBy("metric").agg(F.percentile("m", F.lit(edge)).alias("lo"), F.percentile("m", F.lit(1 - edge)).alias("hi"))
+    enough = lambda c: F.when(F.col("products") >= 2, F.col(c)).alias(c)
+    return whole.join(edges, "metric").select("metric", "mean", enough("lo"), enough("hi"))
+
+
+def tier_ranking(costed: DataFrame, resamples: int = 1000) -> DataFrame:
+    """(tier, p_cheapest, winner, decisive, median_margin): how often each service level is the cheapest over resamples of products.
+
+    costed has (sku, cutoff, tier, cost).  Only tiers that every product has a cost for are ranked, two products and two tiers at least; a tier that was not
+    measured is unknown, not free.  The winner is decisive with half the resamples and twice its runner-up's; median_margin is what it saves on the next tier of a
+    resample, in percent.
+    """
+    per_sku = costed.where("cost IS NOT NULL").groupBy("tier", "sku").agg(F.avg("cost").alias("cost"))
+    size = F.broadcast(per_sku.agg(F.count_distinct("sku").alias("products")))
+    whole = per_sku.groupBy("tier").agg(F.count("*").alias("n")).join(size).where("n = products AND products >= 2").select("tier")
+    ranked = per_sku.join(F.broadcast(whole), "tier")
+    totals = resampled(ranked, resamples).groupBy("rep", "tier").agg(F.sum(F.col("cost") * F.col("times")).alias("total"))
+    order = Window.partitionBy("rep").orderBy(F.round("total", 6), "tier")
+    placed = totals.withColumns({"place": F.row_number().over(order), "next": F.lead("total").over(order)}).where("place = 1")
+    margin = F.when(F.col("next") > 0, 100 * (F.col("next") - F.col("total")) / F.col("next"))
+    wins = placed.withColumn("margin", margin)
+    share = whole.join(wins.groupBy("tier").agg(F.count("*").alias("wins")), "tier", "left").join(F.broadcast(wins.agg(F.count("*").alias("reps"), F.median("margin").alias("median_margin"))))
+    chances = share.select("tier", (100.0 * F.coalesce("wins", F.lit(0)) / F.col("reps")).alias("p_cheapest"), "median_margin")
+    best = Window.orderBy(F.desc("p_cheapest"), "tier")  # a row to a tier
+    marked = chances.withColumns({"place": F.row_number().over(best), "second": F.lead("p_cheapest").over(best), "tiers": F.count("*").over(Window.partitionBy())}).where("tiers >= 2")
+    winner = F.col("place") == 1
+    decisive = winner & (F.col("p_cheapest") >= 2 * F.col("second")) & (F.col("p_cheapest") >= 50)
+    return marked.select("tier", "p_cheapest", winner.alias("winner"), F.coalesce(decisive, F.lit(False)).alias("decisive"), "median_margin")
 
 
 def critical_ratio(costs: DataFrame, coverage: int = 30, holding: float = 0.25) -> DataFrame:

@@ -46,22 +46,29 @@ def dedupe(log: DataFrame) -> DataFrame:
 
 
 def amend(log: DataFrame, changes: DataFrame) -> DataFrame:
-    """New predictions for rows not yet graded; changes has (id, new_predicted, reason).  The first prediction stays in `original`."""
+    """New predictions for rows not yet graded; changes has (id, new_predicted, reason), one row to an id.
+
+    What was sealed first stays in `original`, and a row once amended stays marked, however often it or others are amended later.
+    """
+    for name, kind in (("original", "double"), ("amended", "boolean"), ("amend_reason", "string")):
+        if name not in log.columns:
+            log = log.withColumn(name, F.lit(None).cast(kind))
     met = log.join(changes, "id", "left")
     open_ = F.col("new_predicted").isNotNull() & F.col("scored_at").isNull()
     return met.withColumns(
         {
-            "original": F.when(open_, F.col("predicted")),
-            "amended": open_,
-            "amend_reason": F.when(open_, F.col("reason")),
+            "original": F.coalesce("original", F.when(open_, F.col("predicted"))),
+            "amended": F.coalesce("amended", F.lit(False)) | open_,
+            "amend_reason": F.when(open_, F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.lit("revised"))).otherwise(F.col("amend_reason")),
             "predicted": F.when(open_, F.round("new_predicted", 2)).otherwise(F.col("predicted")),
         }
     ).drop("new_predicted", "reason")
 
 
 def revise_days(log: DataFrame, factors: DataFrame) -> DataFrame:
-    """Open rows with chosen days scaled; factors has (sku, ds, factor).  The prediction moves by what its days moved, the band with it."""
-    by_sku = factors.groupBy("sku").agg(F.map_from_entries(F.collect_list(F.struct("ds", "factor"))).alias("by_day"))
+    """Open rows with chosen days scaled; factors has (sku, ds, factor), those of one day multiplied.  The prediction moves by what its days moved, the band with it."""
+    by_day = factors.groupBy("sku", "ds").agg(F.product("factor").alias("factor"))
+    by_sku = by_day.groupBy("sku").agg(F.map_from_entries(F.collect_list(F.struct("ds", "factor"))).alias("by_day"))
     met = log.join(by_sku, "sku", "left")
     scaled = F.transform("daily", lambda d: F.struct(d["ds"].alias("ds"), (d["yhat"] * F.coalesce(F.try_element_at("by_day", d["ds"]), F.lit(1.0))).alias("yhat")))
     open_ = F.col("scored_at").isNull() & F.col("by_day").isNotNull()

@@ -62,12 +62,43 @@ def lane_stats(orders: DataFrame) -> DataFrame:
     )
 
 
-def planning_lead(orders: DataFrame, manual: int = 14) -> DataFrame:
-    """(supplier, sku, lead): the product's own 80th percentile with 3 orders, else the supplier's with 2, else the manual days."""
-    own = lead_times(orders).groupBy("supplier", "sku").agg(F.count("*").alias("own_n"), F.expr("percentile(lead_days, 0.8)").alias("own"))
-    every = orders.select("supplier", "sku").distinct().join(own, ["supplier", "sku"], "left").join(supplier_stats(orders), "supplier", "left")
-    lead = F.when(F.col("own_n") >= 3, F.col("own")).when(F.col("n") >= 2, F.col("p80_days")).otherwise(F.lit(float(manual)))
-    return every.select("supplier", "sku", lead.alias("lead"))
+#: Deliveries of a lane without which its measured time doesn't count.
+LEAST_DELIVERIES = 3
+
+
+def planning_lead(orders: DataFrame, settings: DataFrame | None = None, baselines: DataFrame | None = None, manual: int = 14) -> DataFrame:
+    """(sku, lane, lead, source, n): the days to plan with, by the first that holds of
+    `next-order`, a one-off expectation; `manual`, the product's own word; `measured`, the 80th percentile of the product's own deliveries in its lane since
+    the last declared change, three at least; `baseline`, the lane's days for the product, else for its supplier, else the product's, else `manual`.
+
+    settings has (sku, lane, own_lead, mode, changed_at, slow_days), all but sku may be null; without a declared lane the one with most such deliveries is taken.
+    baselines has (sku, supplier, lane, days), either sku or supplier null.  Other products' deliveries never count.
+    """
+    spark = orders.sparkSession
+    kinds = "sku string, lane string, own_lead double, mode string, changed_at date, slow_days double"
+    declared = settings if settings is not None else spark.createDataFrame([], kinds)
+    declared = declared.withColumn("sku", F.col("sku").cast("string")).withColumnRenamed("lane", "declared")
+    rows = lead_times(orders).withColumn("sku", F.col("sku").cast("string"))
+    products = orders.select(F.col("sku").cast("string").alias("sku")).union(declared.select("sku")).distinct().join(declared, "sku", "left")
+    since = rows.join(products.select("sku", "changed_at"), "sku").where("changed_at IS NULL OR received >= changed_at")
+    lanes = since.groupBy("sku", "lane").agg(F.count("*").alias("n"), F.round(F.percentile("lead_days", F.lit(0.8))).alias("p80"))
+    most = F.row_number().over(Window.partitionBy("sku").orderBy(F.col("lane").isNull(), F.desc("n"), "lane"))
+    used = lanes.withColumn("place", most).where("place = 1").select("sku", F.col("lane").alias("used"))
+    chosen = products.join(used, "sku", "left").withColumn("lane", F.coalesce("declared", "used")).drop("used")
+    measured = lanes.select(F.col("sku").alias("s"), F.col("lane").alias("l"), "n", "p80")
+    met = chosen.join(measured, (F.col("sku") == F.col("s")) & F.col("lane").eqNullSafe(F.col("l")), "left").drop("s", "l")
+    if baselines is not None:
+        supplier = orders.groupBy(F.col("sku").cast("string").alias("sku")).agg(F.max_by("supplier", "ordered").alias("supplier"))
+        own = baselines.where("sku IS NOT NULL AND days > 0").select(F.col("sku").cast("string").alias("sku"), "lane", F.col("days").alias("own_base"))
+        theirs = baselines.where("sku IS NULL AND days > 0").select("supplier", "lane", F.col("days").alias("their_base"))
+        met = met.join(supplier, "sku", "left").join(own, ["sku", "lane"], "left").join(theirs, ["supplier", "lane"], "left")
+    else:
+        met = met.withColumns({"own_base": F.lit(None).cast("double"), "their_base": F.lit(None).cast("double")})
+    base = F.coalesce("own_base", "their_base", F.when(F.col("own_lead") > 0, F.col("own_lead")), F.lit(float(manual)))
+    slow, by_hand, enough = F.col("slow_days") > 0, F.col("mode") == "manual", F.col("n") >= LEAST_DELIVERIES
+    lead = F.when(slow, F.round("slow_days")).when(by_hand, base).when(enough, F.col("p80")).otherwise(base)
+    source = F.when(slow, "next-order").when(by_hand, "manual").when(enough, "measured").otherwise("baseline")
+    return met.select("sku", "lane", lead.cast("double").alias("lead"), source.alias("source"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def margins(costs: DataFrame) -> DataFrame:

@@ -18,10 +18,16 @@ def collapse(readings: DataFrame) -> DataFrame:
     return readings.withColumn("inside", same_before & same_after).where(~F.col("inside")).drop("inside")
 
 
+def rises(readings: DataFrame, least: int = 3, zone: str = "UTC") -> DataFrame:
+    """(sku, ts, day, before, after, gain): rises of `least` units or more from one reading to the next, on the store's day."""
+    before = F.lag("on_hand").over(Window.partitionBy("sku").orderBy("ts"))
+    rows = readings.withColumn("before", before).withColumn("gain", F.col("on_hand") - F.col("before")).where(F.col("gain") >= max(1, least))
+    return rows.select("sku", "ts", local_day(F.col("ts"), zone).alias("day"), "before", F.col("on_hand").alias("after"), "gain")
+
+
 def jumps(readings: DataFrame, least: int = 3) -> DataFrame:
     """(sku, ts, gain): rises of `least` units or more from one reading to the next."""
-    gain = F.col("on_hand") - F.lag("on_hand").over(Window.partitionBy("sku").orderBy("ts"))
-    return readings.withColumn("gain", gain).where(F.col("gain") >= least).select("sku", "ts", "gain")
+    return rises(readings, least).select("sku", "ts", "gain")
 
 
 def local_day(ts: F.Column, zone: str) -> F.Column:
@@ -34,19 +40,20 @@ def day_start(day: F.Column, zone: str) -> F.Column:
     return F.to_utc_timestamp(day.cast("timestamp"), zone)
 
 
-def hours_in_stock(readings: DataFrame) -> DataFrame:
-    """(sku, ds, covered, hours): per UTC day the seconds that readings cover, and the hours in stock scaled to 24.
+def hours_in_stock(readings: DataFrame, zone: str = "UTC") -> DataFrame:
+    """(sku, ds, covered, hours): per day of the store the seconds that readings cover, and the hours in stock scaled to 24.
 
-    A reading holds until the next one, the last for CARRY_HOURS; stretches are cut at midnight, and days covered less than LEAST_HOURS left out.
+    A reading holds until the next one, the last for CARRY_HOURS; stretches are cut at the store's midnight, a day has 24 hours from there, and days covered less than LEAST_HOURS left out.
     """
     second = F.unix_timestamp("ts")
     nxt = F.lead(second).over(Window.partitionBy("sku").orderBy("ts"))
     held = readings.select("sku", "on_hand", second.alias("a"), F.coalesce(nxt, second + CARRY_HOURS * 3600).alias("b")).where("b > a")
-    days = held.withColumn("d", F.explode(F.sequence(F.floor(F.col("a") / 86400), F.floor((F.col("b") - 1) / 86400))))
-    share = F.least("b", (F.col("d") + 1) * 86400) - F.greatest("a", F.col("d") * 86400)
-    sums = days.withColumn("s", share).groupBy("sku", "d").agg(F.sum("s").alias("covered"), F.sum(F.when(F.col("on_hand") > 0, F.col("s")).otherwise(0)).alias("stocked"))
+    day_of = lambda second: local_day(F.timestamp_seconds(second), zone)
+    days = held.withColumn("ds", F.explode(F.sequence(day_of(F.col("a")), day_of(F.col("b") - 1)))).withColumn("start", F.unix_timestamp(day_start(F.col("ds"), zone)))
+    share = F.greatest(F.least("b", F.col("start") + 86400) - F.greatest("a", "start"), F.lit(0))
+    sums = days.withColumn("s", share).groupBy("sku", "ds").agg(F.sum("s").alias("covered"), F.sum(F.when(F.col("on_hand") > 0, F.col("s")).otherwise(0)).alias("stocked"))
     whole = sums.where(F.col("covered") >= LEAST_HOURS * 3600)
-    return whole.select("sku", F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).alias("ds"), "covered", (24.0 * F.col("stocked") / F.col("covered")).alias("hours"))
+    return whole.select("sku", "ds", "covered", (24.0 * F.col("stocked") / F.col("covered")).alias("hours"))
 
 
 def availability_series(hours: DataFrame, first: str, last: str) -> DataFrame:
@@ -84,21 +91,48 @@ def demand_frame(days: DataFrame) -> DataFrame:
     return demand_estimate(known).where("kind <> 'unavailable'").select("sku", "ds", F.col("estimate").alias("y"), "kind", "weight")
 
 
-def order_matches(gains: DataFrame, orders: DataFrame, daily: DataFrame | None = None) -> DataFrame:
-    """(sku, ts, gain, order_id, qty, score): the open order that explains a rise of stock best.
+#: Days before and after its expected day in which a rise may be an order, the least likeness of sizes, and the weight of size against timing.
+EARLY, LATE, LEAST_RATIO, SIZE_SHARE = 21, 60, 0.5, 0.75
+#: A rise under this share of its order is a recount, one under so many days of sales a refund.
+LEAST_SHARE, REFUND_DAYS = 0.15, 2.0
+
 
-    orders has (sku, order_id, qty, expected); one is considered from 21 days before to 60 after its expected day if the sizes are within a
-    half, scored by 0.75 size + 0.25 timing.  With daily rates (sku, rate) a rise under two days of sales counts as a refund unless
-    it is exact.
+def order_matches(gains: DataFrame, orders: DataFrame) -> DataFrame:
+    """(sku, ts, gain, order_id, qty, score) and the order's days: the open order that explains a rise of stock best.
+
+    gains has (sku, ts, gain) and maybe (day), orders (sku, order_id, qty) and maybe (ordered, expected, received).  Received orders and those placed after the day are passed over.
+    An order without an expected day counts from the day it was placed; with neither, the timing is perfect.  Size counts three times as much as
+    timing; equal scores go to the smaller order number.
     """
-    met = gains.join(orders, "sku").withColumn("late", F.datediff("ts", "expected")).where("late BETWEEN -21 AND 60")
+    for name in ("ordered", "expected", "received"):
+        if name not in orders.columns:
+            orders = orders.withColumn(name, F.lit(None).cast("date"))
+    gains = gains if "day" in gains.columns else gains.withColumn("day", F.to_date("ts"))
+    open_ = orders.where("qty > 0 AND received IS NULL").select("sku", "order_id", "qty", "ordered", "expected")
+    met = gains.join(open_, "sku").where("ordered IS NULL OR day >= ordered")
+    late = F.datediff("day", F.coalesce("expected", "ordered"))
+    met = met.withColumn("late", F.coalesce(late, F.lit(0))).where(F.col("late").between(-EARLY, LATE))
     ratio = F.least(F.col("gain"), F.col("qty")) / F.greatest(F.col("gain"), F.col("qty"))
-    timing = F.greatest(F.lit(0.0), 1 - F.abs("late") / 60.0)
-    scored = met.withColumns({"ratio": ratio}).where("ratio >= 0.5").withColumn("score", 0.75 * F.col("ratio") + 0.25 * timing)
-    if daily is not None:
-        scored = scored.join(daily, "sku", "left").where("gain = qty OR rate IS NULL OR gain >= 2 * rate")
+    timing = 1 - F.least(F.abs("late") / float(LATE), F.lit(1.0))
+    scored = met.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).withColumn("score", SIZE_SHARE * F.col("ratio") + (1 - SIZE_SHARE) * timing)
     best = F.row_number().over(Window.partitionBy("sku", "ts").orderBy(F.desc("score"), "order_id"))
-    return scored.withColumn("r", best).where("r = 1").select("sku", "ts", "gain", "order_id", "qty", "score")
+    return scored.withColumn("r", best).where("r = 1").drop("r", "ratio", "late")
+
+
+def arrivals(readings: DataFrame, orders: DataFrame, daily: DataFrame | None = None, least: int = 3, zone: str = "UTC") -> DataFrame:
+    """(sku, order_id, arrived_on, ts, stock_before, stock_after, gain, qty, confidence, match, lead_days, days_late): rises that look like deliveries, for a person to confirm.
+
+    Each rise goes to its best order first; then small parts of a large order fall out as recounts, and with daily rates (sku, rate) rises
+    worth under REFUND_DAYS of sales as refunds, unless they are exactly the order.
+    """
+    found = order_matches(rises(readings, least, zone), orders).where(F.col("gain") >= F.greatest(F.lit(float(least)), LEAST_SHARE * F.col("qty")))
+    if daily is not None:
+        found = found.join(daily.select("sku", "rate"), "sku", "left").where((F.col("gain") == F.col("qty")) | F.coalesce(F.col("rate") <= 0, F.lit(True)) | (F.col("gain") >= REFUND_DAYS * F.col("rate")))
+    match = F.when(F.col("gain") == F.col("qty"), "exact").when(F.col("gain") < F.col("qty"), "partial").otherwise("over")
+    return found.select(
+        "sku", "order_id", F.col("day").alias("arrived_on"), "ts", F.col("before").alias("stock_before"), F.col("after").alias("stock_after"), "gain", "qty", F.round(F.col("score") + 1e-9, 3).alias("confidence"),
+        match.alias("match"), F.datediff("day", "ordered").alias("lead_days"), F.datediff("day", "expected").alias("days_late"),
+    )
 
 
 def units_sold_since(counts: DataFrame, daily: DataFrame, today: DataFrame) -> DataFrame:
@@ -138,13 +172,13 @@ def retain(readings: DataFrame, days: int = 120) -> DataFrame:
     return marked.where("ts >= cutoff").select("sku", "ts", "on_hand").union(anchor)
 
 
-def state(readings: DataFrame) -> DataFrame:
-    """(sku, level, state, readings_today, went_out_today, out_since); today is the day of the newest reading of all.
+def state(readings: DataFrame, zone: str = "UTC") -> DataFrame:
+    """(sku, level, state, readings_today, went_out_today, out_since); today is the store's day of the newest reading of all.
 
     out_since is the first reading of the run of empty ones that still lasts.
     """
-    today = readings.agg(F.to_date(F.max("ts")).alias("today"))
-    on_day = F.to_date("ts") == F.col("today")
+    today = readings.agg(local_day(F.max("ts"), zone).alias("today"))
+    on_day = local_day(F.col("ts"), zone) == F.col("today")
     filled = readings.join(F.broadcast(today)).withColumn("last_filled", F.max(F.when(F.col("on_hand") > 0, F.col("ts"))).over(Window.partitionBy("sku")))
     rows = filled.groupBy("sku").agg(
         F.max(F.struct("ts", "on_hand")).getField("on_hand").alias("level"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import rules
 from millrace.operators import backtest, bands, bundles, calendar, demand, livelog, planning, pricing, seasonality, telemetry, trend
 from millrace.plans.queries import (
-    AGED, BOM, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, HOURS, INDEX, LIFT_SQL, LINES, ORDERED, PRICE_LEVELS_SQL, READINGS, RESIDUALS, SCORES, STEPPED, TREND_LINEAR, UNSHRUNK_INDEX,
+    AGED, BOM, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, HOURS, INDEX, LIFT_SQL, LINES, LOCAL_DAY, ORDERED, PRICE_LEVELS_SQL, READINGS, RESIDUALS, SCORES, STEPPED, STORE_ZONE, TREND_LINEAR, UNSHRUNK_INDEX,
     _bundle_parts, _residuals, daily, filled, rounded, stepped, with_,
 )
 from millrace.sources import ingest, tables
@@ -537,12 +537,6 @@ def mixed_policy(spark, d):
     return rounded(backtest.mixed_policy(_costed(spark, d)), "mixed_cost", "uniform_cost", digits=2)
 
 
-@query(None)
-def accuracy_interval(spark, d):
-    """A bootstrap over products; its draws are hashes of this engine, so it has a test in place of SQL."""
-    return rounded(backtest.bootstrap(backtest.score(filled(spark, d)), resamples=400), "lo", "hi")
-
-
 SHEET = """sheet AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') ELSE strftime(CAST(o_orderdate AS DATE), '%-d/%-m/%Y') END AS date, CAST(o_custkey AS VARCHAR) AS sku,
   CASE WHEN o_orderkey % 50 = 0 THEN 'n/a' WHEN o_orderkey % 49 = 0 THEN '-3' ELSE CAST(o_orderkey % 9 AS VARCHAR) END AS units_sold, o_orderkey AS line FROM orders)"""
 
@@ -581,19 +575,12 @@ def sheet_quality(spark, d):
 @query("SELECT 3 AS copies, count(*) AS rows FROM supplier")
 def sheet_repeats(spark, d):
     """A table pasted three times in a row, and what is left of it."""
-    once = tables.table(spark, d, "supplier").withColumn("n", F.row_number().over(_by("s_suppkey")))
-    size = F.broadcast(once.agg(F.count("*").alias("size")))
-    sheet = once.join(size).withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).withColumn("line", F.col("copy") * F.col("size") + F.col("n")).drop("n", "size", "copy")
+    size = F.broadcast(tables.table(spark, d, "supplier").agg((F.max("s_suppkey") + 1).alias("size")))
+    sheet = tables.table(spark, d, "supplier").join(size).withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).withColumn("line", F.col("copy") * F.col("size") + F.col("s_suppkey")).drop("size", "copy")
     left = ingest.without_repeats(sheet, "line").agg(F.count("*").alias("rows"))
     return ingest.repeated_block(sheet, "line").join(F.broadcast(left))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 @query(with_(LINES, DAILY, key="p_partkey") + "SELECT sku, count(*) AS rows, min(ds) AS first, max(ds) AS last, round(sum(y), 3) AS units FROM daily GROUP BY sku")
 def fingerprint_parts(spark, d):
     return ingest.fingerprint_parts(daily(spark, d, "p_partkey"))
@@ -753,18 +740,39 @@ def availability_series(spark, d):
     return telemetry.availability_series(hours, "2024-01-05", "2024-01-20")
 
 
+#: Order lines by part, their days brought into the year of the readings; every fourth has no expected day, and those with line status F have come.
+PLACED = """placed AS (SELECT l_partkey AS sku, l_orderkey * 10 + l_linenumber AS order_id, l_quantity AS qty, make_date(2024, month(o_orderdate), least(day(o_orderdate), 28)) AS ordered,
+  CASE WHEN l_linenumber % 4 > 0 THEN make_date(2024, month(o_orderdate), least(day(o_orderdate), 28)) + 14 END AS expected FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')"""
+RISES = f"""rises AS (SELECT sku, ts, {LOCAL_DAY.format(ts='ts')} AS day, before, on_hand AS after, on_hand - before AS gain FROM (SELECT *, lag(on_hand) OVER (PARTITION BY sku ORDER BY ts) AS before FROM readings) WHERE on_hand - before >= 3),
+m AS (SELECT r.*, order_id, qty, ordered, expected, coalesce(date_diff('day', coalesce(expected, ordered), day), 0) AS late, least(gain, qty) / greatest(gain, qty) AS ratio FROM rises r JOIN placed p ON p.sku = r.sku AND day >= ordered),
+best AS (SELECT *, 0.75 * ratio + 0.25 * (1 - least(abs(late) / 60.0, 1.0)) AS score FROM m WHERE late BETWEEN -21 AND 60 AND ratio >= 0.5 QUALIFY row_number() OVER (PARTITION BY sku, ts ORDER BY score DESC, order_id) = 1)"""
+
+
+def _placed(spark, d):
+    lines = tables.table(spark, d, "lineitem").where("l_linestatus = 'O'").join(tables.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = F.expr("make_date(2024, month(o_orderdate), least(day(o_orderdate), 28))")
+    rows = lines.select(F.col("l_partkey").alias("sku"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"), F.col("l_quantity").alias("qty"), day.alias("ordered"), "l_linenumber")
+    return rows.withColumn("expected", F.when(F.col("l_linenumber") % 4 > 0, F.date_add("ordered", 14))).drop("l_linenumber")
+
+
+@query(with_(READINGS, PLACED, RISES) + f"SELECT sku, ts, gain, order_id, qty, {r('score')} AS score FROM best")
+def order_matches(spark, d):
+    """Rises of stock and the open orders that they fit best."""
+    gains = telemetry.rises(tables.stock_readings(spark, d), zone=STORE_ZONE)
+    return rounded(telemetry.order_matches(gains, _placed(spark, d)).select("sku", "ts", "gain", "order_id", "qty", "score"), "score")
+
+
 @query(
-    with_(READINGS)
-    + f""", g AS (SELECT sku, ts, gain FROM (SELECT sku, ts, on_hand - lag(on_hand) OVER (PARTITION BY sku ORDER BY ts) AS gain FROM readings) WHERE gain >= 3),
-o AS (SELECT DISTINCT user_id AS sku, user_id * 10 + k AS order_id, CAST(2 + (user_id + k) % 9 AS BIGINT) AS qty, DATE '2024-01-01' + CAST((user_id * 3 + k * 11) % 40 AS INTEGER) AS expected FROM events, (SELECT unnest(range(0, 4)) AS k)),
-m AS (SELECT g.sku, ts, gain, order_id, qty, 0.75 * least(gain, qty) / greatest(gain, qty) + 0.25 * greatest(0, 1 - abs(date_diff('day', expected, CAST(ts AS DATE))) / 60.0) AS score FROM g JOIN o ON o.sku = g.sku
-  WHERE date_diff('day', expected, CAST(ts AS DATE)) BETWEEN -21 AND 60 AND 2 * least(gain, qty) >= greatest(gain, qty))
-SELECT sku, ts, gain, order_id, qty, {r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY sku, ts ORDER BY score DESC, order_id) AS k FROM m) WHERE k = 1"""
+    with_(READINGS, PLACED, RISES)
+    + f""", rates AS (SELECT user_id AS sku, count(*) / 30.0 AS rate FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT sku, order_id, day AS arrived_on, ts, before AS stock_before, after AS stock_after, gain, qty, {r('score', 3)} AS confidence, CASE WHEN gain = qty THEN 'exact' WHEN gain < qty THEN 'partial' ELSE 'over' END AS match,
+  CAST(date_diff('day', ordered, day) AS INTEGER) AS lead_days, CAST(date_diff('day', expected, day) AS INTEGER) AS days_late
+FROM best LEFT JOIN rates USING (sku) WHERE gain >= greatest(3, 0.15 * qty) AND (gain = qty OR coalesce(rate <= 0, true) OR gain >= 2 * rate)"""
 )
-def order_matches(spark, d):
-    users = tables.table(spark, d, "events").select(F.col("user_id").alias("sku")).distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
-    orders = users.select("sku", (F.col("sku") * 10 + F.col("k")).alias("order_id"), (2 + (F.col("sku") + F.col("k")) % 9).cast("long").alias("qty"), F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("sku") * 3 + F.col("k") * 11) % 40).cast("int")).alias("expected"))
-    return rounded(telemetry.order_matches(telemetry.jumps(tables.stock_readings(spark, d)), orders), "score")
+def arrivals(spark, d):
+    """Rises of stock that look like deliveries, with their confidence and the days the order took."""
+    rates = tables.table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("sku")).agg((F.count("*") / 30.0).alias("rate"))
+    return telemetry.arrivals(tables.stock_readings(spark, d), _placed(spark, d), rates, zone=STORE_ZONE)
 
 
 @query(

@@ -378,14 +378,14 @@ LANE_STATS = with_(ORDERED) + "SELECT supplier, lane, count(*) AS n, round(quant
 
 
 def planning_lead(spark, d):
-    return rounded(planning.planning_lead(tables.purchase_orders(spark, d)), "lead")
+    """Lanes are the orders' priorities."""
+    return planning.planning_lead(tables.purchase_orders(spark, d))
 
 
 PLANNING_LEAD = (
     with_(ORDERED)
-    + """, own AS (SELECT supplier, sku, count(*) AS k, quantile_cont(lead, 0.8) AS own FROM ord WHERE lead >= 0 GROUP BY ALL),
-sup AS (SELECT supplier, count(*) AS n, quantile_cont(lead, 0.8) AS p FROM ord WHERE lead >= 0 GROUP BY supplier)
-SELECT supplier, sku, round((CASE WHEN k >= 3 THEN own WHEN n >= 2 THEN p ELSE 14.0 END) + 1e-9, 4) AS lead FROM (SELECT DISTINCT supplier, sku FROM ord) LEFT JOIN own USING (supplier, sku) LEFT JOIN sup USING (supplier)"""
+    + """, own AS (SELECT sku, lane, count(*) AS n, round(quantile_cont(lead, 0.8)) AS p FROM ord WHERE lead >= 0 GROUP BY sku, lane QUALIFY row_number() OVER (PARTITION BY sku ORDER BY lane IS NULL, count(*) DESC, lane) = 1)
+SELECT CAST(sku AS VARCHAR) AS sku, lane, CASE WHEN n >= 3 THEN p ELSE 14.0 END AS lead, CASE WHEN n >= 3 THEN 'measured' ELSE 'baseline' END AS source, coalesce(n, 0) AS n FROM (SELECT DISTINCT sku FROM ord) LEFT JOIN own USING (sku)"""
 )
 
 READINGS = "readings AS (SELECT user_id AS sku, ts, max(CAST(floor(value / 10) AS BIGINT)) AS on_hand FROM events GROUP BY 1, 2)"
@@ -414,10 +414,22 @@ hours AS (SELECT sku, DATE '1970-01-01' + CAST(d AS INTEGER) AS ds, sum(least(b,
 
 
 def hours_in_stock(spark, d):
-    return rounded(telemetry.hours_in_stock(tables.stock_readings(spark, d)), "hours", digits=3)
-
-
-HOURS_IN_STOCK = with_(READINGS, HOURS) + "SELECT sku, CAST(ds AS DATE) AS ds, CAST(covered AS BIGINT) AS covered, round((24.0 * stocked / covered) + 1e-9, 3) AS hours FROM hours"
+    """Over the days of a store in New York."""
+    return rounded(telemetry.hours_in_stock(tables.stock_readings(spark, d), STORE_ZONE), "hours", digits=3)
+
+
+STORE_ZONE = "America/New_York"
+#: The store's day of an instant and the second at which a store's day starts.
+LOCAL_DAY = f"CAST(timezone('{STORE_ZONE}', timezone('UTC', CAST({{ts}} AS TIMESTAMP))) AS DATE)"
+LOCAL_START = f"CAST(epoch(timezone('UTC', timezone('{STORE_ZONE}', CAST({{day}} AS TIMESTAMP)))) AS BIGINT)"
+STORE_HOURS = (
+    HOURS.split("\n")[0]
+    + f"""
+e AS (SELECT *, CAST(unnest(generate_series(CAST({LOCAL_DAY.format(ts="make_timestamp(a * 1000000)")} AS TIMESTAMP), CAST({LOCAL_DAY.format(ts="make_timestamp((b - 1) * 1000000)")} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ds FROM h WHERE b > a),
+f AS (SELECT *, {LOCAL_START.format(day="ds")} AS s FROM e), g AS (SELECT sku, ds, on_hand, greatest(least(b, s + 86400) - greatest(a, s), 0) AS held FROM f),
+hours AS (SELECT sku, ds, sum(held) AS covered, coalesce(sum(held) FILTER (on_hand > 0), 0) AS stocked FROM g GROUP BY 1, 2 HAVING sum(held) >= 43200)"""
+)
+HOURS_IN_STOCK = with_(READINGS, STORE_HOURS) + "SELECT sku, CAST(ds AS DATE) AS ds, CAST(covered AS BIGINT) AS covered, round((24.0 * stocked / covered) + 1e-9, 3) AS hours FROM hours"
 
 
 def _estimated(spark, d):
@@ -560,15 +572,15 @@ UNION ALL SELECT sku, max(ts), arg_max(on_hand, ts) FROM readings, cut WHERE ts
 
 
 def stock_state(spark, d):
-    return telemetry.state(tables.stock_readings(spark, d))
+    return telemetry.state(tables.stock_readings(spark, d), STORE_ZONE)
 
 
 STOCK_STATE = (
     with_(READINGS)
-    + """, day AS (SELECT CAST(max(ts) AS DATE) AS today FROM readings),
+    + f""", day AS (SELECT {LOCAL_DAY.format(ts="max(ts)")} AS today FROM readings),
 f AS (SELECT *, max(ts) FILTER (on_hand > 0) OVER (PARTITION BY sku) AS last_filled FROM readings, day)
-SELECT sku, arg_max(on_hand, ts) AS level, CASE WHEN arg_max(on_hand, ts) <= 0 THEN 'out' ELSE 'in' END AS state, count(*) FILTER (CAST(ts AS DATE) = today) AS readings_today,
-  bool_or(CAST(ts AS DATE) = today AND on_hand <= 0) AS went_out_today, min(ts) FILTER (last_filled IS NULL OR ts > last_filled) AS out_since FROM f GROUP BY sku"""
+SELECT sku, arg_max(on_hand, ts) AS level, CASE WHEN arg_max(on_hand, ts) <= 0 THEN 'out' ELSE 'in' END AS state, count(*) FILTER ({LOCAL_DAY.format(ts="ts")} = today) AS readings_today,
+  bool_or({LOCAL_DAY.format(ts="ts")} = today AND on_hand <= 0) AS went_out_today, min(ts) FILTER (last_filled IS NULL OR ts > last_filled) AS out_since FROM f GROUP BY sku"""
 )
 
 

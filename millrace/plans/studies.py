@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import demand, families, rush, seasonality
-from millrace.plans.decisions import r
-from millrace.plans.queries import AGED, DAILY, FILLED, LINES, SIGNATURES, filled, rounded, with_
+from millrace.operators import backtest, demand, families, rush, seasonality
+from millrace.plans.decisions import TESTED, _costed, r
+from millrace.plans.queries import AGED, DAILY, FILLED, LINES, SCORES, SIGNATURES, filled, rounded, with_
 from millrace.sources import tables
 from millrace.sources.staging import staged
 
@@ -172,6 +172,36 @@ def cluster_report(spark, d):
     return rounded(families.cluster_report(staged(family_clusters(spark, d)), signatures), "cohesion", "distinctive")
 
 
+RESAMPLES = 200
+DRAWS = f"""(SELECT *, {' + '.join(f'CAST(u > {p!r} AS INTEGER)' for p in backtest.POISSON)} AS times FROM (SELECT *, CAST('0x' || md5(sku || '|' || rep)[1:8] AS BIGINT) / 4294967296.0 AS u FROM {{rows}}, (SELECT unnest(range(1, {RESAMPLES + 1})) AS rep)))"""
+
+
+@query(
+    with_(LINES, DAILY, FILLED, SCORES)
+    + f""", long AS (UNPIVOT (SELECT sku, mase, wape, bias FROM scores) ON mase, wape, bias INTO NAME metric VALUE value),
+sums AS (SELECT metric, sku, sum(value) AS s, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY 1, 2),
+means AS (SELECT metric, rep, sum(s * times) / sum(n * times) AS m FROM {DRAWS.format(rows='sums')} WHERE times > 0 GROUP BY 1, 2),
+edges AS (SELECT metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY 1)
+SELECT metric, {r('sum(s) / sum(n)')} AS mean, {r('CASE WHEN count(*) >= 2 THEN any_value(lo) END')} AS lo, {r('CASE WHEN count(*) >= 2 THEN any_value(hi) END')} AS hi FROM sums JOIN edges USING (metric) GROUP BY metric"""
+)
+def accuracy_interval(spark, d):
+    """95% intervals of mean accuracy over resamples of products."""
+    return rounded(backtest.intervals(backtest.score(filled(spark, d)), ("mase", "wape", "bias"), RESAMPLES), "mean", "lo", "hi")
+
+
+@query(
+    with_(LINES, DAILY, FILLED, SCORES, TESTED)
+    + f""", p AS (SELECT tier, sku, avg(cost) AS cost FROM costed GROUP BY 1, 2), totals AS (SELECT rep, tier, sum(cost * times) AS total FROM {DRAWS.format(rows='p')} WHERE times > 0 GROUP BY 1, 2),
+firsts AS (SELECT *, lead(total) OVER w AS nxt FROM totals WINDOW w AS (PARTITION BY rep ORDER BY round(total, 6), tier) QUALIFY row_number() OVER w = 1),
+chances AS (SELECT tier, 100.0 * count(firsts.rep) / (SELECT count(*) FROM firsts) AS p FROM (SELECT DISTINCT tier FROM p) LEFT JOIN firsts USING (tier) GROUP BY tier),
+marked AS (SELECT *, row_number() OVER (ORDER BY p DESC, tier) AS place, lead(p) OVER (ORDER BY p DESC, tier) AS second FROM chances)
+SELECT tier, {r('p')} AS p_cheapest, place = 1 AS winner, coalesce(place = 1 AND p >= 2 * second AND p >= 50, false) AS decisive, {r('(SELECT median(CASE WHEN nxt > 0 THEN 100 * (nxt - total) / nxt END) FROM firsts)')} AS median_margin FROM marked"""
+)
+def tier_ranking(spark, d):
+    """How often each service level is the cheapest over resamples of products."""
+    return rounded(backtest.tier_ranking(_costed(spark, d), RESAMPLES), "p_cheapest", "median_margin")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import staged
+
 #: A dialect is taken where this share of the dates that are given matches it.
 DIALECT_SHARE = 0.8
 ISO_DATE, SLASH_DATE = r"^\d{4}-\d{1,2}-\d{1,2}", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$"
@@ -67,16 +69,32 @@ def parsed_dates(sheet: DataFrame, column: str = "date") -> DataFrame:
     return met.withColumn("ds", ds).drop("_text", "dialect", "ambiguous")
 
 
+def numbered(sheet: DataFrame, order_col: str) -> DataFrame:
+    """Adds `_i`, the row's place from 0 in the order of order_col, without bringing the sheet into one task.
+
+    Rows are dealt by ranges of the order and numbered within their range; the ranges' sizes, one row each, tell where each begins.
+    """
+    dealt = sheet.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_m", F.monotonically_increasing_id())
+    placed = staged(dealt.withColumns({"_part": F.shiftright("_m", 33).cast("int"), "_k": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row to a range
+    return placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("_i", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
 def repeated_block(sheet: DataFrame, order_col: str) -> DataFrame:
     """(copies): how many times, two to four, a sheet repeats as a whole in the order of order_col; 1 if it doesn't.
 
-    Rows are numbered over the sheet; row i must equal row i modulo the block's length, which is one join on that number.
+    Row i must equal row i modulo the block's length, which is one aggregate by that number.
     """
-    columns = [c for c in sheet.columns if c != order_col]
+    return _copies(numbered(sheet, order_col), order_col)
+
+
+def _copies(rows: DataFrame, order_col: str) -> DataFrame:
+    columns = [c for c in rows.columns if c not in (order_col, "_i")]
     digest = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))
-    rows = sheet.select((F.row_number().over(Window.orderBy(order_col)) - 1).alias("i"), digest.alias("h"))
-    size = F.broadcast(rows.agg(F.count("*").alias("n")))
-    tried = rows.join(size).withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).where("n >= 2 AND n % k = 0")
+    hashed = rows.select(F.col("_i").alias("i"), digest.alias("h"))
+    size = F.broadcast(hashed.agg(F.count("*").alias("n")))
+    tried = hashed.join(size).withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).where("n >= 2 AND n % k = 0")
     tried = tried.withColumn("m", (F.col("n") / F.col("k")).cast("long"))
     same = tried.withColumn("j", F.col("i") % F.col("m")).groupBy("k", "j").agg((F.min("h") == F.max("h")).alias("same"))
     whole = same.groupBy("k").agg(F.bool_and("same").alias("whole")).where("whole")
@@ -85,9 +103,9 @@ def repeated_block(sheet: DataFrame, order_col: str) -> DataFrame:
 
 def without_repeats(sheet: DataFrame, order_col: str) -> DataFrame:
     """The first block of a sheet that repeats as a whole; rows next to each other that are alike are sales and stay."""
-    numbered = sheet.withColumn("_i", F.row_number().over(Window.orderBy(order_col)))
-    size = sheet.agg(F.count("*").alias("_n"))
-    return numbered.join(F.broadcast(repeated_block(sheet, order_col))).join(F.broadcast(size)).where("_i <= _n div copies").drop("_i", "_n", "copies")
+    rows = numbered(sheet, order_col)
+    size = rows.agg(F.count("*").alias("_n"))
+    return rows.join(F.broadcast(_copies(rows, order_col))).join(F.broadcast(size)).where("_i < _n div copies").drop("_i", "_n", "copies")
 
 
 def collapsed(sheet: DataFrame, order_col: str, *last: str) -> DataFrame:

@@ -21,8 +21,9 @@ FORGET_MS = 7 * 24 * 3600 * 1000
 
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """Files of a folder as they arrive, late events beyond LATENESS dropped by later windows."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder).withWatermark("ts", LATENESS)
+    """Files of a folder as they arrive, late events beyond LATENESS dropped by later windows; times without a zone are the session's."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
 def with_props(events: DataFrame) -> DataFrame:
@@ -60,13 +61,13 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         return
     last = state.get if state.exists else (None, None)
     out = []
-    for batch in batches:
-        for ts, level in batch.sort_values("ts")[["ts", "on_hand"]].itertuples(index=False):
-            if last[1] is not None and ts.value <= last[1]:
-                continue
-            if last[0] is None or level != last[0]:
-                out.append((key[0], ts, level))
-            last = (int(level), ts.value)
+    # a product's readings of one micro-batch may come in several parts, in any order
+    for ts, level in pd.concat([b[["ts", "on_hand"]] for b in batches]).sort_values("ts").itertuples(index=False):
+        if last[1] is not None and ts.value <= last[1]:
+            continue
+        if last[0] is None or level != last[0]:
+            out.append((key[0], ts, level))
+        last = (int(level), ts.value)
     if last[0] is not None:
         state.update(last)
         state.setTimeoutDuration(FORGET_MS)

@@ -1,12 +1,13 @@
 """Rushes, families, price changes and engine backtests: queries against their SQL, and golden cases."""
 
-from datetime import date, timedelta
+import hashlib
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import families, rush, seasonality
+from millrace.operators import backtest, families, livelog, planning, rush, seasonality, telemetry
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -177,3 +178,86 @@ def test_adaptive_groups_by_hand(spark):
     by_trait = [(s, "color", "red" if int(s[1:]) % 2 else "blue") for s, _, _ in products if s[0] == "p"]
     some = families.adaptive_groups(spark.createDataFrame(products, "sku string, base string, days int"), spark.createDataFrame(by_trait, "sku string, name string, value string"), signatures_of(spark, vectors)).where("base = 'Chairs'")
     assert {(r["group"], r["level"]) for r in some.collect()} == {("Chairs | color:red", "subgroup"), ("Chairs | color:blue", "subgroup")}
+
+
+def times_of(sku, rep):
+    u = int(hashlib.md5(f"{sku}|{rep}".encode()).hexdigest()[:8], 16) / 2**32
+    return sum(u > p for p in backtest.POISSON)
+
+
+def test_intervals_and_ranking_by_hand(spark):
+    rng = np.random.default_rng(8)
+    windows = [(f"s{k}", None if rng.random() < 0.2 else float(rng.random() < 0.5 + k / 80), float(rng.normal(1, 0.2))) for k in range(30) for _ in range(5)]
+    got = {r["metric"]: r for r in backtest.intervals(spark.createDataFrame(windows, "sku string, covered double, mase double"), ("covered", "mase"), 300).collect()}
+    for place, metric in ((1, "covered"), (2, "mase")):
+        by = {}
+        for w in windows:
+            if w[place] is not None:
+                by.setdefault(w[0], []).append(w[place])
+        means = [sum(times_of(s, rep) * sum(v) for s, v in by.items()) / sum(times_of(s, rep) * len(v) for s, v in by.items()) for rep in range(1, 301)]
+        assert (got[metric]["lo"], got[metric]["hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+        assert got[metric]["lo"] < got[metric]["mean"] < got[metric]["hi"]
+    costs = [(f"s{k}", date(2024, 1, 1), tier, float(base + rng.normal(0, 4))) for k in range(30) for tier, base in (("t95", 10.0), ("t99", 11.0), ("t90", 14.0))] + [("s0", date(2024, 1, 1), "some", 0.0)]
+    ranked = {r["tier"]: r for r in backtest.tier_ranking(spark.createDataFrame(costs, "sku string, cutoff date, tier string, cost double"), 300).collect()}
+    wins = {"t95": 0, "t99": 0, "t90": 0}
+    for rep in range(1, 301):
+        wins[min(wins, key=lambda t: (round(sum(times_of(s, rep) * c for s, _, u, c in costs if u == t), 6), t))] += 1
+    assert {t: round(r["p_cheapest"] * 3) for t, r in ranked.items()} == wins  # "some" isn't measured for all products
+    one = backtest.intervals(spark.createDataFrame(windows[:5], "sku string, covered double, mase double"), ("mase",), 50).first()
+    assert one["lo"] is None and one["mean"] is not None
+
+
+def test_lead_time_ladder(spark):
+    day = date(2024, 1, 1)
+    orders = [("A", "sea", 0, 40), ("A", "sea", 10, 44), ("A", "sea", 20, 42), ("A", "air", 0, 7), ("B", "sea", 0, 44), ("C", "sea", 0, 90), ("C", "sea", 5, 90), ("C", "sea", 9, 90), ("D", "sea", 0, 50), ("D", "sea", 100, 20), ("D", "sea", 110, 22), ("D", "sea", 120, 24), ("E", None, 0, 30), ("F", "sea", 0, 10)]
+    rows = [("x", sku, lane, day + timedelta(days=a), day + timedelta(days=a + n)) for sku, lane, a, n in orders]
+    frame = spark.createDataFrame(rows, "supplier string, sku string, lane string, ordered date, received date")
+    settings = spark.createDataFrame(
+        [("A", None, None, None, None, None), ("D", None, None, None, day + timedelta(days=100), None), ("F", None, 12.0, "manual", None, None), ("G", "air", 9.0, None, None, 33.0), ("C", "air", 25.0, None, None, None), ("H", None, None, None, None, None)],
+        "sku string, lane string, own_lead double, mode string, changed_at date, slow_days double",
+    )
+    base = spark.createDataFrame([(None, "x", "sea", 44.0), ("C", None, "air", 8.0)], "sku string, supplier string, lane string, days double")
+    got = {r["sku"]: (r["lane"], r["lead"], r["source"], r["n"]) for r in planning.planning_lead(frame, settings, base).collect()}
+    assert got["A"] == ("sea", 43.0, "measured", 3)  # the air delivery doesn't count
+    assert got["B"] == ("sea", 44.0, "baseline", 1)  # its supplier's baseline, not C's 90 days
+    assert got["C"] == ("air", 8.0, "baseline", 0) and got["D"] == ("sea", 23.0, "measured", 3)  # only since the change
+    assert got["E"] == (None, 14.0, "baseline", 1) and got["F"] == ("sea", 44.0, "manual", 1)
+    assert got["G"] == ("air", 33.0, "next-order", 0) and got["H"] == (None, 14.0, "baseline", 0)
+
+
+def test_hours_count_on_the_store_s_day(spark):
+    """Sold out at 11 pm Eastern on Saturday, restocked on Monday: an empty Sunday has no hours in stock."""
+    rows = [("s", datetime(2024, 3, 1, 17, 0), 5), ("s", datetime(2024, 3, 3, 4, 0), 0), ("s", datetime(2024, 3, 4, 15, 0), 9), ("s", datetime(2024, 3, 6, 5, 0), 9)]
+    got = {r["ds"]: r["hours"] for r in telemetry.hours_in_stock(spark.createDataFrame(rows, "sku string, ts timestamp, on_hand long"), "America/New_York").collect()}
+    assert got[date(2024, 3, 3)] == 0.0 and got[date(2024, 3, 2)] == pytest.approx(23.0) and got[date(2024, 3, 4)] == pytest.approx(14.0)
+
+
+def test_arrivals_go_to_their_best_order_first(spark):
+    readings = spark.createDataFrame([("s", datetime(2024, 1, d, 12), n) for d, n in ((1, 10), (5, 110), (6, 105), (8, 109), (9, 108), (10, 123))], "sku string, ts timestamp, on_hand long")
+    orders = spark.createDataFrame(
+        [("s", 1, 100.0, date(2023, 12, 1), date(2024, 1, 3), None), ("s", 2, 100.0, date(2024, 1, 7), None, None), ("s", 3, 100.0, date(2023, 12, 1), date(2024, 1, 5), date(2024, 1, 5)), ("s", 4, 6.0, None, None, None), ("s", 5, 100.0, date(2023, 12, 1), date(2023, 10, 1), None)],
+        "sku string, order_id long, qty double, ordered date, expected date, received date",
+    )
+    daily = spark.createDataFrame([("s", 5.0)], "sku string, rate double")
+    got = [(r["arrived_on"].day, r["order_id"], r["match"], r["lead_days"], r["days_late"]) for r in telemetry.arrivals(readings, orders, daily).orderBy("ts").collect()]
+    assert got == [(5, 1, "exact", 35, 2)]  # 4 units fit order 4 but are under two days of sales; 15 fit no order by half
+    plain = telemetry.arrivals(readings, orders).orderBy("ts").collect()
+    assert [(r["arrived_on"].day, r["order_id"], r["match"], r["lead_days"]) for r in plain] == [(5, 1, "exact", 35), (8, 4, "partial", None)]
+    assert plain[1]["confidence"] == pytest.approx(0.75 * 4 / 6 + 0.25)
+
+
+def test_amended_twice_keeps_what_was_sealed(spark):
+    d = date(2024, 6, 2)
+    rows = [("a", None, 14.0), ("b", None, 5.0), ("c", d, 8.0)]
+    log = spark.createDataFrame(rows, "id string, scored_at date, predicted double")
+    change = lambda i, p: spark.createDataFrame([(i, p, "why")], "id string, new_predicted double, reason string")
+    twice = livelog.amend(livelog.amend(livelog.amend(livelog.amend(log, change("a", 20.0)), change("a", 30.0)), change("b", 6.0)), change("c", 1.0))
+    got = {r["id"]: (r["predicted"], r["original"], r["amended"], r["amend_reason"]) for r in twice.collect()}
+    assert got == {"a": (30.0, 14.0, True, "why"), "b": (6.0, 5.0, True, "why"), "c": (8.0, None, False, None)}
+
+
+def test_factors_of_one_day_multiply(spark):
+    d = date(2024, 6, 2)
+    log = spark.createDataFrame([("s", None, 4.0, 2.0, 6.0, [(d, 2.0), (d + timedelta(days=1), 2.0)])], "sku string, scored_at date, predicted double, lo double, hi double, daily array<struct<ds:date,yhat:double>>")
+    r = livelog.revise_days(log, spark.createDataFrame([("s", d, 2.0), ("s", d, 1.5)], "sku string, ds date, factor double")).first()
+    assert (r["predicted"], r["daily"][0]["yhat"], r["daily"][1]["yhat"]) == (8.0, 6.0, 2.0)
