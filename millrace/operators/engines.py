@@ -157,31 +157,37 @@ def _recent(y: np.ndarray, day: np.ndarray, horizon: int) -> np.ndarray:
     return level * profile[(day[-1] + np.arange(1, horizon + 1)).astype(int) % 7]
 
 
+def fitted_series(y: np.ndarray, day: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """yhat, lower and upper of the coming days of one series, the recent level's weight, and the errors of its hold-outs, oldest first."""
+    errors, misses = [], []
+    for k in range(1, HOLD_OUTS + 1):
+        cut = len(y) - k * HOLD_OUT
+        if cut >= 60:
+            actual = y[cut : cut + HOLD_OUT]
+            fitted, recent = (f(y[:cut], day[:cut], HOLD_OUT) for f in (_ridge, _recent))
+            errors.insert(0, actual - fitted)
+            misses.append([np.abs((actual - f).reshape(4, 7).sum(axis=1)).mean() / 7 for f in (fitted, recent)])
+    weight = 0.0
+    if misses and len(y) < YEARLY_DAYS:
+        p, alt = np.mean(misses, axis=0)
+        weight = p * p / (p * p + alt * alt) if p + alt > 0 else 0.0
+    weight = weight if weight >= LEAST_WEIGHT else 0.0
+    yhat = (1 - weight) * _ridge(y, day, horizon) + (weight * _recent(y, day, horizon) if weight else 0.0)
+    resid = np.concatenate(errors) if errors else np.zeros(0)
+    if len(resid) >= 8:
+        lo, hi = np.percentile(resid, [10, 90])
+    else:
+        hi = 1.2816 * (y.std() if len(y) else 0.0)
+        lo = -hi
+    return yhat, np.maximum(yhat + lo, 0.0), np.maximum(yhat + hi, 0.0), weight, resid
+
+
 def _fit_product(horizon: int):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ds")
         y, day = rows["y"].to_numpy(float), (pd.to_datetime(rows["ds"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
-        errors, misses = [], []
-        for k in range(1, HOLD_OUTS + 1):
-            cut = len(y) - k * HOLD_OUT
-            if cut >= 60:
-                actual = y[cut : cut + HOLD_OUT]
-                fitted, recent = (f(y[:cut], day[:cut], HOLD_OUT) for f in (_ridge, _recent))
-                errors.append(actual - fitted)
-                misses.append([np.abs((actual - f).reshape(4, 7).sum(axis=1)).mean() / 7 for f in (fitted, recent)])
-        weight = 0.0
-        if misses and len(y) < YEARLY_DAYS:
-            p, alt = np.mean(misses, axis=0)
-            weight = p * p / (p * p + alt * alt) if p + alt > 0 else 0.0
-        weight = weight if weight >= LEAST_WEIGHT else 0.0
-        yhat = (1 - weight) * _ridge(y, day, horizon) + (weight * _recent(y, day, horizon) if weight else 0.0)
-        resid = np.concatenate(errors) if errors else np.zeros(0)
-        if len(resid) >= 8:
-            lo, hi = np.percentile(resid, [10, 90])
-        else:
-            hi = 1.2816 * (y.std() if len(y) else 0.0)
-            lo = -hi
-        return pd.DataFrame({"sku": rows["sku"].iloc[0], "day": np.arange(1, horizon + 1), "yhat": yhat, "lower": np.maximum(yhat + lo, 0.0), "upper": np.maximum(yhat + hi, 0.0), "recent_weight": weight})
+        yhat, lower, upper, weight, _ = fitted_series(y, day, horizon)
+        return pd.DataFrame({"sku": rows["sku"].iloc[0], "day": np.arange(1, horizon + 1), "yhat": yhat, "lower": lower, "upper": upper, "recent_weight": weight})
 
     return fit
 

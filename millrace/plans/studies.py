@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, demand, families, rush, seasonality
+from millrace.operators import backtest, demand, families, replay, rush, seasonality
 from millrace.plans.decisions import TESTED, _costed, r
 from millrace.plans.queries import AGED, DAILY, FILLED, LINES, SCORES, SIGNATURES, filled, rounded, with_
 from millrace.sources import tables
@@ -202,6 +202,29 @@ def tier_ranking(spark, d):
     return rounded(backtest.tier_ranking(_costed(spark, d), RESAMPLES), "p_cheapest", "median_margin")
 
 
+#: Lead times and the days that an order covers, as backtests are scored.
+COMBOS = ((14, 30), (28, 30))
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    rows = filled(spark, d, "p_brand").select("sku", "ds", "y")
+    keys = rows.select("sku", F.substring("sku", 1, 7).alias("category")).distinct()
+    return replay.run(rows, keys, COMBOS)
+
+
+@query(None)
+def backtest_engines(spark, d):
+    """Every engine on every window as of its cutoff, and the engine that would have been chosen; held against refits by hand in its tests."""
+    return rounded(replay.summary(_replayed(spark, d)), "wape", "mase", "bias", "inside_pct", "service_pct", "order_err")
+
+
+@query(None)
+def engine_intervals(spark, d):
+    """95% intervals of service, scaled error and band coverage of the chosen engines, over resamples of products."""
+    chosen = _replayed(spark, d).where("routed AND lead = 14")
+    return rounded(backtest.intervals(chosen, ("covered", "mase", "inside"), RESAMPLES), "mean", "lo", "hi")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, families, livelog, planning, rush, seasonality, telemetry
+from millrace.operators import backtest, engines, families, livelog, planning, replay, rush, seasonality, telemetry, trend
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -261,3 +261,78 @@ def test_factors_of_one_day_multiply(spark):
     log = spark.createDataFrame([("s", None, 4.0, 2.0, 6.0, [(d, 2.0), (d + timedelta(days=1), 2.0)])], "sku string, scored_at date, predicted double, lo double, hi double, daily array<struct<ds:date,yhat:double>>")
     r = livelog.revise_days(log, spark.createDataFrame([("s", d, 2.0), ("s", d, 1.5)], "sku string, ds date, factor double")).first()
     assert (r["predicted"], r["daily"][0]["yhat"], r["daily"][1]["yhat"]) == (8.0, 6.0, 2.0)
+
+
+def shop(spark, days=700, seed=1):
+    """Six products of two families: steady, seasonal, growing, and sparse ones."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(days)
+    make = {
+        "a1": 20 + 6 * np.sin(2 * np.pi * t / 365.25) + rng.normal(0, 2, days), "a2": 15 + 5 * np.sin(2 * np.pi * t / 365.25) + rng.normal(0, 2, days), "a3": (10 + 4 * np.sin(2 * np.pi * t / 365.25) + 0.01 * t + rng.normal(0, 1, days))[-320:],
+        "b1": rng.poisson(0.15, days) * 3.0, "b2": rng.poisson(0.3, days) * 1.0, "b3": 8 + 2.0 * (t % 7 == 5) + rng.normal(0, 1, days),
+    }
+    rows = [(sku, START + timedelta(days=days - len(y) + k), float(max(0.0, round(v, 3)))) for sku, y in make.items() for k, v in enumerate(y)]
+    keys = spark.createDataFrame([(s, s[0]) for s in make], "sku string, category string")
+    return spark.createDataFrame(rows, "sku string, ds date, y double"), keys
+
+
+def test_nothing_after_the_cutoff_reaches_a_forecast(spark):
+    filled, keys = shop(spark)
+    cutoffs = [START + timedelta(days=500), START + timedelta(days=640)]
+    schedule = filled.select("sku").distinct().withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)))).withColumn("block", F.lit("recent"))
+    changed = filled.withColumn("y", F.when(F.col("ds") > F.lit(cutoffs[0]), F.col("y") * 7 + 100).otherwise(F.col("y")))
+    one, two = ({(r["sku"], r["cutoff"], r["engine"]): r for r in replay.forecasts_as_of(f, keys, schedule, 44, (14, 28)).collect()} for f in (filled, changed))
+    assert set(one) == set(two) and {k[2] for k in one} == set(replay.ENGINES)
+    for key, row in one.items():
+        if key[1] == cutoffs[0]:
+            assert row == two[key]
+        else:
+            assert row["yhat"] != two[key]["yhat"]
+
+
+def test_engines_as_of_the_last_day_are_the_engines(spark):
+    filled, keys = shop(spark)
+    end = START + timedelta(days=699)
+    schedule = filled.select("sku").distinct().withColumns({"cutoff": F.lit(end), "block": F.lit("recent")})
+    got = {(r["sku"], r["engine"]): r for r in replay.routed(replay.forecasts_as_of(filled, keys, schedule, 30, (14,))).collect()}
+    fitted = {}
+    for r in engines.fitted_forecast(filled, 30).collect():
+        fitted.setdefault(r["sku"], {})[r["day"]] = r["yhat"]
+    subtypes = spark.createDataFrame([], "sku string, subtype string")
+    for r in engines.sparse_forecast(filled, subtypes).collect():
+        row = got[r["sku"], "sparse"]
+        assert (row["yhat"][0], row["lower"][0], row["upper"][0]) == pytest.approx((r["rate"], r["lower"], r["upper"]))
+    for sku, days in fitted.items():
+        assert got[sku, "regular"]["yhat"] == pytest.approx([days[k] for k in range(1, 31)])
+    assert {s: r for (s, e), r in got.items() if r["routed"]}.keys() >= {"a1", "a2", "b3"} and got["b1", "sparse"]["routed"] and got["a1", "regular"]["routed"]
+    # the pooled engine lends the other two members' mean shape, growth taken out
+    series = {}
+    for r in filled.orderBy("ds").collect():
+        series.setdefault(r["sku"], []).append(r["y"])
+    start = {s: START + timedelta(days=700 - len(y)) for s, y in series.items()}
+    shapes = [replay.shape(np.array(series[s]), *replay._calendar(start[s], len(series[s]))) for s in ("a2", "a3")]
+    day, weekday, month = replay._calendar(start["a1"], 730)
+    wanted = replay.pooled_series(np.array(series["a1"]), np.mean(shapes, axis=0), weekday, month, 30)[0]
+    assert got["a1", "pooled"]["yhat"] == pytest.approx(wanted.tolist()) and got["a1", "pooled"]["relatives"] == 2
+    growth = {r["sku"]: r["slope"] for r in trend.slope(filled, False).collect()}
+    assert {s: replay.growth(np.array(y), *replay._calendar(start[s], len(y))[::2]) for s, y in series.items()} == pytest.approx(growth)
+
+
+def test_windows_are_scored_over_lead_and_coverage(spark):
+    days = spark.createDataFrame([("s", START + timedelta(days=k), float(k % 5 + 1)) for k in range(1, 61)], "sku string, ds date, y double")
+    made = spark.createDataFrame([("s", START, "recent", "regular", 100, 80, 1.0, 1.0, 1.0, 0, 2.0, 1.5, [6.0, 9.0], [3.0] * 44, [2.0] * 44, [4.0] * 44)], replay._FORECAST)
+    y = np.array([k % 5 + 1 for k in range(1, 61)], float)
+    for r in replay.score(made, days, ((14, 30), (20, 10)), z=1.0).collect():
+        lead, cover, basis = (14, 30, 6.0) if r["lead"] == 14 else (20, 10, 9.0)
+        gap = y[:lead].sum() - 3.0 * lead - basis
+        assert (r["n"], r["coverage"]) == (44, cover) and r["mase"] == pytest.approx(np.abs(y[:44] - 3).mean() / 2)
+        assert (r["covered"], r["short"]) == (float(gap <= 0), pytest.approx(max(gap, 0.0)))
+        assert r["inside"] == pytest.approx(((y[:44] >= 2) & (y[:44] <= 4)).mean()) and r["order_err"] == pytest.approx(100 * (3.0 * cover / y[lead : lead + cover].sum() - 1))
+
+
+def test_a_whole_backtest_prefers_the_engine_that_fits(spark):
+    filled, keys = shop(spark)
+    got = {(r["engine"], r["lead"]): r for r in replay.summary(replay.run(filled, keys, ((14, 30), (28, 30)))).collect()}
+    assert {k[0] for k in got} == {"regular", "sparse", "pooled", "routed"} and {k[1] for k in got} == {14, 28}
+    assert got["routed", 14]["mase"] < got["sparse", 14]["mase"] and got["routed", 14]["windows"] >= got["pooled", 14]["windows"] // 2
+    assert 50 < got["routed", 14]["service_pct"] <= 100 and got["routed", 14]["products"] == 6
