@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import staged
+
 #: Joint months and slots without which two signatures can't be compared, and the likeness at which two products are alike.
 JOINT_MONTHS, JOINT_SLOTS, ALIKE = 5, 3, 0.35
 #: Members that a subgroup needs, its least cohesion, and what it must gain over its best parent, with an attribute that says what the product is or without.
@@ -101,7 +103,7 @@ def adaptive_groups(products: DataFrame, attributes: DataFrame, signatures: Data
     of_base = rows.where("base IS NOT NULL").select("sku", F.col("base").alias("group"))
     members = placed.select("sku", "group").unionByName(of_base).join(usable, "sku", "left_semi")
     raw, specific = cohesion(members, signatures), cohesion(members, distinctive(signatures)).select("group", F.col("cohesion").alias("specific"))
-    scored = raw.join(specific, "group")
+    scored = staged(raw.join(specific, "group"))  # a row to a group
     groups = placed.select("base", "group", "parts").dropDuplicates(["group"])
     whole = scored.select(F.col("group").alias("base"), F.col("cohesion").alias("family_cohesion"))
     above = groups.select("group", F.explode(_subsets(F.col("parts"), True)).alias("p"), "base").select("group", _name(F.col("base"), F.col("p")).alias("parent"))

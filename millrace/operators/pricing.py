@@ -186,15 +186,6 @@ def apply_multipliers(forecast: DataFrame, multipliers: DataFrame, *columns: str
     return rows.withColumns({c: F.col(c) * F.col("multiplier") for c in columns}).drop("multiplier")
 
 
-def price_reading(own: DataFrame, before_after: DataFrame, least_gap: float = 0.75) -> DataFrame:
-    """(sku, elasticity, basis) from two readings: their mean where both are within least_gap, none where they disagree, else the one there is."""
-    both = own.select("sku", F.col("elasticity").alias("a")).join(before_after.select("sku", F.col("elasticity").alias("b")), "sku", "full_outer")
-    agree = F.abs(F.col("a") - F.col("b")) <= least_gap
-    value = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.when(agree, (F.col("a") + F.col("b")) / 2).otherwise(0.0)).otherwise(F.coalesce("a", "b"))
-    basis = F.when(F.col("a").isNull(), "before-after").when(F.col("b").isNull(), "same-months").when(agree, "both").otherwise("disagree")
-    return both.select("sku", value.alias("elasticity"), basis.alias("basis"))
-
-
 def price_events(live: DataFrame, first_day: str = "first_day", last_day: str = "last_day") -> DataFrame:
     """Events that a point of sale's prices imply: (sku, list_price, current_price, recorded_price, discount_from, discount_to) become changes and promotions.
 

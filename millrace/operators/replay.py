@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import backtest, demand, engines, trend
+from millrace.sources.staging import staged
 
 ENGINES = ("regular", "sparse", "pooled")
 #: Cutoffs of a product that are refit in one row's turn; a long history is spread over several.
@@ -179,7 +180,7 @@ def forecasts_as_of(filled: DataFrame, keys: DataFrame, schedule: DataFrame, hor
     series = filled.groupBy("sku").agg(F.min("ds").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("ds", "y"))), lambda d: d["y"]).alias("y")).join(keys, "sku")
     moments = schedule.join(keys, "sku").groupBy("category").agg(F.array_sort(F.collect_set("cutoff")).alias("cutoffs"))
     donors = series.join(moments, "category").select("sku", "category", "start", "y", "cutoffs")
-    lent = donors.repartition("sku").mapInPandas(_lend, "sku string, category string, cutoff date, shape array<double>")
+    lent = staged(donors.repartition("sku").mapInPandas(_lend, "sku string, category string, cutoff date, shape array<double>"))
     slots = lent.select("sku", "category", "cutoff", F.posexplode("shape").alias("slot", "v"))
     sums = slots.groupBy("category", "cutoff", "slot").agg(F.sum(F.when(~F.isnan("v"), F.col("v"))).alias("s"), F.count(F.when(~F.isnan("v"), 1)).alias("n"), F.count("*").alias("donors"))
     asked = schedule.join(keys, "sku").join(sums, ["category", "cutoff"], "left").join(slots.select("sku", "cutoff", "slot", F.col("v").alias("own")), ["sku", "cutoff", "slot"], "left")
@@ -238,7 +239,7 @@ def score(forecasts: DataFrame, filled: DataFrame, combos: tuple[tuple[int, int]
 def run(filled: DataFrame, keys: DataFrame, combos: tuple[tuple[int, int], ...] = ((14, 30),), horizon: int = 44) -> DataFrame:
     """The whole backtest: schedule, forecasts as of each cutoff, routes and scores, over a horizon that holds every pair of lead time and coverage."""
     horizon = backtest.effective_horizon(horizon, list(combos))
-    made = forecasts_as_of(filled, keys, backtest.cutoffs(filled, horizon), horizon, tuple(lead for lead, _ in combos))
+    made = staged(forecasts_as_of(filled, keys, staged(backtest.cutoffs(filled, horizon)), horizon, tuple(lead for lead, _ in combos)))
     return score(routed(made), filled, combos)
 
 

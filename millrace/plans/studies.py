@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, demand, families, replay, rush, seasonality
+from millrace.operators import backtest, demand, families, pricestudy, pricing, replay, rush, seasonality
 from millrace.plans.decisions import TESTED, _costed, r
-from millrace.plans.queries import AGED, DAILY, FILLED, LINES, SCORES, SIGNATURES, filled, rounded, with_
+from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, FILLED, LINES, SCORES, SIGNATURES, STEPPED, filled, rounded, stepped, with_
 from millrace.sources import tables
 from millrace.sources.staging import staged
 
@@ -225,6 +225,58 @@ def engine_intervals(spark, d):
     return rounded(backtest.intervals(chosen, ("covered", "mase", "inside"), RESAMPLES), "mean", "lo", "hi")
 
 
+STUDY_SQL = (
+    "WITH RECURSIVE "
+    + STEPPED
+    + """, u AS (SELECT sku, ds, y, price, row_number() OVER (PARTITION BY sku ORDER BY ds) AS i FROM stepped WHERE price > 0 AND price_mixed < 1),
+scan(sku, i, ds, y, anchor) AS (SELECT sku, i, ds, y, price FROM u WHERE i = 1 UNION ALL SELECT u.sku, u.i, u.ds, u.y, CASE WHEN abs(ln(u.price / s.anchor)) < 0.01 THEN s.anchor ELSE u.price END FROM scan s JOIN u ON u.sku = s.sku AND u.i = s.i + 1),
+seg AS (SELECT sku, ds, y, anchor, sum(t) OVER (PARTITION BY sku ORDER BY ds) AS k FROM (SELECT *, CAST(coalesce(lag(anchor) OVER (PARTITION BY sku ORDER BY ds) <> anchor, true) AS INTEGER) AS t FROM scan)),
+st AS (SELECT *, row_number() OVER (PARTITION BY sku, k ORDER BY ds) AS place, row_number() OVER (PARTITION BY sku, k ORDER BY ds DESC) AS rest FROM seg),
+wmean AS (SELECT sku, avg(y) AS mean, count(*) AS n FROM u GROUP BY sku),
+wday AS (SELECT sku, g.wd, CASE WHEN o.n >= 4 AND m.n >= 28 AND mean > 0 THEN 1 + (o.m / mean - 1) * units / (units + 20) ELSE 1 END AS raw FROM wmean m CROSS JOIN (SELECT unnest(range(0, 7)) AS wd) g
+  LEFT JOIN (SELECT sku, dayofweek(ds) AS wd, avg(y) AS m, sum(y) AS units, count(*) AS n FROM u GROUP BY 1, 2) o USING (sku, wd)),
+ww AS (SELECT sku, wd, raw / avg(raw) OVER (PARTITION BY sku) AS weight FROM wday),
+sd AS (SELECT sku, k + 1 AS k, ds, y, anchor, 0 AS side FROM st WHERE rest <= 91 UNION ALL SELECT sku, k, ds, y, anchor, 1 FROM st WHERE place <= 91),
+sums AS (SELECT sku, k, side, min(ds) AS a, max(ds) AS b, count(*) AS n, sum(y) AS y, sum(weight) AS w, min(anchor) AS p FROM sd JOIN ww USING (sku) WHERE wd = dayofweek(ds) GROUP BY 1, 2, 3 HAVING count(*) >= 7),
+ch AS (SELECT s.sku, s.k, s.p AS p0, t.p AS p1, ln(t.p / s.p) AS step, s.a AS first, t.b AS last, s.n AS n0, t.n AS n1, s.y AS y0, s.y / s.w * t.w AS expected, t.y AS y1 FROM sums s JOIN sums t ON s.sku = t.sku AND s.k = t.k AND s.side = 0 AND t.side = 1 WHERE abs(ln(t.p / s.p)) >= 0.05 AND s.y > 0),
+ends AS (SELECT sku AS peer, min(ds) AS since, max(ds) AS until FROM stepped GROUP BY 1),
+pr AS (SELECT ch.sku, ch.k, peer, substring(peer, 1, 7) = substring(ch.sku, 1, 7) AS preferred, min(q.price) FILTER (q.price > 0) AS lo, max(q.price) FILTER (q.price > 0) AS hi, coalesce(sum(q.y) FILTER (side = 0), 0) AS c0, coalesce(sum(q.y) FILTER (side = 1), 0) AS c1, any_value(n0) AS n0, any_value(n1) AS n1
+  FROM ch JOIN ends ON peer <> ch.sku AND since <= first AND until >= last JOIN stepped q ON q.sku = peer AND q.ds BETWEEN first AND last LEFT JOIN sd ON sd.sku = ch.sku AND sd.k = ch.k AND sd.ds = q.ds GROUP BY 1, 2, 3, 4),
+yard AS (SELECT sku, k, CASE WHEN count(*) FILTER (preferred) >= 3 THEN median(x) FILTER (preferred) WHEN count(*) >= 3 THEN median(x) END AS moved FROM (SELECT *, ln((c1 / n1) / (c0 / n0)) AS x FROM pr WHERE hi / lo < 1.01 AND c0 >= 5 AND c1 >= 5) GROUP BY 1, 2),
+est AS (SELECT ch.*, (ln((y1 + 0.5) / (expected + 0.5)) - coalesce(moved, 0)) / step AS e, step * step / (2.0 * (1 / greatest(y0, 1) + 1 / greatest(expected, 1))) AS w FROM ch LEFT JOIN yard USING (sku, k)),
+study AS (SELECT sku, sum(w * e) / sum(w) AS elasticity, 1 / sqrt(sum(w)) AS se, count(*) AS changes, min(least(p0, p1)) AS lo, max(greatest(p0, p1)) AS hi FROM est GROUP BY sku)"""
+)
+
+
+def _study(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Brands at listed prices, and the reading of their price changes beside the other brands, those of the same maker first."""
+    rows = staged(stepped(spark, d))
+    volume = rows.select("sku", F.col("y").alias("units"))
+    near = demand.nearest_peers(volume.withColumn("category", F.substring("sku", 1, 7))).select("sku", "peer", F.lit(True).alias("preferred"))
+    every = demand.nearest_peers(volume.withColumn("category", F.lit("store")), 40).select("sku", "peer", F.lit(False).alias("preferred"))
+    return rows, pricestudy.before_after(rows, near.unionByName(every))
+
+
+@query(STUDY_SQL + f" SELECT sku, {r('elasticity')} AS elasticity, {r('se')} AS se, changes, lo, hi FROM study")
+def price_study(spark, d):
+    """Elasticity at each brand's own price changes."""
+    return rounded(_study(spark, d)[1], "elasticity", "se")
+
+
+@query(
+    STUDY_SQL
+    + f""", {ELASTICITY_SQL}, both_r AS (SELECT coalesce(e.sku, s.sku) AS sku, basis, CASE WHEN basis = 'measured' AND e.elasticity < 0 THEN e.elasticity END AS a, se <= 1.5 AND s.elasticity >= -4 AS clear, s.elasticity AS x FROM elasticities e FULL JOIN study s ON s.sku = e.sku),
+rd AS (SELECT *, CASE WHEN clear AND x < 0 THEN x END AS b FROM both_r)
+SELECT sku, {r('CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(a - b) <= 0.75 THEN (a + b) / 2 END ELSE coalesce(a, b) END', 3)} AS elasticity,
+  CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN abs(a - b) <= 0.75 THEN 'both' ELSE 'readings-disagree' END WHEN a IS NOT NULL THEN 'same-months' WHEN b IS NOT NULL THEN 'before-after' WHEN clear AND x >= 0 THEN 'positive-elasticity-ignored' ELSE basis END AS basis,
+  {r('a')} AS same_months, {r('b')} AS before_after FROM rd"""
+)
+def price_reading(spark, d):
+    """Each brand's price response, read two ways and cross-checked."""
+    rows, study = _study(spark, d)
+    return rounded(pricestudy.reading(pricing.elasticity(rows), study), "same_months", "before_after")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, engines, families, livelog, planning, replay, rush, seasonality, telemetry, trend
+from millrace.operators import backtest, engines, families, livelog, planning, pricestudy, replay, rush, seasonality, telemetry, trend
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -336,3 +336,53 @@ def test_a_whole_backtest_prefers_the_engine_that_fits(spark):
     assert {k[0] for k in got} == {"regular", "sparse", "pooled", "routed"} and {k[1] for k in got} == {14, 28}
     assert got["routed", 14]["mase"] < got["sparse", 14]["mase"] and got["routed", 14]["windows"] >= got["pooled", 14]["windows"] // 2
     assert 50 < got["routed", 14]["service_pct"] <= 100 and got["routed", 14]["products"] == 6
+
+
+def priced(spark, make, days=400):
+    """Daily rows of make: {sku: (price of a day, units of a day)}."""
+    rows = [(sku, START + timedelta(days=k), float(units(k)), float(price(k)), 0) for sku, (price, units) in make.items() for k in range(days)]
+    return spark.createDataFrame(rows, "sku string, ds date, y double, price double, price_mixed int")
+
+
+def test_a_planted_elasticity_is_found_beside_a_season(spark):
+    """Sales turn with a season that the others share; price alone moves them by -1.5."""
+    rng = np.random.default_rng(3)
+    season = lambda k: 1 + 0.5 * np.sin(2 * np.pi * k / 365.25)
+    price = lambda k: 10.0 if k < 120 or k >= 260 else 12.0
+    make = {"moved": (price, lambda k: rng.poisson(80 * season(k) * (price(k) / 10) ** -1.5))}
+    make |= {f"still{j}": (lambda k: 7.0, lambda k: rng.poisson(40 * season(k))) for j in range(4)}
+    filled = priced(spark, make)
+    peers = spark.createDataFrame([("moved", f"still{j}", True) for j in range(4)], "sku string, peer string, preferred boolean")
+    got = pricestudy.before_after(filled, peers).where("sku = 'moved'").first()
+    alone = pricestudy.before_after(filled, peers.limit(0)).where("sku = 'moved'").first()
+    assert abs(got["elasticity"] + 1.5) < 0.2 and abs(alone["elasticity"] + 1.5) > 0.4
+    assert (got["changes"], got["lo"], got["hi"]) == (2, 10.0, 12.0) and got["se"] < 0.3
+
+
+def test_only_changes_that_can_be_read_count(spark):
+    price = lambda k: 10.0 + 0.02 * (k % 2) if k < 100 else 13.0 if k < 104 else 10.4 if k < 200 else 13.0
+    filled = priced(spark, {"a": (price, lambda k: 20), "flat": (lambda k: 5.0, lambda k: 9)}, 300)
+    got = pricestudy.changes(filled).collect()
+    # 10.00 and 10.02 are one price; four days at 13 are too few on their side; 10.4 to 13 can be read
+    assert [(r["sku"], r["p0"], r["p1"], r["n0"], r["n1"]) for r in got] == [("a", 10.4, 13.0, 91, 91)]
+    masked = filled.where(F.col("ds") >= F.lit(START + timedelta(days=205))).select("sku", "ds")
+    assert pricestudy.changes(filled, masked).count() == 0
+
+@pytest.mark.parametrize(
+    ("own", "study", "usable", "wanted"),
+    [
+        ((-1.0, "measured"), (-1.4, 0.5), True, (-1.2, "both")),
+        ((-1.0, "measured"), (-2.0, 0.5), True, (None, "readings-disagree")),
+        ((-1.0, "measured"), (-2.0, 1.6), True, (-1.0, "same-months")),
+        ((-1.0, "measured"), (-1.4, 0.5), False, (-1.4, "before-after")),
+        ((-1.0, "measured"), (0.3, 0.5), False, (None, "too-few-price-levels")),
+        ((0.0, "price-never-varied"), (0.3, 0.5), True, (None, "positive-elasticity-ignored")),
+        ((0.0, "too-few-points"), (-5.0, 0.5), True, (None, "too-few-points")),
+        (None, (-0.8, 0.2), True, (-0.8, "before-after")),
+    ],
+)
+def test_two_readings_are_cross_checked(spark, own, study, usable, wanted):
+    first = spark.createDataFrame([("s", *own)] if own else [], "sku string, elasticity double, basis string")
+    second = spark.createDataFrame([("s", *study)], "sku string, elasticity double, se double")
+    r = pricestudy.reading(first, second, spark.createDataFrame([("s", usable)], "sku string, usable boolean")).first()
+    assert (r["elasticity"], r["basis"]) == wanted
