@@ -5,6 +5,8 @@ A signature is rows (sku, slot, value): weekdays in slots 1 to 7, months in 8 to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.sources.staging import staged
 
+#: Weekdays and months of a signature.
+SLOTS = 19
 #: Joint months and slots without which two signatures can't be compared, and the likeness at which two products are alike.
 JOINT_MONTHS, JOINT_SLOTS, ALIKE = 5, 3, 0.35
 #: Members that a subgroup needs, its least cohesion, and what it must gain over its best parent, with an attribute that says what the product is or without.
@@ -214,3 +218,86 @@ def cluster_report(clustered: DataFrame, signatures: DataFrame) -> DataFrame:
     raw = cohesion(named, signatures)
     own = cohesion(named, distinctive(signatures)).select("group", F.col("cohesion").alias("distinctive"))
     return raw.join(own, "group").select("group.group", "group.cluster", "members", "cohesion", "distinctive")
+
+
+#: Days of its own that let a product's sales choose its family.
+OWN_DAYS = 60
+
+
+def _vectors(signatures: DataFrame) -> DataFrame:
+    """(sku, vector): signatures as 19 numbers, nan where a slot is missing."""
+    by_slot = signatures.groupBy("sku").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "value"))).alias("by_slot"))
+    return by_slot.select("sku", F.transform(F.sequence(F.lit(1), F.lit(19)), lambda s: F.coalesce(F.try_element_at("by_slot", s), F.lit(float("nan")))).alias("vector"))
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """(group, clusters): per group its clusters' sums by slot, how many members have it, and the members' volumes; rows of members (group, cluster, sku, mean, vector)."""
+    slots = members.select("group", "cluster", F.posexplode("vector").alias("slot", "v"))
+    sums = slots.groupBy("group", "cluster", "slot").agg(F.coalesce(F.sum(F.when(~F.isnan("v"), F.col("v"))), F.lit(0.0)).alias("s"), F.count(F.when(~F.isnan("v"), 1)).alias("n"))
+    wide = sums.groupBy("group", "cluster").agg(F.array_sort(F.collect_list(F.struct("slot", "s", "n"))).alias("slots"))
+    volumes = members.groupBy("group", "cluster").agg(F.collect_list("mean").alias("means"))
+    one = wide.join(volumes, ["group", "cluster"]).select("group", F.struct("cluster", F.col("slots.s").alias("sums"), F.col("slots.n").alias("counts"), "means").alias("c"))
+    return one.groupBy("group").agg(F.array_sort(F.collect_list("c")).alias("clusters"))
+
+
+def choose_family(vector: np.ndarray | None, base: np.ndarray, days: int, mean: float | None, own: int | None, clusters: list[dict]) -> tuple[int | None, str, float | None]:
+    """The cluster that a product borrows from, why, and how well it fits; its own part is taken out of its cluster."""
+    found = []
+    for c in clusters:
+        sums, counts, means = np.array(c["sums"], float), np.array(c["counts"], float), list(c["means"])
+        if c["cluster"] == own:
+            seen = np.isfinite(vector)
+            sums, counts = sums - np.where(seen, vector, 0.0), counts - seen
+            means.remove(mean)
+        if means:
+            found.append((c["cluster"], np.where(counts > 0, sums / np.where(counts > 0, counts, 1), np.nan), means))
+    if not found:
+        return None, "no relatives", None
+    several = [f for f in found if len(f[2]) >= MEMBERS] or found
+    centroids = np.array([f[1] for f in several])
+    if vector is not None and days >= OWN_DAYS and ((np.isfinite(vector) & np.isfinite(centroids))[:, 7:].sum(1) >= JOINT_MONTHS).any():
+        fit = _likeness(vector - base, centroids - base)
+        best = int(np.argmax(np.round(fit, 12)))
+        return (several[best][0], "own shape", float(fit[best])) if fit[best] >= ALIKE else (None, "own shape matches none", float(fit[best]))
+    if len(found) == 1:
+        return found[0][0], "one family", None
+    if mean and mean > 0:
+        apart = [abs(np.log((np.median(f[2]) or 1.0) / mean)) for f in several]
+        return several[int(np.argmin(np.round(apart, 12)))][0], "volume", None
+    return max(several, key=lambda f: len(f[2]))[0], "largest family", None
+
+
+def _choose(base: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                vector = None if r.vector is None else np.array(r.vector, float)
+                own = None if pd.isna(r.own) else int(r.own)
+                out.append((r.sku, r.group, *choose_family(vector, base, int(r.days), None if pd.isna(r.mean) else float(r.mean), own, list(r.clusters))))
+            yield pd.DataFrame(out, columns=["sku", "group", "cluster", "basis", "fit"]).astype({"cluster": "Int64"})
+
+    return run
+
+
+def relatives(products: DataFrame, clustered: DataFrame, signatures: DataFrame, young: DataFrame | None = None) -> DataFrame:
+    """(sku, group, cluster, basis, fit): the family of its group that each product borrows from, or none.
+
+    products has (sku, group, days, mean), clustered is clusters(), young the signatures of products too short for `signatures`.  A product with OWN_DAYS of sales goes to the
+    cluster whose mean shape is likest beyond the catalogue's rhythm, if any is alike enough; one without goes by volume, and clusters of MEMBERS others are preferred.  Products meet
+    clusters, not each other: a group's clusters are one row.
+    """
+    base = np.full(SLOTS, np.nan)
+    for r in baseline(signatures).collect():  # 19 rows
+        base[r["slot"] - 1] = r["base"]
+    vectors = _vectors(signatures)
+    own = clustered.withColumnRenamed("cluster", "own")
+    members = clustered.join(vectors, "sku").join(products.select("sku", "mean"), "sku")
+    targets = products.join(_vectors(signatures if young is None else signatures.unionByName(young)), "sku", "left").join(own, ["sku", "group"], "left")
+    met = targets.join(_families(members), "group").select("sku", "group", "days", "mean", "own", "vector", "clusters")
+    return met.mapInPandas(_choose(base), "sku string, group string, cluster long, basis string, fit double")
+
+
+def donors(chosen: DataFrame, clustered: DataFrame) -> DataFrame:
+    """(sku, donor): the members of each product's family, itself left out."""
+    return chosen.where("cluster IS NOT NULL").select("sku", "group", "cluster").join(clustered.select("group", "cluster", F.col("sku").alias("donor")), ["group", "cluster"]).where("donor != sku").select("sku", "donor")

@@ -225,6 +225,27 @@ def engine_intervals(spark, d):
     return rounded(backtest.intervals(chosen, ("covered", "mase", "inside"), RESAMPLES), "mean", "lo", "hi")
 
 
+def _relatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = filled(spark, d, VARIANT)
+    products, _, signatures = _variants(spark, d)
+    clustered = staged(families.clusters(products.where("days >= 180").select(F.col("base").alias("group"), "sku"), signatures))
+    means = rows.groupBy("sku").agg(F.avg("y").alias("mean"))
+    return clustered, staged(families.relatives(products.withColumnRenamed("base", "group").join(means, "sku"), clustered, signatures))
+
+
+@query(None)
+def behavioural_relatives(spark, d):
+    """The family among its maker's variants that each variant would borrow from; held against a search by hand in its test."""
+    return rounded(_relatives(spark, d)[1], "fit")
+
+
+@query(None)
+def donor_list(spark, d):
+    """The products that each variant would borrow from."""
+    clustered, chosen = _relatives(spark, d)
+    return families.donors(chosen, clustered)
+
+
 STUDY_SQL = (
     "WITH RECURSIVE "
     + STEPPED

@@ -386,3 +386,47 @@ def test_two_readings_are_cross_checked(spark, own, study, usable, wanted):
     second = spark.createDataFrame([("s", *study)], "sku string, elasticity double, se double")
     r = pricestudy.reading(first, second, spark.createDataFrame([("s", usable)], "sku string, usable boolean")).first()
     assert (r["elasticity"], r["basis"]) == wanted
+
+
+def family_by_hand(sku, vectors, base, days, means, clusters):
+    """The rule as it is stated, from the members' own signatures."""
+    others = [(k, [m for m in c if m != sku]) for k, c in sorted(clusters.items())]
+    others = [(k, c) for k, c in others if c]
+    if not others:
+        return None, "no relatives"
+    several = [x for x in others if len(x[1]) >= 2] or others
+    centre = {k: np.nanmean(np.vstack([vectors[m] for m in c]), axis=0) for k, c in several}
+    own = vectors.get(sku)
+    if own is not None and days[sku] >= 60 and any((np.isfinite(own) & np.isfinite(centre[k]))[7:].sum() >= 5 for k, _ in several):
+        fit = {k: like(own - base, centre[k] - base) for k, _ in several}
+        best = max(fit, key=lambda k: (round(fit[k], 9), -k))
+        return (best, "own shape") if fit[best] >= 0.35 else (None, "own shape matches none")
+    if len(others) == 1:
+        return others[0][0], "one family"
+    return min(((abs(np.log(np.median([means[m] for m in c]) / means[sku])), k) for k, c in several))[1], "volume"
+
+
+@pytest.mark.filterwarnings("ignore:Mean of empty slice")
+def test_relatives_equal_a_search_by_hand(spark):
+    vectors = vectors_of(120, 9)
+    rng = np.random.default_rng(9)
+    signatures = signatures_of(spark, vectors)
+    members = spark.createDataFrame([(f"g{int(s[1:]) % 3}", s) for s in vectors], "group string, sku string")
+    clustered = families.clusters(members, signatures)
+    clusters = {}
+    for r in clustered.collect():
+        clusters.setdefault(r["group"], {}).setdefault(r["cluster"], []).append(r["sku"])
+    young = {f"y{k}": np.where(np.arange(19) < 7 + 2 * k, vectors["p002"] + 0.02 * rng.normal(size=19), np.nan) for k in range(7)}
+    young["odd"] = 1 + 0.4 * rng.normal(size=19)
+    names = [*vectors, *young, "bare"]
+    means = {s: float(np.round(rng.lognormal(2, 1), 4)) for s in names}
+    days = {s: 30 if s in ("y6", "bare", "p004") else 400 for s in names}
+    groups = {s: f"g{int(s[1:]) % 3}" if s[0] == "p" else "g2" for s in names}
+    products = spark.createDataFrame([(s, groups[s], days[s], means[s]) for s in names] + [("far", "no such group", 400, 1.0)], "sku string, group string, days int, mean double")
+    chosen = families.relatives(products, clustered, signatures, signatures_of(spark, young))
+    got = {r["sku"]: (r["cluster"], r["basis"]) for r in chosen.collect()}
+    base = np.nanmean(np.vstack(list(vectors.values())), axis=0)
+    assert got == {s: family_by_hand(s, vectors | young, base, days, means, clusters[groups[s]]) for s in names}
+    assert {b for _, b in got.values()} >= {"own shape", "own shape matches none", "volume"}
+    pairs = {(r["sku"], r["donor"]) for r in families.donors(chosen, clustered).collect()}
+    assert pairs == {(s, m) for s, (k, _) in got.items() if k is not None for m in clusters[groups[s]][k] if m != s}
