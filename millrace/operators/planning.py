@@ -278,3 +278,32 @@ def arrival_cover(forecast: DataFrame, stock: DataFrame) -> DataFrame:
     have = F.col("on_hand") + F.when(F.col("day") >= F.coalesce("eta_days", F.lit(0)), F.coalesce("on_order", F.lit(0))).otherwise(0)
     rows = forecast.withColumn("used", run).join(stock, "sku")
     return rows.groupBy("sku").agg(F.min(F.when(F.col("used") >= have, F.col("day"))).alias("days_to_stockout"))
+
+
+def cover_path(forecast: DataFrame, stock: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """(sku, day, demand, arrived, level, lost): stock day by day with any number of dated arrivals, in one ordered sweep per product.
+
+    forecast has (sku, day, yhat) with days from 1 on, stock (sku, on_hand), arrivals (sku, eta_days, qty); what has no day, or one past, is there now.  What arrives on a day
+    serves that day.  Demand that finds no stock is lost and does not wait: the level is the running balance less its lowest point below zero so far.
+    """
+    landed = arrivals.where("qty > 0").groupBy("sku", F.greatest(F.coalesce("eta_days", F.lit(1)), F.lit(1)).cast("int").alias("day")).agg(F.sum("qty").cast("double").alias("arrived"))
+    demand = forecast.select("sku", F.col("day").cast("int").alias("day"), F.greatest("yhat", F.lit(0.0)).alias("demand"))
+    rows = demand.join(landed, ["sku", "day"], "left").join(stock.select("sku", "on_hand"), "sku").withColumn("arrived", F.coalesce("arrived", F.lit(0.0)))
+    order = Window.partitionBy("sku").orderBy("day")
+    balance = F.col("on_hand") + F.sum(F.col("arrived") - F.col("demand")).over(order)
+    swept = rows.withColumn("balance", balance).withColumn("owed", F.least(F.min("balance").over(order), F.lit(0.0)))
+    lost = F.coalesce(F.lag("owed").over(order), F.lit(0.0)) - F.col("owed")
+    return swept.withColumn("lost", lost).select("sku", "day", "demand", "arrived", (F.col("balance") - F.col("owed")).alias("level"), "lost")
+
+
+def cover_report(path: DataFrame) -> DataFrame:
+    """(sku, days_to_stockout, back_on, days_out, units_lost, lowest_day, next_arrival): what a path holds, nulls where stock lasts.
+
+    days_to_stockout is the first day that ends empty, back_on the next day that doesn't, days_out the days that end empty.
+    """
+    empty = F.col("level") <= 1e-9
+    marked = path.withColumn("out", F.min(F.when(empty, F.col("day"))).over(Window.partitionBy("sku")))
+    return marked.groupBy("sku").agg(
+        F.first("out").alias("days_to_stockout"), F.min(F.when((F.col("day") > F.col("out")) & ~empty, F.col("day"))).alias("back_on"), F.count_if(empty).alias("days_out"), F.sum("lost").alias("units_lost"),
+        F.min_by("day", F.struct("level", "day")).alias("lowest_day"), F.min(F.when(F.col("arrived") > 0, F.col("day"))).alias("next_arrival"),
+    )

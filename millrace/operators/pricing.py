@@ -69,6 +69,38 @@ def price_bounds(evidence: DataFrame, current: str = "last_price") -> DataFrame:
     return evidence.where("usable").select("sku", F.round(lo + 1e-9, 2).alias("lo"), F.round(hi + 1e-9, 2).alias("hi"))
 
 
+#: Days at a price that make it reliable, and how far beyond the known prices a range may reach: of their spread, and of the mean price.
+RELIABLE_DAYS, REACH_OF_SPREAD, REACH_OF_MEAN = 90, 0.25, 0.10
+
+
+def price_analysis(levels: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(sku, varied, well_sampled, last_price, warning): whether a product's prices can be learned from; evidence is price_evidence(), levels price_levels()."""
+    found = levels.groupBy("sku").agg(F.count("*").alias("n"), F.bool_and(F.col("quality") == "reliable").alias("reliable"))
+    rows = evidence.select("sku", "last_price").join(found, "sku", "left")
+    known, varied = F.col("last_price").isNotNull(), F.col("n") > 1
+    warning = F.when(~known, "no_column").when(~varied, "never_changed").when(~F.col("reliable"), "thin_data")
+    told = lambda c: F.coalesce(known & c, F.lit(False))
+    return rows.select("sku", told(varied).alias("varied"), told(varied & F.col("reliable")).alias("well_sampled"), "last_price", warning.alias("warning"))
+
+
+def safe_range(filled: DataFrame, levels: DataFrame, residuals: DataFrame, slopes: DataFrame | None = None) -> DataFrame:
+    """(sku, lo, hi): how far prices may leave the known ones, by the days sold at the outermost and by what the noise allows.
+
+    residuals has (sku, sigma), the deviation of a forecast's errors; slopes (sku, coefficient), units lost per unit of price, if known.  Without a slope the noise allows the deviation of the prices
+    times the root of the days; without noise nothing is held back.  The reach is at most a tenth of the mean price and a quarter of the spread.
+    """
+    known = filled.where("price IS NOT NULL").groupBy("sku").agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd"))
+    rows = filled.groupBy("sku").agg(F.count("*").alias("n"))
+    ends = levels.groupBy("sku").agg(F.min("price").alias("p0"), F.max("price").alias("p1"), F.min_by("days", "price").alias("d0"), F.max_by("days", "price").alias("d1"))
+    met = ends.join(known, "sku").join(rows, "sku").join(residuals.select("sku", "sigma"), "sku", "left")
+    met = met.withColumn("coefficient", F.lit(None).cast("double")) if slopes is None else met.join(slopes.select("sku", "coefficient"), "sku", "left")
+    spread = F.col("p1") - F.col("p0")
+    most = F.least(F.when(spread > 0, REACH_OF_SPREAD * spread).otherwise(REACH_OF_MEAN * F.col("mean")), REACH_OF_MEAN * F.col("mean"))
+    noise = F.when(F.abs("coefficient") > 1e-9, F.col("sigma") / F.abs("coefficient")).when((F.col("sd") > 0) & (F.col("sigma") > 0), F.col("sd") * F.sqrt("n"))
+    reach = lambda days: F.when(noise > 0, F.least(most * F.least(F.col(days) / RELIABLE_DAYS, F.lit(1.0)), noise)).otherwise(most * F.least(F.col(days) / RELIABLE_DAYS, F.lit(1.0)))
+    return met.select("sku", F.round(F.greatest(F.col("p0") - reach("d0"), F.lit(0.0)) + 1e-9, 2).alias("lo"), F.round(F.col("p1") + reach("d1") + 1e-9, 2).alias("hi"))
+
+
 def _slope(cells: DataFrame, *keys: str) -> DataFrame:
     """Per keys: weighted sums over (w, x, y) that give the slope of y on x."""
     w, x, y = F.col("w"), F.col("x"), F.col("y")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, demand, families, pricestudy, pricing, replay, rush, seasonality
-from millrace.plans.decisions import TESTED, _costed, r
-from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, FILLED, LINES, SCORES, SIGNATURES, STEPPED, filled, rounded, stepped, with_
+from millrace.operators import backtest, demand, families, planning, pricestudy, pricing, replay, rush, seasonality, telemetry
+from millrace.plans.decisions import PLACED, TESTED, _costed, _placed, r
+from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, LINES, PRICE_LEVELS_SQL, READINGS, SCORES, SIGNATURES, STEPPED, filled, rounded, stepped, with_
 from millrace.sources import tables
 from millrace.sources.staging import staged
 
@@ -298,6 +298,65 @@ def price_reading(spark, d):
     return rounded(pricestudy.reading(pricing.elasticity(rows), study), "same_months", "before_after")
 
 
+#: Products in stock by their last reading, what they sell a day, and every order of theirs that has not come, by days from the last reading of all.
+COVER_SQL = (
+    with_(READINGS, PLACED)
+    + """, now AS (SELECT CAST(max(ts) AS DATE) AS today FROM readings), onhand AS (SELECT sku, arg_max(on_hand, ts) AS on_hand FROM readings GROUP BY sku),
+rates AS (SELECT user_id AS sku, count(*) / 30.0 AS yhat FROM events WHERE event_type = 'purchase' GROUP BY 1),
+landed AS (SELECT sku, greatest(coalesce(date_diff('day', today, expected), 1), 1) AS day, CAST(sum(qty) AS DOUBLE) AS arrived FROM placed, now GROUP BY 1, 2),
+days AS (SELECT r.sku, CAST(k AS INTEGER) AS day, yhat AS demand, coalesce(arrived, 0) AS arrived, on_hand FROM rates r JOIN onhand USING (sku) CROSS JOIN (SELECT unnest(range(1, 91)) AS k) LEFT JOIN landed ON landed.sku = r.sku AND landed.day = k),
+bal AS (SELECT *, on_hand + sum(arrived - demand) OVER (PARTITION BY sku ORDER BY day) AS balance FROM days),
+owe AS (SELECT *, least(min(balance) OVER (PARTITION BY sku ORDER BY day), 0) AS owed FROM bal),
+path AS (SELECT *, balance - owed AS level, coalesce(lag(owed) OVER (PARTITION BY sku ORDER BY day), 0) - owed AS lost FROM owe)"""
+)
+
+
+def _path(spark: SparkSession, d: str) -> DataFrame:
+    readings = tables.stock_readings(spark, d)
+    today = readings.agg(F.to_date(F.max("ts")).alias("today"))
+    rates = tables.table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("sku")).agg((F.count("*") / 30.0).alias("yhat"))
+    forecast = rates.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(90))))
+    coming = _placed(spark, d).join(F.broadcast(today)).select("sku", F.datediff("expected", "today").alias("eta_days"), "qty")
+    return planning.cover_path(forecast, telemetry.latest(readings), coming)
+
+
+@query(COVER_SQL + f"SELECT sku, day, {r('demand')} AS demand, arrived, {r('level', 3)} AS level, {r('lost', 3)} AS lost FROM path")
+def cover_path(spark, d):
+    """Stock over the coming 90 days with all open orders."""
+    return rounded(rounded(_path(spark, d), "demand"), "level", "lost", digits=3)
+
+
+@query(
+    COVER_SQL
+    + f""", marked AS (SELECT *, min(day) FILTER (level <= 1e-9) OVER (PARTITION BY sku) AS gone FROM path)
+SELECT sku, min(gone) AS days_to_stockout, min(day) FILTER (day > gone AND level > 1e-9) AS back_on, count(*) FILTER (level <= 1e-9) AS days_out, {r('sum(lost)', 3)} AS units_lost, arg_min(day, {{'a': level, 'b': day}}) AS lowest_day, min(day) FILTER (arrived > 0) AS next_arrival
+FROM marked GROUP BY sku"""
+)
+def cover_report(spark, d):
+    """When stock runs out, returns, and what is lost meanwhile."""
+    return rounded(planning.cover_report(_path(spark, d)), "units_lost", digits=3)
+
+
+@query("WITH RECURSIVE " + STEPPED + ",\n" + PRICE_LEVELS_SQL + ",\n" + EVIDENCE_SQL + """, lq AS (SELECT sku, count(*) AS n, bool_and(quality = 'reliable') AS rel FROM (SELECT *, CASE WHEN days >= 90 THEN 'reliable' ELSE 'other' END AS quality FROM lv) GROUP BY sku)
+SELECT sku, last_price IS NOT NULL AND coalesce(n, 0) > 1 AS varied, last_price IS NOT NULL AND coalesce(n > 1 AND rel, false) AS well_sampled, last_price, CASE WHEN last_price IS NULL THEN 'no_column' WHEN coalesce(n, 0) <= 1 THEN 'never_changed' WHEN NOT rel THEN 'thin_data' END AS warning FROM ev LEFT JOIN lq USING (sku)""")
+def price_analysis(spark, d):
+    rows = staged(stepped(spark, d))
+    levels = pricing.price_levels(rows)
+    return pricing.price_analysis(levels, pricing.price_evidence(rows, levels))
+
+
+@query(
+    "WITH RECURSIVE " + STEPPED + ",\n" + PRICE_LEVELS_SQL
+    + f""", e AS (SELECT sku, min(price) AS p0, max(price) AS p1, arg_min(days, price) AS d0, arg_max(days, price) AS d1 FROM lv GROUP BY sku), k AS (SELECT sku, avg(price) AS mean, stddev_samp(price) AS sd, count(*) AS n, stddev_samp(y) AS sigma FROM stepped GROUP BY sku),
+m AS (SELECT *, least(CASE WHEN p1 > p0 THEN 0.25 * (p1 - p0) ELSE 0.1 * mean END, 0.1 * mean) AS most, CASE WHEN sd > 0 AND sigma > 0 THEN sd * sqrt(n) ELSE 1e18 END AS noise FROM e JOIN k USING (sku))
+SELECT sku, {r('greatest(p0 - least(most * least(d0 / 90.0, 1), noise), 0)', 2)} AS lo, {r('p1 + least(most * least(d1 / 90.0, 1), noise)', 2)} AS hi FROM m"""
+)
+def safe_price_range(spark, d):
+    """How far each brand's price may leave the known ones."""
+    rows = staged(stepped(spark, d))
+    return pricing.safe_range(rows, pricing.price_levels(rows), rows.groupBy("sku").agg(F.stddev_samp("y").alias("sigma")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

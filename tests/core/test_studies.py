@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, engines, families, livelog, planning, pricestudy, replay, rush, seasonality, telemetry, trend
+from millrace.operators import backtest, engines, families, livelog, planning, pricestudy, pricing, replay, rush, seasonality, telemetry, trend
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -417,7 +417,7 @@ def test_relatives_equal_a_search_by_hand(spark):
     for r in clustered.collect():
         clusters.setdefault(r["group"], {}).setdefault(r["cluster"], []).append(r["sku"])
     young = {f"y{k}": np.where(np.arange(19) < 7 + 2 * k, vectors["p002"] + 0.02 * rng.normal(size=19), np.nan) for k in range(7)}
-    young["odd"] = 1 + 0.4 * rng.normal(size=19)
+    young |= {f"x{k}": 1 + 0.4 * rng.normal(size=19) for k in range(8)}
     names = [*vectors, *young, "bare"]
     means = {s: float(np.round(rng.lognormal(2, 1), 4)) for s in names}
     days = {s: 30 if s in ("y6", "bare", "p004") else 400 for s in names}
@@ -430,3 +430,38 @@ def test_relatives_equal_a_search_by_hand(spark):
     assert {b for _, b in got.values()} >= {"own shape", "own shape matches none", "volume"}
     pairs = {(r["sku"], r["donor"]) for r in families.donors(chosen, clustered).collect()}
     assert pairs == {(s, m) for s, (k, _) in got.items() if k is not None for m in clusters[groups[s]][k] if m != s}
+
+
+def test_stock_over_several_arrivals(spark):
+    """10 in stock, 4 a day; 6 come on day 2, 20 on day 6, 1 without a day."""
+    forecast = spark.createDataFrame([("s", k, 4.0) for k in range(1, 11)] + [("t", k, 1.0) for k in range(1, 4)], "sku string, day int, yhat double")
+    stock = spark.createDataFrame([("s", 10), ("t", 50)], "sku string, on_hand int")
+    arrivals = spark.createDataFrame([("s", 2, 6.0), ("s", 6, 20.0), ("s", None, 1.0), ("s", -3, 0.0), ("t", 40, 5.0)], "sku string, eta_days int, qty double")
+    path = planning.cover_path(forecast, stock, arrivals)
+    rows = path.where("sku = 's'").orderBy("day").collect()
+    level, wanted = 10.0, []
+    for day in range(1, 11):
+        level += {1: 1.0, 2: 6.0, 6: 20.0}.get(day, 0.0)
+        lost = max(4.0 - level, 0.0)
+        level = max(level - 4.0, 0.0)
+        wanted.append((day, pytest.approx(level), pytest.approx(lost)))
+    assert [(r["day"], r["level"], r["lost"]) for r in rows] == wanted
+    report = {r["sku"]: r for r in planning.cover_report(path).collect()}
+    s = report["s"]
+    assert (s["days_to_stockout"], s["back_on"], s["days_out"], s["units_lost"], s["next_arrival"]) == (5, 6, 2, 3.0, 1)
+    assert (report["t"]["days_to_stockout"], report["t"]["lowest_day"]) == (None, 3)
+
+
+def test_safe_range_and_analysis(spark):
+    at = lambda prices: spark.createDataFrame([("s", START + timedelta(days=k), 5.0, p, 0) for k, p in enumerate(prices)], "sku string, ds date, y double, price double, price_mixed int")
+    sigma = spark.createDataFrame([("s", 2.0)], "sku string, sigma double")
+    wide = at([10.0] * 120 + [14.0] * 45)
+    r = pricing.safe_range(wide, pricing.price_levels(wide), sigma).first()
+    assert (r["lo"], r["hi"]) == (9.0, 14.5)  # a quarter of the spread; half of it above, where 45 of 90 days are known
+    steep = pricing.safe_range(wide, pricing.price_levels(wide), sigma, spark.createDataFrame([("s", -4.0)], "sku string, coefficient double")).first()
+    assert (steep["lo"], steep["hi"]) == (9.5, 14.5)
+    one = at([10.0] * 200)
+    r = pricing.safe_range(one, pricing.price_levels(one), sigma).first()
+    assert (r["lo"], r["hi"]) == (9.0, 11.0)
+    said = lambda rows: pricing.price_analysis(pricing.price_levels(rows), pricing.price_evidence(rows, pricing.price_levels(rows))).first()["warning"]
+    assert (said(wide), said(one), said(at([10.0] * 95 + [12.0] * 95))) == ("thin_data", "never_changed", None)
