@@ -63,25 +63,21 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _count(most: int = 400_000):
-    """Rows (lang, kind, item, n): kind 0 for words, else the n-gram's length."""
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+def _count_words(most: int = 400_000):
+    """Rows (lang, item, n), words summed within the task, at most about `most` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            out = []
-            for lang, counted in words.items():
-                grams: Counter = Counter()
-                for w, n in counted.items():
-                    out.append((lang, 0, w, n))
-                    for k in GRAM_LENGTHS:
-                        for g in grams_of(w, k):
-                            grams[k, g] += n
-                out += [(lang, k, g, n) for (k, g), n in grams.items()]
+            out = [(lang, w, n) for lang, counted in words.items() for w, n in counted.items()]
             words.clear()
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "item", "n"])
+            return _rows(out, ["lang", "item", "n"], [pa.string(), pa.string(), pa.int64()])
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -94,6 +90,31 @@ def _count(most: int = 400_000):
     return run
 
 
+def _count_grams(most: int = 400_000):
+    """Rows (lang, kind, item, n) of the n-grams of counted words, kind being their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[tuple[str, int], dict[str, int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = [(lang, k, g, n) for (lang, k), counted in grams.items() for g, n in counted.items()]
+            grams.clear()
+            return _rows(out, ["lang", "kind", "item", "n"], [pa.string(), pa.int32(), pa.string(), pa.int64()])
+
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in GRAM_LENGTHS:
+                    counted = grams.setdefault((lang, k), {})
+                    for g in grams_of(word, k):
+                        counted[g] = counted.get(g, 0) + n
+            if sum(map(len, grams.values())) > most:
+                yield flush()
+        yield flush()
+        give_back()
+
+    return run
+
+
 @dataclass
 class Model:
     """Log frequencies: one row of `scores` per word or n-gram, one column per language, smoothed where unseen."""
@@ -142,8 +163,11 @@ def fit(stages: Stages, docs: DataFrame, text_col: str = "text", lang_col: str =
     learned from.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    counts = rows.mapInArrow(_count(), "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = stages.write(counts, "word-counts")
+    # words are summed over the corpus before their n-grams are taken: each distinct word is cut up once
+    words = rows.mapInArrow(_count_words(), "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = stages.write(words, "word-counts")
+    grams = words.mapInArrow(_count_grams(), "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = words.select("lang", F.lit(0).alias("kind"), "item", "n").unionByName(stages.write(grams, "gram-counts"))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     sums = {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
     langs = sorted({lang for lang, _ in sums})
