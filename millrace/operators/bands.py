@@ -55,6 +55,46 @@ def total_band(days: DataFrame, stats: DataFrame, band: float = 80.0) -> DataFra
     return rows.select("sku", "point", F.greatest(lo, F.lit(0.0)).alias("lo"), F.greatest(hi, "point").alias("hi"))
 
 
+def rho_by_length(errors: DataFrame, lengths: list[int]) -> DataFrame:
+    """(sku, days, rho): how errors of days go together in blocks of each length."""
+    found = [day_correlation(errors, n).withColumn("days", F.lit(n)) for n in sorted(set(lengths))]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("sku", "days", "rho")
+
+
+def month_spans(days: DataFrame) -> DataFrame:
+    """(sku, first, last): each product's calendar months as far as its days (sku, ds) go."""
+    return days.groupBy("sku", F.trunc("ds", "month").alias("month")).agg(F.min("ds").alias("first"), F.max("ds").alias("last")).drop("month")
+
+
+def horizon_totals(days: DataFrame, spans: DataFrame, rhos: DataFrame, stats: DataFrame, band: float = 80.0) -> DataFrame:
+    """(sku, first, last, days, point, lo, hi): totals and their bands over any spans (sku, first, last) of stored daily forecasts (sku, ds, yhat, lower, upper).
+
+    The rule is total_band()'s.  Days are summed up once per product; a span is the difference of two sums, looked up by its ends, however many spans there are.  rhos has (sku, days, rho),
+    0 where the number of days isn't listed, stats (sku, level_sd, ref_mean).  Days run without gaps; a span is cut to those there are, and one without any is left out.
+    """
+    yhat = F.greatest("yhat", F.lit(0.0))
+    down, up = F.greatest(yhat - F.greatest("lower", F.lit(0.0)), F.lit(0.0)), F.greatest(F.col("upper") - yhat, F.lit(0.0))
+    order = Window.partitionBy("sku").orderBy("ds")
+    parts = {"n": F.lit(1), "point": yhat, "lo1": down, "lo2": down * down, "hi1": up, "hi2": up * up}
+    sums = days.select("sku", "ds", *(F.sum(v).over(order).alias(k) for k, v in parts.items()))
+    edges = sums.groupBy("sku").agg(F.min("ds").alias("start"), F.max("ds").alias("end"))
+    cut = spans.join(edges, "sku").withColumns({"a": F.greatest("first", "start"), "b": F.least("last", "end")}).where("a <= b")
+    until = sums.select("sku", F.col("ds").alias("b"), *(F.col(k).alias(f"{k}_b") for k in parts))
+    before = sums.select("sku", F.date_add("ds", 1).alias("a"), *(F.col(k).alias(f"{k}_a") for k in parts))
+    met = cut.join(until, ["sku", "b"]).join(before, ["sku", "a"], "left")
+    rows = met.select("sku", "first", "last", *((F.col(f"{k}_b") - F.coalesce(F.col(f"{k}_a"), F.lit(0))).alias(k) for k in parts))
+    rows = rows.join(rhos.withColumnRenamed("days", "n"), ["sku", "n"], "left").join(stats.select("sku", "level_sd", "ref_mean"), "sku", "left")
+    rows = rows.withColumns({"rho": F.coalesce("rho", F.lit(0.0)), "level_sd": F.coalesce("level_sd", F.lit(0.0))})
+    scale = F.when((F.col("ref_mean") > 0) & (F.col("point") > 0), F.least(F.greatest(F.col("point") / F.col("n") / F.col("ref_mean"), F.lit(0.25)), F.lit(4.0))).otherwise(1.0)
+    level = Z[band] * F.col("n") * F.col("level_sd") * scale
+    noise = lambda two, one: F.greatest(F.col(two) + F.col("rho") * (F.col(one) * F.col(one) - F.col(two)), F.lit(0.0))
+    lo = F.greatest(F.col("point") - F.sqrt(noise("lo2", "lo1") + level * level), F.lit(0.0))
+    return rows.select("sku", "first", "last", F.col("n").alias("days"), "point", lo.alias("lo"), F.greatest(F.col("point") + F.sqrt(noise("hi2", "hi1") + level * level), "point").alias("hi"))
+
+
 def widened(days: DataFrame, extra: DataFrame) -> DataFrame:
     """Bands with a further deviation x_sd (sku, ds, x_sd) added in squares, none below 0."""
     met = days.join(extra, ["sku", "ds"], "left").withColumn("e", Z[80.0] * F.coalesce("x_sd", F.lit(0.0)))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, demand, families, planning, pricestudy, pricing, replay, rush, seasonality, telemetry
-from millrace.plans.decisions import PLACED, TESTED, _costed, _placed, r
-from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, LINES, PRICE_LEVELS_SQL, READINGS, SCORES, SIGNATURES, STEPPED, filled, rounded, stepped, with_
+from millrace.operators import backtest, bands, demand, families, forecast, planning, pricestudy, pricing, replay, rush, seasonality, telemetry
+from millrace.plans.decisions import ERRORS, PLACED, TESTED, _costed, _errors, _placed, r
+from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, LEVELS, LINES, PRICE_LEVELS_SQL, PROFILE, READINGS, SCORES, SIGNATURES, STEPPED, _residuals, filled, rounded, stepped, with_
 from millrace.sources import tables
 from millrace.sources.staging import staged
 
@@ -357,6 +357,41 @@ def safe_price_range(spark, d):
     return pricing.safe_range(rows, pricing.price_levels(rows), rows.groupBy("sku").agg(F.stddev_samp("y").alias("sigma")))
 
 
+SPANS = (7, 14, 30)
+
+
+@query(
+    with_(LINES, DAILY, FILLED, AGED, PROFILE, LEVELS, ERRORS)
+    + f""", off AS (SELECT sku, quantile_cont(err, 0.1) AS lo, quantile_cont(err, 0.9) AS hi FROM resid GROUP BY sku), fin AS (SELECT max(ds) AS e FROM filled),
+fc AS (SELECT l.sku, CAST(fin.e + CAST(k AS INTEGER) AS DATE) AS ds, level * profile AS yhat, greatest(level * profile + lo, 0) AS lower, level * profile + hi AS upper FROM levels l JOIN off USING (sku), fin, (SELECT unnest(range(1, 46)) AS k), profile p
+  WHERE p.sku = l.sku AND p.weekday = dayofweek(CAST(fin.e + CAST(k AS INTEGER) AS DATE)) + 1),
+sp AS (SELECT sku, CAST(e + 1 AS DATE) AS first, CAST(e + CAST(n AS INTEGER) AS DATE) AS last FROM (SELECT DISTINCT sku FROM fc), fin, (SELECT unnest([{', '.join(map(str, SPANS))}]) AS n) UNION ALL SELECT sku, min(ds), max(ds) FROM fc GROUP BY sku, date_trunc('month', ds)),
+""" + ",\n".join(f"""b{n} AS (SELECT sku, win, ds, sum(err) OVER w AS s, count(*) OVER w AS n, count(*) OVER (PARTITION BY sku, win) AS len FROM er WINDOW w AS (PARTITION BY sku, win ORDER BY ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+v{n} AS (SELECT sku, var_samp(s) AS vk FROM b{n} WHERE n = {n} AND len >= {n + 5} GROUP BY sku)""" for n in SPANS) + f""",
+o AS (SELECT sku, var_samp(err) AS s2 FROM er GROUP BY sku),
+rho AS ({' UNION ALL '.join(f'SELECT sku, {n} AS n, coalesce(least(greatest((vk / ({n} * s2) - 1) / {n - 1}, 0), 1), 0) AS rho FROM o LEFT JOIN v{n} USING (sku)' for n in SPANS)}),
+mm AS (SELECT sku, win, avg(err) AS m, count(*) AS len FROM er GROUP BY 1, 2 HAVING count(*) >= 7), lev AS (SELECT sku, sqrt(greatest(avg(m * m) - any_value(s2) / avg(len), 0)) AS level_sd FROM mm JOIN o USING (sku) GROUP BY sku),
+ref AS (SELECT sku, avg(y) AS ref_mean FROM aged WHERE age < 225 GROUP BY sku),
+t AS (SELECT sp.sku, first, last, count(*) AS n, sum(yhat) AS point, sum(pow(greatest(yhat - lower, 0), 2)) AS lo2, sum(greatest(yhat - lower, 0)) AS lo1, sum(pow(greatest(upper - yhat, 0), 2)) AS hi2, sum(greatest(upper - yhat, 0)) AS hi1 FROM sp JOIN fc ON fc.sku = sp.sku AND ds BETWEEN first AND last GROUP BY 1, 2, 3),
+zz AS (SELECT t.*, coalesce(rho, 0) AS rho, 1.2816 * t.n * coalesce(level_sd, 0) * CASE WHEN ref_mean > 0 AND point > 0 THEN least(greatest(point / t.n / ref_mean, 0.25), 4) ELSE 1 END AS lvl FROM t LEFT JOIN rho ON rho.sku = t.sku AND rho.n = t.n LEFT JOIN lev ON lev.sku = t.sku LEFT JOIN ref ON ref.sku = t.sku)
+SELECT sku, first, last, n AS days, {r('point', 3)} AS point, {r('greatest(point - sqrt(greatest(lo2 + rho * (lo1 * lo1 - lo2), 0) + lvl * lvl), 0)', 3)} AS lo, {r('point + sqrt(greatest(hi2 + rho * (hi1 * hi1 - hi2), 0) + lvl * lvl)', 3)} AS hi FROM zz"""
+)
+def horizon_totals(spark, d):
+    """Units of the next week, fortnight, 30 days and calendar months, with bands for the totals."""
+    rows = filled(spark, d)
+    end = F.broadcast(rows.agg(F.max("ds").alias("end")))
+    levels = forecast.recent_level(rows).join(forecast.conformal_offsets(_residuals(rows)), "sku").join(end)
+    days = levels.withColumn("ds", F.explode(F.sequence(F.date_add("end", 1), F.date_add("end", 45)))).withColumn("weekday", F.dayofweek("ds")).join(forecast.weekday_profile(rows), ["sku", "weekday"])
+    yhat = F.col("level") * F.col("profile")
+    days = staged(days.select("sku", "ds", "end", yhat.alias("yhat"), F.greatest(yhat + F.col("lower"), F.lit(0.0)).alias("lower"), (yhat + F.col("upper")).alias("upper")))
+    ahead = days.select("sku", "end").distinct().withColumn("n", F.explode(F.array(*map(F.lit, SPANS)))).select("sku", F.date_add("end", 1).alias("first"), F.expr("date_add(end, n)").alias("last"))
+    errors = staged(_errors(spark, d))
+    reference = forecast.aged(rows).where("age < 225").groupBy("sku").agg(F.avg("y").alias("ref_mean"))
+    stats = bands.level_error(errors).join(reference, "sku", "full_outer")
+    found = bands.horizon_totals(days.drop("end"), ahead.unionByName(bands.month_spans(days)), bands.rho_by_length(errors, list(SPANS)), stats)
+    return rounded(found, "point", "lo", "hi", digits=3)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, engines, families, livelog, planning, pricestudy, pricing, replay, rush, seasonality, telemetry, trend
+from millrace.operators import backtest, bands, engines, families, livelog, planning, pricestudy, pricing, replay, rush, seasonality, telemetry, trend
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -465,3 +465,21 @@ def test_safe_range_and_analysis(spark):
     assert (r["lo"], r["hi"]) == (9.0, 11.0)
     said = lambda rows: pricing.price_analysis(pricing.price_levels(rows), pricing.price_evidence(rows, pricing.price_levels(rows))).first()["warning"]
     assert (said(wide), said(one), said(at([10.0] * 95 + [12.0] * 95))) == ("thin_data", "never_changed", None)
+
+
+def test_totals_of_spans_equal_the_band_of_their_days(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, START + timedelta(days=k), float(y), float(max(y - lo, 0)), float(y + hi)) for s in "ab" for k, (y, lo, hi) in enumerate(zip(rng.gamma(3, 4, 60), rng.gamma(2, 2, 60), rng.gamma(2, 3, 60), strict=True))]
+    days = spark.createDataFrame(rows, "sku string, ds date, yhat double, lower double, upper double")
+    stats = spark.createDataFrame([("a", 0.3, 0.7, 10.0)], "sku string, rho double, level_sd double, ref_mean double")
+    wanted = [("a", 0, 6), ("a", 10, 39), ("a", -5, 3), ("a", 55, 90), ("b", 3, 3), ("a", 70, 80)]
+    spans = spark.createDataFrame([(s, START + timedelta(days=i), START + timedelta(days=j)) for s, i, j in wanted], "sku string, first date, last date")
+    rhos = spark.createDataFrame([("a", n, 0.3) for n in (4, 5, 7, 30)], "sku string, days int, rho double")
+    got = {(r["sku"], r["first"]): r for r in bands.horizon_totals(days, spans, rhos, stats).collect()}
+    assert len(got) == 5
+    for s, i, j in wanted[:5]:
+        inside = days.where((F.col("sku") == s) & F.col("ds").between(F.lit(START + timedelta(days=i)), F.lit(START + timedelta(days=j))))
+        want, r = bands.total_band(inside, stats).first(), got[s, START + timedelta(days=i)]
+        assert (r["point"], r["lo"], r["hi"]) == pytest.approx((want["point"], want["lo"], want["hi"])) and r["days"] == inside.count()
+    months = {(r["first"], r["last"]) for r in bands.month_spans(days).where("sku = 'a'").collect()}
+    assert months == {(date(2021, 1, 4), date(2021, 1, 31)), (date(2021, 2, 1), date(2021, 2, 28)), (date(2021, 3, 1), date(2021, 3, 4))}
