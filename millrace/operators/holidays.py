@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import staged
+
 #: Fixed values: (holiday, rule, days of the stretch before and after the core).  Rules: a date; the nth or last weekday of a month (Monday 0),
 #: with the core's first and last day from there; Easter.
 HOLIDAYS = (
@@ -183,6 +185,13 @@ def levels(measures: DataFrame, pooled: DataFrame, keys: DataFrame) -> DataFrame
     return met.select("sku", "holiday", "offset", ((F.col("s_num") + ko * prior) / (F.col("s_den") + ko)).alias("level"), F.when(var > 0, (num - den) / F.sqrt(F.greatest("phi", "phi_p") * var)).alias("z"))
 
 
+def shape(filled: DataFrame, days: DataFrame, keys: DataFrame) -> DataFrame:
+    """levels() of a catalogue; the calendar, each product's evidence and the categories' are written once, since every later step reads them again."""
+    calendar = staged(days)
+    measures = staged(measure(filled, calendar))
+    return staged(levels(measures, staged(pool(measures, keys)), keys))
+
+
 def significant(found: DataFrame) -> DataFrame:
     """(sku, holiday, high, low, significant): whether the busiest or quietest day stands clearly apart from a typical day of the stretch."""
     rows = found.groupBy("sku", "holiday").agg(F.median("level").alias("typical"), F.max("level").alias("hi"), F.min("level").alias("lo"), F.max("z").alias("z_hi"), F.min("z").alias("z_lo"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, bands, demand, families, forecast, planning, pricestudy, pricing, replay, rush, seasonality, telemetry
+from millrace.operators import backtest, bands, demand, families, forecast, holidays, planning, pricestudy, pricing, replay, rush, seasonality, telemetry
 from millrace.plans.decisions import ERRORS, PLACED, TESTED, _costed, _errors, _placed, r
 from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, LEVELS, LINES, PRICE_LEVELS_SQL, PROFILE, READINGS, SCORES, SIGNATURES, STEPPED, _residuals, filled, rounded, stepped, with_
 from millrace.sources import tables
@@ -392,6 +392,42 @@ def horizon_totals(spark, d):
     return rounded(found, "point", "lo", "hi", digits=3)
 
 
+def _holidays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Brands' days, the days of all holidays of their years, and what each holiday does to each brand."""
+    rows = filled(spark, d, "p_brand")
+    rows = staged(rows.select("sku", "ds", "y", (2 * F.col("promo_units") > F.col("y")).cast("int").alias("on_promotion")))
+    first, last = rows.agg(F.year(F.min("ds")), F.year(F.max("ds"))).first()
+    days = staged(holidays.assigned(spark, first, last + 1))
+    return rows, days, holidays.shape(rows, days, _makers(rows))
+
+
+def _makers(rows: DataFrame) -> DataFrame:
+    return rows.select("sku", F.substring("sku", 1, 7).alias("category")).distinct()
+
+
+@query(None)
+def holiday_levels(spark, d):
+    """Sales over the usual on every day around a holiday, own and of the maker's brands; held against the rule by hand in its test."""
+    return rounded(_holidays(spark, d)[2], "level", "z")
+
+
+@query(None)
+def holiday_significance(spark, d):
+    """Holidays that stand clearly apart from a typical day of their stretch."""
+    return rounded(holidays.significant(_holidays(spark, d)[2]), "high", "low")
+
+
+@query(None)
+def holiday_forecast(spark, d):
+    """The coming 120 days at the recent level and weekday profile, split anew within holidays; totals of a stretch stay."""
+    rows, days, found = _holidays(spark, d)
+    profile = forecast.weekday_profile(rows)
+    ahead = forecast.recent_level(rows).join(F.broadcast(rows.agg(F.max("ds").alias("end")))).withColumn("ds", F.explode(F.sequence(F.date_add("end", 1), F.date_add("end", 120)))).withColumn("weekday", F.dayofweek("ds"))
+    plain = ahead.join(profile, ["sku", "weekday"]).select("sku", "ds", (F.col("level") * F.col("profile")).alias("yhat"))
+    by_monday = profile.select("sku", ((F.col("weekday") + 5) % 7).alias("weekday"), "profile")
+    return rounded(holidays.redistribute(plain, days, found, by_monday), "yhat")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import backtest, bands, engines, families, livelog, planning, pricestudy, pricing, replay, rush, seasonality, telemetry, trend
+from millrace.operators import backtest, bands, engines, families, holidays, livelog, planning, pricestudy, pricing, replay, rush, seasonality, telemetry, trend
 from millrace.plans import studies
 
 from .test_queries import DATA, duck, rows_of  # noqa: F401
@@ -483,3 +483,54 @@ def test_totals_of_spans_equal_the_band_of_their_days(spark):
         assert (r["point"], r["lo"], r["hi"]) == pytest.approx((want["point"], want["lo"], want["hi"])) and r["days"] == inside.count()
     months = {(r["first"], r["last"]) for r in bands.month_spans(days).where("sku = 'a'").collect()}
     assert months == {(date(2021, 1, 4), date(2021, 1, 31)), (date(2021, 2, 1), date(2021, 2, 28)), (date(2021, 3, 1), date(2021, 3, 4))}
+
+
+def test_holiday_evidence_by_hand(spark):
+    """Three years of a steady product that sells double on the core of one holiday, one promotion day among them."""
+    days = holidays.assigned(spark, 2021, 2023)
+    calendar = {r["ds"]: r for r in days.collect()}
+    holiday = next(r["holiday"] for r in sorted(calendar.values(), key=lambda r: r["ds"]) if r["core"])
+    rng = np.random.default_rng(2)
+    span = [START + timedelta(days=k) for k in range(1000)]
+    rows = [("s", d, float(10 * (2 if d in calendar and calendar[d]["holiday"] == holiday and calendar[d]["core"] else 1) + rng.integers(0, 3)), int(k % 97 == 5)) for k, d in enumerate(span)]
+    filled = spark.createDataFrame(rows, "sku string, ds date, y double, on_promotion int")
+    got = {r["offset"]: r for r in holidays.measure(filled, days).where(F.col("holiday") == holiday).collect()}
+    clean = [(d, y) for _, d, y, p in rows if not p and d not in calendar]
+    mean = np.mean([y for _, y in clean])
+    raw = []
+    for w in range(7):
+        v = [y for d, y in clean if d.weekday() == w]
+        raw.append(1 + (np.mean(v) / mean - 1) * sum(v) / (sum(v) + 20))
+    profile = np.array(raw) / np.mean(raw)
+    years = {}
+    for _, d, y, p in rows:
+        if d in calendar and calendar[d]["holiday"] == holiday:
+            years.setdefault(calendar[d]["anchor"], []).append((d, y, p))
+    sizes = {a: sum(1 for r in calendar.values() if r["holiday"] == holiday and r["anchor"] == a) for a in years}
+    ends = {a: max(r["ds"] for r in calendar.values() if r["holiday"] == holiday and r["anchor"] == a) for a in years}
+    years = {a: v for a, v in years.items() if ends[a] <= span[-1] and len(v) >= holidays.COVER * sizes[a]}
+    wanted = {}
+    for a, v in years.items():
+        w = holidays.YEAR_DECAY ** round((max(years) - a).days / 365.25)
+        used = [(d, y) for d, y, p in v if not p]
+        level = sum(y for _, y in used) / sum(profile[d.weekday()] for d, _ in used)
+        for d, y in used:
+            x = wanted.setdefault(calendar[d]["offset"], [0.0, 0.0, 0.0])
+            e = level * profile[d.weekday()]
+            x[0], x[1], x[2] = x[0] + w * y, x[1] + w * e, x[2] + w * w * e
+    assert len(years) >= 2 and {o: (r["num"], r["den"], r["var"]) for o, r in got.items()} == {o: pytest.approx(tuple(x)) for o, x in wanted.items()}
+
+
+def test_a_holiday_s_total_is_split_anew(spark):
+    days = holidays.assigned(spark, 2021, 2023)
+    rows = [(s, START + timedelta(days=k), 20.0 + (15 if s == "a" and (START + timedelta(days=k)).timetuple().tm_yday in (358, 359) else 0), 0) for s in "ab" for k in range(720)]
+    filled = spark.createDataFrame(rows, "sku string, ds date, y double, on_promotion int")
+    keys = spark.createDataFrame([("a", "c"), ("b", "c")], "sku string, category string")
+    found = holidays.shape(filled, days, keys)
+    flat = spark.createDataFrame([("a", START + timedelta(days=720 + k), 10.0) for k in range(365)], "sku string, ds date, yhat double")
+    profile = spark.createDataFrame([("a", w, 1.0) for w in range(7)], "sku string, weekday int, profile double")
+    moved = holidays.redistribute(flat, days, found, profile).join(days, "ds", "left")
+    whole = moved.where("holiday IS NOT NULL").groupBy("holiday", "anchor").agg(F.sum("yhat").alias("t"), F.count("*").alias("n")).collect()
+    assert all(r["t"] == pytest.approx(10.0 * r["n"]) for r in whole) and moved.count() == 365
+    assert {round(r["yhat"], 6) for r in moved.where("holiday IS NULL").collect()} == {10.0}
+    assert moved.agg(F.max("yhat")).first()[0] > 11.5
