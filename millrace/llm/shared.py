@@ -20,11 +20,13 @@ JOB_SETTINGS = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on one machine a new one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
