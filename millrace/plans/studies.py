@@ -12,6 +12,7 @@ from millrace.plans.decisions import ERRORS, PLACED, TESTED, _costed, _errors, _
 from millrace.plans.queries import AGED, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, LEVELS, LINES, PRICE_LEVELS_SQL, PROFILE, READINGS, SCORES, SIGNATURES, STEPPED, _residuals, filled, rounded, stepped, with_
 from millrace.sources import tables
 from millrace.sources.staging import staged
+from millrace.streaming import grades
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,6 +429,19 @@ def holiday_forecast(spark, d):
     return rounded(holidays.redistribute(plain, days, found, by_monday), "yhat")
 
 
+@query(
+    """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS sku, CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER) AS origin, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT e.sku, CAST(e.origin + 7 AS DATE) AS origin, CAST(e.n AS DOUBLE) AS predicted, CAST(e.n AS DOUBLE) AS original, e.n / 2.0 AS lo, e.n * 1.5 AS hi, CAST(coalesce(a.n, 0) AS DOUBLE) AS actual, 7 AS days_counted, false AS revised FROM b e LEFT JOIN b a ON a.sku = e.sku AND a.origin = e.origin + 7"""
+)
+def graded_weeks(spark, d):
+    """Weeks sealed at the week before's purchases and graded, by the batch form of the stream."""
+    bought = tables.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("sku"), "ts", F.lit(1.0).alias("value"))
+    before = bought.groupBy("sku", grades.period_origin(F.to_date("ts")).alias("w")).agg(F.sum("value").alias("n"))
+    origin = F.date_add("w", 7)
+    sealed = before.select("sku", origin.cast("timestamp").alias("ts"), origin.alias("origin"), F.col("n").alias("predicted"), (F.col("n") / 2).alias("lo"), (F.col("n") * 1.5).alias("hi"), F.array_repeat(F.col("n") / 7, 7).alias("daily"))
+    return grades.graded_batch(grades.messages(sealed, bought))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

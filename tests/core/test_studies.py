@@ -534,3 +534,44 @@ def test_a_holiday_s_total_is_split_anew(spark):
     assert all(r["t"] == pytest.approx(10.0 * r["n"]) for r in whole) and moved.count() == 365
     assert {round(r["yhat"], 6) for r in moved.where("holiday IS NULL").collect()} == {10.0}
     assert moved.agg(F.max("yhat")).first()[0] > 11.5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weeks_are_graded_once_whatever_the_order_of_files(spark, tmp_path, seed):
+    """Sealed weeks, the given events' purchases and price factors in shuffled files: the stream's rows are the batch's, each once."""
+    from millrace.streaming import grades
+
+    bought = spark.read.parquet(f"{DATA}/events.parquet").where("event_type = 'purchase' AND user_id < 12")
+    sales = bought.select(F.col("user_id").cast("string").alias("sku"), "ts", F.lit(1.0).alias("value"))
+    first = sales.agg(F.min("ts")).first()[0]
+    sunday = first.date() - timedelta(days=(first.weekday() + 1) % 7)
+    entries, factors = [], []
+    for k in range(9):
+        for w in range(3):
+            origin = sunday + timedelta(days=7 * w)
+            seal = datetime(origin.year, origin.month, origin.day) - timedelta(hours=5)
+            entries.append((str(k), seal, origin, 7.0, 3.0, 12.0, origin + timedelta(days=2) if k == 4 else None, [1.0] * 7 if k % 2 else None))
+            if k == 5:
+                entries.append((str(k), seal + timedelta(days=1), origin, 99.0, None, None, None, None))
+            factors += [(str(k), datetime(origin.year, origin.month, origin.day, 9) + timedelta(days=d), f) for d, f in ((1, 2.0), (1, 0.5), (3, 1.5))] if k in (1, 3, 6) else []
+    sealed = spark.createDataFrame(entries, "sku string, ts timestamp, origin date, predicted double, lo double, hi double, count_from date, daily array<double>")
+    every = grades.messages(sealed, sales, spark.createDataFrame(factors, "sku string, ts timestamp, value double")).cache()
+    wanted = sorted(map(tuple, grades.graded_batch(every).collect()))
+    parts = every.randomSplit([1.0] * 4, seed)
+    for part in sorted(parts, key=lambda p: p.count(), reverse=bool(seed % 2)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    late = spark.createDataFrame([("clock", datetime(2030, 1, 1), 0.0)], "sku string, ts timestamp, value double")
+    read = lambda: spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+    def run():
+        q = grades.graded_weeks(read(), "60 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(150)
+        assert q.exception() is None
+
+    run()  # nothing can be graded yet
+    assert spark.read.schema(grades.GRADED).parquet(f"{tmp_path}/out").count() == 0
+    grades._messages(late, "sale").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = sorted(map(tuple, spark.read.schema(grades.GRADED).parquet(f"{tmp_path}/out").collect()))
+    assert len(got) == 27 and got == wanted
+    assert any(r[2] != r[3] for r in got) and {r[7] for r in got} == {5, 7} and sum(r[6] for r in got) > 20
