@@ -431,7 +431,7 @@ def holiday_forecast(spark, d):
 
 @query(
     """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS sku, CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER) AS origin, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
-SELECT e.sku, CAST(e.origin + 7 AS DATE) AS origin, CAST(e.n AS DOUBLE) AS predicted, CAST(e.n AS DOUBLE) AS original, e.n / 2.0 AS lo, e.n * 1.5 AS hi, CAST(coalesce(a.n, 0) AS DOUBLE) AS actual, 7 AS days_counted, false AS revised FROM b e LEFT JOIN b a ON a.sku = e.sku AND a.origin = e.origin + 7"""
+SELECT e.sku, CAST(e.origin + 7 AS DATE) AS origin, CAST(e.n AS DOUBLE) AS predicted, CAST(e.n AS DOUBLE) AS original, CAST(e.n AS DOUBLE) / 2 AS lo, CAST(e.n * 1.5 AS DOUBLE) AS hi, CAST(coalesce(a.n, 0) AS DOUBLE) AS actual, 7 AS days_counted, false AS revised FROM b e LEFT JOIN b a ON a.sku = e.sku AND a.origin = e.origin + 7"""
 )
 def graded_weeks(spark, d):
     """Weeks sealed at the week before's purchases and graded, by the batch form of the stream."""
