@@ -27,6 +27,9 @@ GRAMS_PER_LANGUAGE = 5_000
 #: The model's size bound in scores, words times languages: with over 50 languages each keeps fewer words and n-grams.
 MOST_SCORES = 50_000_000
 
+#: Up to U+02C1 all letters are in these ranges, and no marks; texts that go no further, most by far, need no look at categories.
+_FAR = re.compile("[\u02c2-\U0010ffff]")
+_NEAR_LETTERS = re.compile("[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -52,7 +55,9 @@ _MARKED_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 def letter_words(text: str | None) -> list[str]:
     """Stretches of letters (Unicode categories L) with their marks (M), lower-cased."""
     text = (text or "").lower()
-    if text.isascii() or not _ODD.search(text):
+    if text.isascii() or not _FAR.search(text):
+        return _NEAR_LETTERS.findall(text)
+    if not _ODD.search(text):
         return _LETTERS.findall(text)
     return _MARKED_LETTERS.findall(_NUMERAL.sub(" ", text))
 
@@ -141,15 +146,16 @@ class Model:
         rows = list(map(self.words.get, words))
         weights: list[float] | np.ndarray = np.ones(len(rows))
         if None in rows:
-            known = [r for r in rows if r is not None]
-            unseen = Counter(w for w, r in zip(words, rows, strict=True) if r is None)
-            rows, weights = known, [1.0] * len(known)
-            for w, n in unseen.items():
+            unseen = [w for w, r in zip(words, rows, strict=True) if r is None]
+            rows = [r for r in rows if r is not None]
+            weights = [1.0] * len(rows)
+            for w in unseen:
                 r = cache.get(w)
                 if r is None:
                     r = cache[w] = self.fallback(w)
-                rows += r
-                weights += [n / len(r)] * len(r) if r else []
+                if r:
+                    rows += r
+                    weights += [1 / len(r)] * len(r)
         total = np.asarray(weights) @ self.scores[rows] if len(rows) else np.zeros(len(self.languages))
         e = np.exp(total - total.max())
         best = int(np.argmax(total))

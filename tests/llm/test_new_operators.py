@@ -220,3 +220,16 @@ def test_near_duplicates_judge_rows_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("own", F.lit("clash")).withColumn("place", F.lit("clash"))
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect())
     assert got == Counter([(1, 1, True), (2, 1, False), (7, 1, False), (7, 7, True), (9, 7, False), (7, 7, True), (None, None, False), (7, 7, True), (3, 3, True)])
+
+
+def test_letters_by_range_are_letters_by_category():
+    import unicodedata
+
+    from millrace.llm import language_id
+
+    for c in map(chr, range(0x2C2)):
+        low = c.lower()
+        wanted = [x for x in low if unicodedata.category(x)[0] == "L"]
+        if all(ord(x) < 0x2C2 for x in low):
+            assert "".join(language_id.letter_words(c)) == "".join(wanted), c
+    assert language_id.letter_words("Ünï²x a1b_c ×ÿ ˁz من x́y") == ["ünï", "x", "a", "b", "c", "ÿ", "ˁz", "من", "x́y"]
