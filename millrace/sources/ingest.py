@@ -139,7 +139,7 @@ def fingerprint_parts(daily: DataFrame) -> DataFrame:
 
 
 def fingerprint(parts: DataFrame) -> DataFrame:
-    """(products, digest): the exclusive or and sum of the parts' hashes, whatever their order, as one SHA-256."""
+    """(products, digest): two sums of the parts' hashes, whatever their order, as one SHA-256."""
     h = F.sha2(F.concat_ws("|", "sku", F.col("rows").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), F.format_string("%.3f", "units")), 256)
     folded = parts.select(F.conv(F.substring(h, 1, 12), 16, 10).cast("decimal(38,0)").alias("a"), F.conv(F.substring(h, 13, 12), 16, 10).cast("decimal(38,0)").alias("b"))
     sums = folded.agg(F.count("*").alias("products"), F.coalesce(F.sum("a"), F.lit(0)).cast("decimal(38,0)").alias("a"), F.coalesce(F.sum("b"), F.lit(0)).cast("decimal(38,0)").alias("b"))
