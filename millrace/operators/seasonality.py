@@ -154,11 +154,12 @@ def recent_agrees(filled: DataFrame, growth: DataFrame, days: int = 28) -> DataF
 def same_weeks(filled: DataFrame, horizon: int = 30) -> DataFrame:
     """(sku, day, years, yhat): for each coming day the mean of up to three past years' 29 days around it, each scaled by its growth.
 
-    Years end at the first without a growth or without 182 days before the days compared.  Products that sold nothing in the last 91 days are left
-    out, and so are those whose last four weeks disagree.
+    A day with fewer than seven rows around it a year ago takes that year's mean over the days that have them.  Years end at the first without a growth, without 182 days before the days
+    compared, or without such a day.  Products that sold nothing in the last 91 days or have rows on under half of the last 28 are left out, and so are those whose last four weeks disagree.
     """
     span = filled.groupBy("sku").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    quiet = filled.join(span, "sku").groupBy("sku").agg(F.sum(F.when(F.datediff("last", "ds") < 91, F.col("y"))).alias("lately")).where("lately > 0")
+    age = F.datediff("last", "ds")
+    lately = filled.join(span, "sku").groupBy("sku").agg(F.sum(F.when(age < 91, F.col("y"))).alias("lately"), F.count_if(age < 28).alias("rows")).where("lately > 0 AND rows >= 14")
     parts = []
     for k in range(1, MOST_YEARS + 1):
         grown = year_on_year(filled, k).join(span, "sku").where(F.datediff("last", "first") >= YEAR_DAYS * k + GROWTH_DAYS)
@@ -166,13 +167,15 @@ def same_weeks(filled: DataFrame, horizon: int = 30) -> DataFrame:
             grown = grown.join(recent_agrees(filled, year_on_year(filled)).where("agrees").select("sku"), "sku", "left_semi")
         days = grown.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
         around = days.withColumn("ds", F.explode(F.sequence(F.expr(f"date_add(last, day - {YEAR_DAYS * k + 14})"), F.expr(f"date_add(last, day - {YEAR_DAYS * k - 14})"))))
-        mean = around.join(filled.select("sku", "ds", "y"), ["sku", "ds"]).groupBy("sku", "day", "growth").agg(F.avg("y").alias("m"), F.count("*").alias("n")).where("n >= 7")
-        parts.append(mean.select("sku", F.lit(k).alias("k"), "day", (F.col("m") * F.col("growth")).alias("v")))
+        met = around.join(filled.select("sku", "ds", "y"), ["sku", "ds"], "left").groupBy("sku", "day", "growth").agg(F.avg("y").alias("m"), F.count("y").alias("n"))
+        known = met.withColumn("m", F.when(F.col("n") >= 7, F.col("m")))
+        whole = known.withColumn("m", F.coalesce("m", F.avg("m").over(Window.partitionBy("sku")))).where("m IS NOT NULL")
+        parts.append(whole.select("sku", F.lit(k).alias("k"), "day", (F.col("m") * F.col("growth")).alias("v")))
     every = parts[0].union(parts[1]).union(parts[2])
     # a year counts only if those before it do
     held = every.groupBy("sku").agg(F.collect_set("k").alias("ks"))
     usable = F.when(~F.array_contains("ks", 1), 0).when(~F.array_contains("ks", 2), 1).when(~F.array_contains("ks", 3), 2).otherwise(3)
-    years = held.select("sku", usable.alias("years")).join(quiet, "sku", "left_semi")
+    years = held.select("sku", usable.alias("years")).join(lately, "sku", "left_semi")
     return every.join(years, "sku").where("k <= years").groupBy("sku", "day", "years").agg(F.avg("v").alias("yhat"))
 
 

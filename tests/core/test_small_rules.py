@@ -151,3 +151,56 @@ def test_a_day_s_counts_are_replaced_never_added(spark, tmp_path):
         stream.keep_daily_sales(read, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
         got = {(r["sku"], str(r["ds"])): r["units"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
         assert got == [{("a", "2024-03-01"): 5, ("b", "2024-03-01"): 1}, {("a", "2024-03-01"): 9, ("b", "2024-03-01"): 1, ("a", "2024-03-02"): 2}][k]
+
+
+def weeks_by_hand(rows, horizon):
+    """Past years' same weeks of one product {day: units}, by the rule as it is stated; None where it can't be used."""
+    first, last = min(rows), max(rows)
+    back = lambda d, n: d - timedelta(days=n)
+    within = lambda a, b: [rows[d] for d in rows if a <= d <= b]
+    if sum(within(back(last, 90), last)) <= 0 or len(within(back(last, 27), last)) < 14:
+        return None
+    years = []
+    for k in (1, 2, 3):
+        if first > back(last, 364 * k + 182):
+            break
+        now, then = within(back(last, 181), last), within(back(last, 364 * k + 181), back(last, 364 * k))
+        if min(len(now), len(then)) < 20:
+            break
+        g, n = 1.0, min(sum(now), sum(then))
+        if sum(then) > 0:
+            g = min(max(((sum(now) / len(now)) / (sum(then) / len(then))) ** (n / (n + 30)), 1 / 3), 3.0)
+        if k == 1:
+            got, was = within(back(last, 27), last), within(back(last, 364 + 27), back(last, 364))
+            if len(got) >= 7 and len(was) >= 7:
+                e, a = sum(was) / len(was) * g * len(got), sum(got)
+                if (2 * a < e or a > 2 * e) and abs(e - a) > 2 * (2 * max(e, 1.0)) ** 0.5:
+                    return None
+        means = []
+        for day in range(1, horizon + 1):
+            centre = back(last, 364 * k - day)
+            v = within(back(centre, 14), back(centre, -14))
+            means.append(sum(v) / len(v) if len(v) >= 7 else None)
+        known = [m for m in means if m is not None]
+        if not known:
+            break
+        years.append([g * (m if m is not None else sum(known) / len(known)) for m in means])
+    return [sum(y[i] for y in years) / len(years) for i in range(horizon)] if years else None
+
+
+def test_past_years_same_weeks_by_hand(spark):
+    import math
+
+    season = lambda k: round(6 + 5 * math.sin(2 * math.pi * k / 365.25), 2)
+    end, days = date(2024, 6, 30), 1500
+    products = {"whole": lambda k: season(k), "one year": lambda k: season(k) if k < 600 else None, "gone": lambda k: season(k) if k > 95 else 0.0, "unseen": lambda k: season(k) if k == 0 or k > 15 else None,
+                "gap": lambda k: None if 364 - 25 < k < 364 + 25 else season(k), "fading": lambda k: 0.2 if k < 28 else season(k), "short": lambda k: season(k) if k < 500 else None}
+    rows = {s: {end - timedelta(days=k): f(k) for k in range(days) if f(k) is not None} for s, f in products.items()}
+    frame_ = frame(spark, [(s, d, y) for s, by in rows.items() for d, y in by.items()], "sku string, ds date, y double")
+    got = {}
+    for r in seasonality.same_weeks(frame_, 30).collect():
+        got.setdefault(r["sku"], {})[r["day"]] = r["yhat"]
+    wanted = {s: weeks_by_hand(by, 30) for s, by in rows.items()}
+    assert set(got) == {s for s, w in wanted.items() if w} == {"whole", "one year", "gap"}
+    for s, by_day in got.items():
+        assert [by_day[k] for k in range(1, 31)] == pytest.approx(wanted[s])
