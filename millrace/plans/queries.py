@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import rules
 from millrace.operators import backtest, bundles, calendar, demand, forecast, planning, pricing, seasonality, telemetry
 from millrace.sources import tables
+from millrace.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,11 @@ def filled(spark: SparkSession, d: str, key: str = "p_type") -> DataFrame:
     return calendar.fill_calendar(calendar.daily_sales(tables.sales_lines(spark, d, key)))
 
 
+def kept(spark: SparkSession, d: str, key: str = "p_type") -> DataFrame:
+    """filled() written once, for plans that read the days several times."""
+    return staged(filled(spark, d, key).select("sku", "ds", "y", "promo_units"))
+
+
 def daily(spark: SparkSession, d: str, key: str = "p_type") -> DataFrame:
     return calendar.daily_sales(tables.sales_lines(spark, d, key))
 
@@ -143,7 +149,7 @@ SELECT sku, category, peer, round(distance + 1e-9, 6) AS distance, CAST(r AS INT
 
 
 def monthly_index(spark, d):
-    return rounded(seasonality.monthly_index(filled(spark, d)), "index")
+    return rounded(seasonality.monthly_index(kept(spark, d)), "index")
 
 
 TREND = """tspan AS (SELECT sku, min(ds) AS start, avg(y) AS mean, count(*) AS n FROM filled GROUP BY sku),
@@ -172,7 +178,7 @@ MONTHLY_INDEX = with_(LINES, DAILY, FILLED, INDEX) + 'SELECT sku, CAST(month AS
 
 
 def index_strength(spark, d):
-    return rounded(seasonality.index_strength(seasonality.monthly_index(filled(spark, d, "p_brand"))), "strength")
+    return rounded(seasonality.index_strength(seasonality.monthly_index(kept(spark, d, "p_brand"))), "strength")
 
 
 INDEX_STRENGTH = with_(LINES, DAILY, FILLED, INDEX, key="p_brand") + "SELECT sku, round(((max(x) - min(x)) / 2) + 1e-9, 4) AS strength, (max(x) - min(x)) / 2 >= 0.15 AS used FROM r3 GROUP BY sku"
@@ -182,14 +188,14 @@ sig AS (SELECT sku, slot, avg(ratio) AS value FROM (SELECT sku, ratio, unnest([d
 
 
 def seasonal_signature(spark, d):
-    return rounded(seasonality.signature(filled(spark, d, "p_brand")), "value")
+    return rounded(seasonality.signature(kept(spark, d, "p_brand")), "value")
 
 
 SEASONAL_SIGNATURE = with_(LINES, DAILY, FILLED, SIGNATURES, key="p_brand") + "SELECT sku, CAST(slot AS INTEGER) AS slot, round(value + 1e-9, 4) AS value FROM sig"
 
 
 def shape_links(spark, d):
-    rows = filled(spark, d, "p_brand")
+    rows = kept(spark, d, "p_brand")
     keys = rows.select("sku", F.substring("sku", 1, 7).alias("category")).distinct()
     return rounded(seasonality.shape_links(seasonality.signature(rows), keys), "likeness", digits=3)
 
@@ -205,7 +211,7 @@ SELECT category, a, b, round(likeness + 1e-9, 3) AS likeness, likeness >= 0.35 A
 
 
 def year_on_year(spark, d):
-    return rounded(seasonality.year_on_year(filled(spark, d, "p_brand")), "growth")
+    return rounded(seasonality.year_on_year(kept(spark, d, "p_brand")), "growth")
 
 
 YEAR_ON_YEAR = (
@@ -243,7 +249,7 @@ WEEKDAY_PROFILE = with_(LINES, DAILY, FILLED, AGED, PROFILE) + "SELECT sku, CAST
 
 
 def recent_level(spark, d):
-    return rounded(forecast.recent_level(filled(spark, d)), "level")
+    return rounded(forecast.recent_level(kept(spark, d)), "level")
 
 
 RECENT_LEVEL = with_(LINES, DAILY, FILLED, AGED, PROFILE, LEVELS) + "SELECT sku, round(level + 1e-9, 4) AS level FROM levels"
@@ -313,14 +319,14 @@ scores AS (SELECT s.*, abs_err / n AS mae, CASE WHEN sum_y > 0 THEN abs_err / su
 
 
 def backtest_windows(spark, d):
-    return rounded(backtest.score(filled(spark, d)), "sum_yhat", "abs_err", "mae", "wape", "bias", "mase", digits=3)
+    return rounded(backtest.score(kept(spark, d)), "sum_yhat", "abs_err", "mae", "wape", "bias", "mase", digits=3)
 
 
 BACKTEST_WINDOWS = with_(LINES, DAILY, FILLED, SCORES) + "SELECT sku, cutoff, n, sum_y, round(sum_yhat + 1e-9, 3) AS sum_yhat, round(abs_err + 1e-9, 3) AS abs_err, round(mae + 1e-9, 3) AS mae, round(wape + 1e-9, 3) AS wape, round(bias + 1e-9, 3) AS bias, round(mase + 1e-9, 3) AS mase FROM scores"
 
 
 def backtest_summary(spark, d):
-    return rounded(backtest.aggregate(backtest.score(filled(spark, d))), "wape", "bias", "mase")
+    return rounded(backtest.aggregate(backtest.score(kept(spark, d))), "wape", "bias", "mase")
 
 
 BACKTEST_SUMMARY = (
@@ -334,7 +340,7 @@ LEAD, COVERAGE = 14, 30
 
 
 def reorder_plan(spark, d):
-    rows = filled(spark, d)
+    rows = kept(spark, d)
     residuals = _residuals(rows)
     day = residuals.groupBy("sku").agg(F.stddev_samp("err").alias("sigma_day"))
     sigma = day.join(forecast.lead_window_sigma(residuals, LEAD).withColumnRenamed("sigma", "sigma_lead"), "sku", "left")
@@ -498,7 +504,7 @@ PRICE_EVIDENCE = (
 
 
 def elasticity(spark, d):
-    return rounded(pricing.elasticity(stepped(spark, d)), "elasticity")
+    return rounded(pricing.elasticity(staged(stepped(spark, d))), "elasticity")
 
 
 ELASTICITY_SQL = """cells AS (SELECT sku, cents, count(*) AS w, ln(cents) AS x, ln(avg(y)) AS z FROM single WHERE cents > 0 AND y >= 0 GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(y) > 0),
