@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import rules
 from millrace.operators import backtest, bands, bundles, calendar, demand, livelog, planning, pricing, seasonality, telemetry, trend
 from millrace.plans.queries import (
-    AGED, BOM, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, HOURS, INDEX, LIFT_SQL, LINES, LOCAL_DAY, ORDERED, PRICE_LEVELS_SQL, READINGS, RESIDUALS, SCORES, STEPPED, STORE_ZONE, TREND_LINEAR, UNSHRUNK_INDEX,
+    AGED, BOM, DAILY, ELASTICITY_SQL, EVIDENCE_SQL, FILLED, HOURS, INDEX, LIFT_SQL, LINES, LOCAL_DAY, PRICE_LEVELS_SQL, READINGS, RESIDUALS, SCORES, STEPPED, STORE_ZONE, TREND_LINEAR, UNSHRUNK_INDEX,
     _bundle_parts, _residuals, daily, filled, rounded, stepped, with_,
 )
 from millrace.sources import ingest, tables
