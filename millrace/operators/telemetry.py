@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CARRY_HOURS = 26
 #: Hours of a day that readings must cover.
 LEAST_HOURS = 12
+#: Hours in stock, a tenth and 95% of 24, from which a day is partial and whole.  Hours are held against these: their 24th part may fall beside 0.1 and 0.95.
+PARTIAL_HOURS, WHOLE_HOURS = 2.4, 22.8
 
 
 def collapse(readings: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def demand_estimate(days: DataFrame) -> DataFrame:
     share = F.least(F.greatest(F.coalesce(F.col("hours") / 24, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     rows = days.withColumn("share", share)
     empty = F.coalesce(F.col("closing") <= 0, F.lit(False))
-    kind = F.when(F.col("share") < 0.10, F.when(F.col("y") > 0, "capped").otherwise("unavailable")).when(F.col("share") < 0.95, "partial").when(empty, "capped").otherwise("normal")
+    kind = F.when(F.col("hours") < PARTIAL_HOURS, F.when(F.col("y") > 0, "capped").otherwise("unavailable")).when(F.col("hours") < WHOLE_HOURS, "partial").when(empty, "capped").otherwise("normal")
     rows = rows.withColumn("kind", kind)
     partial, gone = F.col("kind") == "partial", F.col("kind") == "unavailable"
     estimate = F.when(partial, F.col("y") * F.least(F.lit(3.0), 1 / F.col("share"))).when(~gone, F.col("y"))

@@ -204,3 +204,15 @@ def test_past_years_same_weeks_by_hand(spark):
     assert set(got) == {s for s, w in wanted.items() if w} == {"whole", "one year", "gap"}
     for s, by_day in got.items():
         assert [by_day[k] for k in range(1, 31)] == pytest.approx(wanted[s])
+
+
+def at_the_bounds(spark):
+    """Readings and sales of days that are in stock for exactly a tenth and exactly 95% of 24 hours."""
+    readings = [(1, datetime(2024, 1, 1), 5), (1, datetime(2024, 1, 1, 2, 24), 0), (1, datetime(2024, 1, 2), 5), (1, datetime(2024, 1, 2, 22, 48), 0), (1, datetime(2024, 1, 3), 5)]
+    hours = telemetry.hours_in_stock(frame(spark, readings, "sku long, ts timestamp, on_hand long")).where("ds < '2024-01-03'")
+    return telemetry.demand_estimate(hours.withColumns({"y": F.lit(2.0), "closing": F.lit(None).cast("long")}))
+
+
+def test_days_at_the_bounds_are_partial_and_whole(spark):
+    got = [(r["ds"].day, r["kind"], r["estimate"], round(r["weight"], 9)) for r in at_the_bounds(spark).orderBy("ds").collect()]
+    assert got == [(1, "partial", 6.0, 0.1), (2, "normal", 2.0, 1.0)]
