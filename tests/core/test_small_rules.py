@@ -216,3 +216,8 @@ def at_the_bounds(spark):
 def test_days_at_the_bounds_are_partial_and_whole(spark):
     got = [(r["ds"].day, r["kind"], r["estimate"], round(r["weight"], 9)) for r in at_the_bounds(spark).orderBy("ds").collect()]
     assert got == [(1, "partial", 6.0, 0.1), (2, "normal", 2.0, 1.0)]
+
+
+def test_summary_of_days_at_the_bounds(spark):
+    r = telemetry.censoring_summary(at_the_bounds(spark)).first()
+    assert (r["days"], r["normal"], r["capped"], r["partial"], r["censored_share"], r["observed"], r["hidden_units"], r["understated_pct"]) == (2, 1, 0, 1, 50.0, 4.0, pytest.approx(4.0), pytest.approx(100.0))
