@@ -299,11 +299,12 @@ def cover_path(forecast: DataFrame, stock: DataFrame, arrivals: DataFrame) -> Da
 def cover_report(path: DataFrame) -> DataFrame:
     """(sku, days_to_stockout, back_on, days_out, units_lost, lowest_day, next_arrival): what a path holds, nulls where stock lasts.
 
-    days_to_stockout is the first day that ends empty, back_on the next day that doesn't, days_out the days that end empty.
+    days_to_stockout is the first day that ends empty, back_on the next day that doesn't, days_out the days that end empty.  Levels count to nine
+    digits, so that of days that end alike lowest_day is the first, whatever their sums left behind.
     """
     empty = F.col("level") <= 1e-9
     marked = path.withColumn("out", F.min(F.when(empty, F.col("day"))).over(Window.partitionBy("sku")))
     return marked.groupBy("sku").agg(
         F.first("out").alias("days_to_stockout"), F.min(F.when((F.col("day") > F.col("out")) & ~empty, F.col("day"))).alias("back_on"), F.count_if(empty).alias("days_out"), F.sum("lost").alias("units_lost"),
-        F.min_by("day", F.struct("level", "day")).alias("lowest_day"), F.min(F.when(F.col("arrived") > 0, F.col("day"))).alias("next_arrival"),
+        F.min_by("day", F.struct(F.round("level", 9), F.col("day"))).alias("lowest_day"), F.min(F.when(F.col("arrived") > 0, F.col("day"))).alias("next_arrival"),
     )

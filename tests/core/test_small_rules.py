@@ -221,3 +221,9 @@ def test_days_at_the_bounds_are_partial_and_whole(spark):
 def test_summary_of_days_at_the_bounds(spark):
     r = telemetry.censoring_summary(at_the_bounds(spark)).first()
     assert (r["days"], r["normal"], r["capped"], r["partial"], r["censored_share"], r["observed"], r["hidden_units"], r["understated_pct"]) == (2, 1, 0, 1, 50.0, 4.0, pytest.approx(4.0), pytest.approx(100.0))
+
+
+def test_lowest_day_is_the_first_of_equal_levels(spark):
+    path = frame(spark, [("a", k, 1.0, 0.0, x, 0.0) for k, x in enumerate((1.0, 2e-15, 0.0, 3.0), 1)] + [("b", k, 1.0, 0.0, x, 0.0) for k, x in enumerate((0.5, 0.1 + 0.2, 0.3, 0.4), 1)], "sku string, day int, demand double, arrived double, level double, lost double")
+    got = {r["sku"]: (r["days_to_stockout"], r["days_out"], r["lowest_day"]) for r in planning.cover_report(path).collect()}
+    assert got == {"a": (2, 2, 2), "b": (None, 0, 2)}
