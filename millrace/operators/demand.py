@@ -111,18 +111,24 @@ def route(classes: DataFrame, relatives: DataFrame) -> DataFrame:
     return joined.select("sku", rule.alias("route"))
 
 
+#: Places of a category's order that are one block of nearest_peers().
+PEER_BLOCK = 4096
+
+
 def nearest_peers(daily_by_category: DataFrame, most: int = 25) -> DataFrame:
     """(sku, category, peer, distance, rank): per product the closest in log volume of its category.
 
-    Products are ordered by log volume inside the category; the closest `most` lie within `most` places on either side, so that
-    rows meet by place and not all with all.  Distances count to nine digits, and ties
-    go by places between, then by name.
+    Products are ordered by log volume inside the category; the closest `most` lie within `most` places on either side.  The order is
+    cut into blocks that also hold the `most` places beyond either edge, so that each product meets its peers in a window of its block, and
+    is sent once and not once a peer.  Distances count to nine digits, and ties go by places between, then by name.
     """
     volume = daily_by_category.groupBy("category", "sku").agg(F.log(F.sum("units")).alias("v"))
     placed = volume.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("v", "sku")))
-    steps = F.array(*[F.lit(i) for i in range(-most, most + 1) if i])
-    sought = placed.withColumn("step", F.explode(steps)).withColumn("at", F.col("place") + F.col("step"))
-    other = placed.select("category", F.col("sku").alias("peer"), F.col("v").alias("peer_v"), F.col("place").alias("at"))
-    near = sought.join(other, ["category", "at"]).withColumn("distance", F.round(F.abs(F.col("v") - F.col("peer_v")), 9))
-    rank = F.row_number().over(Window.partitionBy("category", "sku").orderBy("distance", F.abs("step"), "peer"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("sku", "category", "peer", "distance", "rank")
+    blocks = F.array_distinct(F.array(*(F.floor((F.col("place") + k) / PEER_BLOCK) for k in (-most, 0, most))))
+    dealt = placed.withColumn("block", F.explode(blocks)).repartition("category", "block")
+    around = Window.partitionBy("category", "block").orderBy("place").rowsBetween(-most, most)
+    met = dealt.withColumn("others", F.collect_list(F.struct("sku", "v", "place")).over(around)).where(F.col("block") == F.floor(F.col("place") / PEER_BLOCK))
+    others = F.filter("others", lambda o: o["place"] != F.col("place"))
+    peers = F.transform(others, lambda o: F.struct(F.round(F.abs(F.col("v") - o["v"]), 9).alias("distance"), F.abs(o["place"] - F.col("place")).alias("between"), o["sku"].alias("peer")))
+    ranked = met.select("sku", "category", F.posexplode(F.slice(F.array_sort(peers), 1, most)).alias("r", "p"))
+    return ranked.select("sku", "category", "p.peer", "p.distance", (F.col("r") + 1).alias("rank"))

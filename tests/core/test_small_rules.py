@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
-from millrace.operators import backtest, bands, calendar, engines, holidays, livelog, planning, pricing, seasonality, telemetry
+from millrace.operators import backtest, bands, calendar, demand, engines, holidays, livelog, planning, pricing, seasonality, telemetry
 from millrace.sources import ingest
 from millrace.streaming import events as stream
 
@@ -227,3 +227,19 @@ def test_lowest_day_is_the_first_of_equal_levels(spark):
     path = frame(spark, [("a", k, 1.0, 0.0, x, 0.0) for k, x in enumerate((1.0, 2e-15, 0.0, 3.0), 1)] + [("b", k, 1.0, 0.0, x, 0.0) for k, x in enumerate((0.5, 0.1 + 0.2, 0.3, 0.4), 1)], "sku string, day int, demand double, arrived double, level double, lost double")
     got = {r["sku"]: (r["days_to_stockout"], r["days_out"], r["lowest_day"]) for r in planning.cover_report(path).collect()}
     assert got == {"a": (2, 2, 2), "b": (None, 0, 2)}
+
+
+def test_peers_meet_in_blocks(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(demand, "PEER_BLOCK", 4)
+    rows = [(c, f"{c}{k:02d}", float(1 + k * k % 23)) for c, n in (("a", 19), ("b", 1), ("c", 3)) for k in range(n)]
+    found = demand.nearest_peers(frame(spark, rows, "category string, sku string, units double"), 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = set()
+    for c in "abc":
+        order = sorted((math.log(u), s) for k, s, u in rows if k == c)
+        for i, (v, s) in enumerate(order):
+            near = sorted((round(abs(v - w), 9), abs(i - j), p) for j, (w, p) in enumerate(order) if i != j)[:3]
+            wanted |= {(s, c, p, x, r) for r, (x, _, p) in enumerate(near, 1)}
+    assert {tuple(r) for r in found.select("sku", "category", "peer", "distance", "rank").collect()} == wanted
