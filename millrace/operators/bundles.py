@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bundles inside bundles are followed this deep.
 MOST_DEPTH = 4
+#: Rows of daily sales that one task of attribute() sorts and sums.
+TASK_ROWS = 1 << 19
 
 
 def normalise(parts: DataFrame) -> DataFrame:
@@ -47,12 +49,17 @@ def faults(parts: DataFrame, known: DataFrame) -> DataFrame:
     return met.withColumn("fault", fault).where("fault IS NOT NULL").select("bundle", "component", "fault")
 
 
-def attribute(daily: DataFrame, flat: DataFrame) -> DataFrame:
+def attribute(daily: DataFrame, flat: DataFrame, tasks: int | None = None) -> DataFrame:
     """(sku, ds, y, bundle_units, from_bundle_only): daily sales with the units that components sold through bundles, on days of their own too.
 
     daily has one row per product and day, so each day's bundle units are added once.  Bundles keep their rows.
+    tasks: into how many daily was dealt by sku and ds; what bundles push is dealt alike, so that a task's memory follows its rows and not the table.
     """
     via = flat.where("bundle != sku").select(F.col("bundle"), F.col("sku").alias("component"), "qty")
-    pushed = daily.where("y > 0").join(via, daily["sku"] == via["bundle"]).groupBy(F.col("component").alias("sku"), "ds").agg(F.sum(F.col("y") * F.col("qty")).alias("extra")).where("extra > 0")
+    sold = daily.where("y > 0").select(F.col("sku").alias("bundle"), "ds", "y")
+    sold = sold.repartition(tasks, "bundle") if tasks else sold
+    parts = sold.join(via, "bundle").select(F.col("component").alias("sku"), "ds", (F.col("y") * F.col("qty")).alias("extra"))
+    parts = parts.repartition(tasks, "sku", "ds") if tasks else parts
+    pushed = parts.groupBy("sku", "ds").agg(F.sum("extra").alias("extra")).where("extra > 0")
     met = daily.select("sku", "ds", "y").join(pushed, ["sku", "ds"], "full_outer")
     return met.select("sku", "ds", (F.coalesce("y", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("y"), F.coalesce("extra", F.lit(0.0)).alias("bundle_units"), F.col("y").isNull().alias("from_bundle_only"))

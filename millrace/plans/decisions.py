@@ -654,8 +654,10 @@ SELECT coalesce(dl.sku, x.sku) AS sku, coalesce(dl.ds, x.ds) AS ds, coalesce(y,
 )
 def bundle_attribution(spark, d):
     lines = tables.table(spark, d, "lineitem")
-    rows = lines.groupBy(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("ds")).agg(F.sum("l_quantity").alias("y"))
-    return bundles.attribute(rows, bundles.expand(_bundle_parts(spark, d)))
+    tasks = 1 + lines.count() // bundles.TASK_ROWS
+    dealt = lines.select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("ds"), "l_quantity").repartition(tasks, "sku", "ds")
+    rows = dealt.groupBy("sku", "ds").agg(F.sum("l_quantity").alias("y"))
+    return bundles.attribute(rows, bundles.expand(_bundle_parts(spark, d)), tasks)
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
-from millrace.operators import backtest, bands, calendar, demand, engines, holidays, livelog, planning, pricing, seasonality, telemetry
+from millrace.operators import backtest, bands, bundles, calendar, demand, engines, holidays, livelog, planning, pricing, seasonality, telemetry
 from millrace.sources import ingest
 from millrace.streaming import events as stream
 
@@ -243,3 +243,11 @@ def test_peers_meet_in_blocks(spark, monkeypatch):
             near = sorted((round(abs(v - w), 9), abs(i - j), p) for j, (w, p) in enumerate(order) if i != j)[:3]
             wanted |= {(s, c, p, x, r) for r, (x, _, p) in enumerate(near, 1)}
     assert {tuple(r) for r in found.select("sku", "category", "peer", "distance", "rank").collect()} == wanted
+
+
+def test_bundle_units_by_dealt_rows(spark):
+    daily = frame(spark, [(k, DAY + timedelta(days=d), float(k + d)) for k in range(1, 30) for d in range(5) if (k + d) % 3], "sku long, ds date, y double")
+    flat = frame(spark, [(k, k // 2 + 100 * (k % 2), 2.0) for k in range(2, 30, 3)] + [(5, 5, 1.0)], "bundle long, sku long, qty double")
+    dealt = bundles.attribute(daily.repartition(7, "sku", "ds"), flat, 7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, bundles.attribute(daily, flat).collect()))
