@@ -475,3 +475,14 @@ def test_remembered_stretches_equal_the_plain_tokenizer():
     texts = ["", "  ", "One two. Three, two\nthree.", "a\x01b c \x01 \x01\x01 d", "<|endoftext|> Hi <| x|>", "a\u0301 \u0301x \u03a3\u0391\u03a3", "don't 12a3 don't"]
     for text in texts * 2:
         assert np.frombuffer(cached.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_members_of_long_lists_all_meet(spark):
+    """One list whose smallest is like none of the others; 2 and 3 have no other block in common."""
+    row = lambda key, node, text, simhash=0: (key, node, len(text), simhash, text)
+    texts = {1: "a" * 40, 2: "b" * 40, 3: "b" * 39 + "c", **{k: chr(100 + k) * 40 for k in range(4, 16)}}
+    table = spark.createDataFrame([row(7, k, t) for k, t in texts.items()], "key long, node long, len int, simhash long, norm string")
+    with Stages(spark, "test") as stages:
+        classes = stages.write(table.select("node", "len", "norm"), "classes")
+        posts = stages.write(table.select("key", "node", "len", "simhash"), "posts")
+        assert [tuple(r) for r in line_dedup._groups(stages, classes, posts).orderBy("node").collect()] == [(2, 2), (3, 2)]
