@@ -192,14 +192,16 @@ def state(readings: DataFrame, zone: str = "UTC") -> DataFrame:
 
 
 def censoring_summary(estimated: DataFrame) -> DataFrame:
-    """(sku, days, normal, capped, partial, unavailable, censored_share, observed, hidden_units, understated_pct) of demand_estimate()."""
+    """(sku, days, normal, capped, partial, unavailable, observed, censored_share, hidden_units, understated_pct) of demand_estimate()."""
     kinds = {k: F.count_if(F.col("kind") == k).alias(k) for k in ("normal", "capped", "partial", "unavailable")}
-    rows = estimated.groupBy("sku").agg(
-        F.count("*").alias("days"), *kinds.values(), F.sum("y").alias("observed"), (F.coalesce(F.sum("estimate"), F.lit(0.0)) - F.sum("y")).alias("hidden_units")
-    )
-    return rows.withColumns(
-        {
-            "censored_share": 100.0 * (F.col("days") - F.col("normal")) / F.col("days"),
-            "understated_pct": F.when(F.col("observed") > 0, 100 * F.col("hidden_units") / F.col("observed")),
-        }
+    rows = estimated.groupBy("sku").agg(F.count("*").alias("days"), *kinds.values(), F.sum("y").alias("observed"), F.coalesce(F.sum("estimate"), F.lit(0.0)).alias("estimated"))
+    hidden = F.col("estimated") - F.col("observed")
+    return rows.select(
+        "sku",
+        "days",
+        *kinds,
+        "observed",
+        (100.0 * (F.col("days") - F.col("normal")) / F.col("days")).alias("censored_share"),
+        hidden.alias("hidden_units"),
+        F.when(F.col("observed") > 0, 100 * hidden / F.col("observed")).alias("understated_pct"),
     )

@@ -2,11 +2,13 @@
 
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
 from millrace.operators import backtest, bands, bundles, calendar, demand, engines, holidays, livelog, planning, pricing, seasonality, telemetry
+from millrace.plans import queries as plans
 from millrace.sources import ingest
 from millrace.streaming import events as stream
 
@@ -251,3 +253,10 @@ def test_bundle_units_by_dealt_rows(spark):
     dealt = bundles.attribute(daily.repartition(7, "sku", "ds"), flat, 7)
     assert dealt.rdd.getNumPartitions() == 7
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, bundles.attribute(daily, flat).collect()))
+
+
+def test_summary_has_the_columns_of_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    assert plans.censoring_summary(spark, folder).columns == [r[0] for r in held.execute("DESCRIBE " + plans.CENSORING_SUMMARY).fetchall()]
