@@ -54,7 +54,7 @@ def induced_suffix_array(s: np.ndarray) -> np.ndarray:
     smaller[:-1] = np.append(step, 1)[np.minimum(ahead, n - 1)] > 0
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
 
-    sa = _induce(s, smaller, sizes, starts, ends, leftmost[np.argsort(s[leftmost], kind="stable")])
+    sa = _induce(s, smaller, sizes, starts, ends, leftmost[_in_order(s[leftmost])])
     is_leftmost = np.zeros(n, bool)
     is_leftmost[leftmost] = True
     order = sa[is_leftmost[sa]]
@@ -133,7 +133,7 @@ def _deal(s: np.ndarray, sa: np.ndarray, suffixes: np.ndarray, edge: np.ndarray,
     if not len(suffixes):
         return
     first = s[suffixes]
-    order = np.argsort(first, kind="stable")
+    order = _in_order(first)
     first = first[order]
     cut = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
     counts = np.diff(np.append(cut, len(first)))
@@ -142,17 +142,30 @@ def _deal(s: np.ndarray, sa: np.ndarray, suffixes: np.ndarray, edge: np.ndarray,
     edge[first[cut]] += way * counts
 
 
+def _in_order(values: np.ndarray) -> np.ndarray:
+    """A stable order of whole numbers; those of 16 bits are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 def _by_doubling(s: np.ndarray) -> np.ndarray:
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    """A place's rank is where its group of equal strings starts in the order; each round sorts the groups of two or more by the rank `width` on."""
     n, width = len(s), 1
+    order = np.argsort(s, kind="stable")
+    group = s[order]
+    rank = np.empty(n, np.int64)
+    at = np.arange(n)
     while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        if rank[order[-1]] == n - 1 or width >= n:
+        first = np.append(True, group[1:] != group[:-1])
+        items = order[at]
+        rank[items] = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        open_ = ~(first & np.append(first[1:], True))
+        at, items = at[open_], items[open_]
+        if not len(at):
             return order
+        ahead = items + width
+        key = rank[items] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        put = np.argsort(key)
+        order[at], group = items[put], key[put]
         width = min(2 * width, n)
 
 
@@ -164,19 +177,21 @@ def words8(b: np.ndarray) -> np.ndarray:
     return x
 
 
-def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int = LIMIT, whole: bool = False) -> np.ndarray:
     """By place: the common prefix, up to limit, with the suffix before it in the order; text has `limit` + 8 spare bytes at its end.
 
-    Bytes are compared eight at a time in all places at once.
+    Bytes are compared eight at a time in all places at once.  With whole, only prefixes of limit bytes are asked for, and those of places that differ in
+    the last eight of them are given as 0.
     """
     w = words8(text)
     after, before = sa[1:], sa[:-1]
     common = np.zeros(len(sa) - 1, np.int64)
-    live = np.arange(len(common))
+    live = np.flatnonzero(w[after + (limit - 8)] == w[before + (limit - 8)]) if whole else np.arange(len(common))
+    tried = live
     for at in range(0, limit, 8):
         live = live[w[after[live] + at] == w[before[live] + at]]
         common[live] = at + 8
-    live = np.flatnonzero(common < limit)
+    live = tried[common[tried] < limit]
     while len(live):
         live = live[text[after[live] + common[live]] == text[before[live] + common[live]]]
         common[live] += 1
@@ -272,17 +287,15 @@ def repeats_in_shard(segments: list[tuple]) -> tuple[list[tuple[int, int, int]],
     base = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(raw + bytes(LIMIT + 9), np.uint8)
     n = len(raw)
-    s = np.frombuffer(raw + b"\0", np.uint8).astype(np.int64) + 2
+    s = np.frombuffer(raw + b"\0", np.uint8).astype(np.uint16) + 2
     s[base[1:] - 1] = 1
     s[n] = 0
     sa = induced_suffix_array(s)
-    plcp = permuted_common_prefixes(text, sa)
     left = np.zeros(n + 1, np.int64)
     for b, k in zip(base.tolist(), size.tolist(), strict=True):
         left[b : b + k] = np.arange(k, 0, -1)
-    run = np.cumsum(plcp[sa] < LIMIT)
-    whole = left[sa] >= LIMIT
-    sa, run = sa[whole], run[whole]
+    sa = sa[left[sa] >= LIMIT]
+    run = np.cumsum(permuted_common_prefixes(text, sa, whole=True)[sa] < LIMIT)
     cut = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     first = np.minimum.reduceat(sa, cut)
     later = np.zeros(n + 2, np.int8)

@@ -196,6 +196,27 @@ def test_induced_sorting(seed):
         assert sa.tolist() == suffix_dedup._by_doubling(s).tolist()
 
 
+@pytest.mark.parametrize("letters", [1, 3, 700])
+def test_doubling_orders_all_suffixes(letters):
+    rng = np.random.default_rng(letters)
+    s = np.append(np.tile(rng.integers(1, letters + 1, 300), 4), 0)
+    assert suffix_dedup._by_doubling(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_whole_prefixes_are_those_of_all_prefixes():
+    """Places that agree on the first or on the last bytes of a string only are no repeats; the work of a shard with few repeats is one comparison a place."""
+    rng = random.Random(21)
+    a, b = rng.randbytes(150), rng.randbytes(150)
+    raw = a + b + a[:60] + b[60:] + a + bytes([1]) * 120
+    s = np.frombuffer(raw + b"\0", np.uint8).astype(np.int64) + 1
+    s[-1] = 0
+    sa = suffix_dedup.induced_suffix_array(s)
+    assert sa.tolist() == suffix_dedup.induced_suffix_array(s.astype(np.uint16)).tolist()
+    text = np.frombuffer(raw + b"\0" + bytes(119), np.uint8)
+    every, whole = (suffix_dedup.permuted_common_prefixes(text, sa, whole=w) for w in (False, True))
+    assert ((every == 100) == (whole == 100)).all() and (every == 100).sum() > 51 and (whole <= every).all()
+
+
 def test_common_prefixes():
     raw = b"abcabcabcabcabcabcabcabdxabcabcabcabcabc" * 5
     s = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0)
