@@ -487,6 +487,39 @@ def test_fuzzy_lines_recall_on_the_test_data(spark):
     assert len(near) > 100 and got >= 0.9 * len(near)
 
 
+def test_crowded_lists_compare_only_lines_that_letters_allow(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [" ".join(word() for _ in range(20)) for _ in range(40)]
+    lines.append(lines[5][:60] + "é" + lines[5][61:])
+    compared, plain = [], line_dedup.within_edits
+    monkeypatch.setattr(line_dedup, "within_edits", lambda stages, classes, pairs: compared.append(pairs.count()) or plain(stages, classes, pairs))
+    with Stages(spark, "test") as stages:
+        classes = stages.write(spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "node long, norm string, len int"), "classes")
+        posts = stages.write(classes.select(F.lit(1).cast("long").alias("key"), "node", "len", F.lit(0).cast("long").alias("simhash")), "posts")
+        assert sorted(map(tuple, line_dedup._groups(stages, classes, posts).collect())) == [(5, 5), (40, 5)]
+    assert compared == [40, 1]
+
+
+def test_bitmaps_rule_out_no_line_within_edits(spark):
+    """Lines of 70 to 80 letters have bitmaps of 16 or 32 numbers, long ones several hundred; all have a tenth of their letters changed, left out or added."""
+    rng = random.Random(6)
+    rows = []
+    for size in [*range(60, 100), 700, 3000] * 3:
+        x = [rng.choice("abcdé\u2028\U0001f600 ") for _ in range(size)]
+        y = list(x)
+        for _ in range(size // 10 if size > 80 else 6):
+            at, way = rng.randrange(len(y)), rng.randrange(3)
+            y[at : at + (way != 2)] = [rng.choice("xyz")] if way else []
+        rows += [(len(rows), "".join(x), len(x)), (len(rows) + 1, "".join(y), len(y))]
+    lines = spark.createDataFrame(rows, "node long, norm string, len int")
+    held = lines.join(line_dedup.sketches(lines), "node")
+    other = held.select((F.col("node") - 1).alias("node"), F.col("len").alias("len_x"), F.col("sketch").alias("sketch_x"))
+    pairs = held.where("node % 2 = 0").join(other, "node")
+    assert pairs.count() == len(rows) // 2 == pairs.where(line_dedup._within_sketch("x")).count()
+    assert pairs.where("size(sketch) != size(sketch_x)").count() > 0
+
+
 def test_remembered_stretches_equal_the_plain_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
