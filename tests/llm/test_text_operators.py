@@ -540,3 +540,32 @@ def test_members_of_long_lists_all_meet(spark):
         classes = stages.write(table.select("node", "len", "norm"), "classes")
         posts = stages.write(table.select("key", "node", "len", "simhash"), "posts")
         assert [tuple(r) for r in line_dedup._groups(stages, classes, posts).orderBy("node").collect()] == [(2, 2), (3, 2)]
+
+
+def test_frequent_words_make_no_long_lists(spark):
+    """Half of all words are the same one; two lines that differ in a word, and two in a blank, still meet."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [" ".join(word() if rng.random() < 0.5 else "the" for _ in range(60)) for _ in range(200)]
+    lines += [lines[0][:100] + "é" + lines[0][101:], lines[1].replace(" ", "", 1)]
+    classes = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "node long, norm string, len int")
+    with Stages(spark, "test") as stages:
+        posts = stages.write(line_dedup.signatures(classes), "posts")
+        assert posts.groupBy("key").count().agg(F.max("count")).first()[0] <= 20
+        groups = line_dedup._groups(stages, classes, posts).where("node != component").collect()
+        assert sorted(map(tuple, groups)) == [(200, 0), (201, 1)]
+
+
+def test_stretches_rule_out_no_line_within_edits(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        x = "".join(rng.choice("abcdé\U0001f600 ") for _ in range(200))
+        y = list(x)
+        for at in rng.sample(range(200), 20):
+            y[at] = rng.choice("xyz")
+        rows.append((2 * i, x, 2 * i + 1, "".join(y)))
+    pairs = spark.createDataFrame(rows, "a long, x string, b long, y string")
+    assert pairs.where(f"{line_dedup._stretches('x', 'y')} <= 5 * 20").count() == 40
+    turned = pairs.where(f"{line_dedup._stretches('x', 'reverse(x)')} <= 5 * 20")
+    assert turned.count() == 0
