@@ -19,12 +19,14 @@ LINK_PERCENT = 75
 COORDINATES = 128
 #: A pair at similarity 0.75 agrees in fewer of 128 coordinates with probability about 1e-7.
 MATCHES = 70
-#: Fixed size of the table of coordinate-value counts that orders a signature from rare to frequent.
-COUNT_SLOTS = 1 << 16
-#: The same for the shingles of documents that meet again.
-SHINGLE_SLOTS = 1 << 14
+#: The tables of counts that order pairs of coordinate and value, and the shingles of documents that meet again, from rare to frequent
+#: have a slot for about so many of them, within these powers of two.
+SLOT_ELEMENTS = 32
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 #: Posting lists up to this length pair their members; longer ones meet on rare shingles.
 SHORT_LIST = 32
+#: The most ids that are sent to every executor in place of a shuffle of the texts: 16 MB, and some 64 MB as a hash table.
+BROADCAST_IDS = 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xFF51AFD7ED558CCD)
@@ -128,28 +130,41 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["id", "n_shingles", "set_key", "sig"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNT_SLOTS, np.int64)
-    for batch in batches:
-        if len(batch):
-            counts += np.bincount((_elements(_matrix(batch.column(0))) % np.uint64(COUNT_SLOTS)).astype(np.int64).ravel(), minlength=COUNT_SLOTS)
+def _slots(elements: int) -> int:
+    """Size of the table of counts for so many elements: a power of two."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (elements // SLOT_ELEMENTS).bit_length()))
+
+
+def _counted(counts: np.ndarray) -> pa.RecordBatch:
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+
+def _count_slots(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            if len(batch):
+                np.add.at(counts, (_elements(_matrix(batch.column(0))) % np.uint64(slots)).astype(np.int64).ravel(), 1)
+        yield _counted(counts)
+
+    return run
 
 
 def _post(counts, prefix: int):
     """Posts each signature under its `prefix` rarest coordinate-value pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.uint64(len(counts.value))
         for batch in batches:
             for part in range(0, len(batch), 2000):
                 rows = batch.slice(part, 2000)
                 e = _elements(_matrix(rows.column(2)))
-                order = np.argsort(counts.value[(e % np.uint64(COUNT_SLOTS)).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
+                order = np.argsort(counts.value[(e % slots).astype(np.int64)], axis=1, kind="stable")[:, :prefix]
                 key = np.take_along_axis(e, order, axis=1).view(np.int64).ravel()
                 ids, n = (np.repeat(rows.column(i).to_numpy(zero_copy_only=False), order.shape[1]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(n)], ["key", "id", "n"])
@@ -157,15 +172,54 @@ def _post(counts, prefix: int):
     return run
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures as the lowest byte of each coordinate, all that pairs carry."""
+    for batch in batches:
+        low = [m.tobytes() for m in _matrix(batch.column(1)).astype(np.uint8)] if len(batch) else []
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in MATCHES coordinates or more."""
+    """Pairs whose signatures agree in the lowest bytes of MATCHES coordinates or more: all that agree in so many, and hardly another."""
     for batch in batches:
         if len(batch):
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1) >= MATCHES
+            same = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).sum(axis=1) >= MATCHES
             mask = pa.array(same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits a shingle, a power of two in length, in which each shingle turns a bit over.
+
+    Bitmaps of two sets, the longer one's halves laid over each other by exclusive or, differ in as many bits as shingles are in one set only, at most.
+    """
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount(((s >> np.uint64(20)) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1)
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "bits"])
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets only, at least, by their bitmaps."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(p) < len(q):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link by their bitmaps: sets of n and m that do differ in (n + m) / 7 shingles at most."""
+    for batch in batches:
+        a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+        mask = pa.array([7 * _apart(p, q) <= i + j for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 100):
@@ -173,13 +227,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
 
 
-def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SHINGLE_SLOTS, np.int64)
-    for batch in batches:
-        for s in batch.column(0).to_pylist():
-            counts += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(SHINGLE_SLOTS)).astype(np.int64), minlength=SHINGLE_SLOTS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+def _count_shingles(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(counts, (np.frombuffer(s, np.uint64) % np.uint64(slots)).astype(np.int64), 1)
+        yield _counted(counts)
+
+    return run
 
 
 def _post_shingles(counts):
@@ -190,12 +246,13 @@ def _post_shingles(counts):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.uint64(len(counts.value))
         for batch in batches:
             keys, ids, comps, ns, places = [], [], [], [], []
             for i, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 n = len(s)
-                s = s[np.lexsort((s, counts.value[(s % np.uint64(SHINGLE_SLOTS)).astype(np.int64)]))[: n - (3 * n + 3) // 4 + 1]]
+                s = s[np.lexsort((s, counts.value[(s % slots).astype(np.int64)]))[: n - (3 * n + 3) // 4 + 1]]
                 keys.append(s.view(np.int64))
                 places.append(np.arange(len(s)))
                 for x, v in ((ids, i), (comps, c), (ns, n)):
@@ -206,12 +263,25 @@ def _post_shingles(counts):
     return run
 
 
-def _slot_counts(spark, counted: DataFrame, slots: int) -> np.ndarray:
-    """A table of fixed size on the driver."""
-    counts = np.zeros(slots, np.int64)
-    for slot, n in counted.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[slot] = n
-    return spark.sparkContext.broadcast(counts)
+def _slot_counts(stages: Stages, rows: DataFrame, count, slots: int):
+    """A table of counts for the executors, a byte a slot: the eighths of powers of two that a count reaches.
+
+    Rows are counted in about two tasks a core, so that tasks' tables don't outgrow the rows.
+    """
+    spark = rows.sparkSession
+    counted = rows.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(count(slots), "slot long, n long")
+    power = F.least(F.lit(255), F.floor(8 * F.log2(F.sum("n")))).cast("short").alias("power")
+    powers = np.zeros(slots, np.uint8)
+    counted = stages.write(counted.groupBy("slot").agg(power).select(F.col("slot").cast("int").alias("slot"), "power"), "counts")
+    for batch in counted.toArrow().to_batches():
+        powers[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    stages.drop(counted)
+    return spark.sparkContext.broadcast(powers)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """The ids, to be sent to every executor where they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        similarity of the full sets make a link.  A large group of near copies costs about one pair a member.
     4. Lists that then still hold several components: short ones pair their members across components; members
        of long ones meet across components where their full sets share one of their rarest shingles, which a
-       pair that passes must.  No link between two components is lost.
+       pair that passes must, and bitmaps of the sets don't rule the pair out.  No link between two components is lost.
 
     Texts that are null, empty or blank have no shingles and link with nothing; fewer than five words form one
     shingle.  Rows with a null id are returned with a null component, not kept, and link with nothing.
@@ -255,10 +325,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "sig"),
             "representatives",
         )
-        counts = _slot_counts(spark, reps.select("sig").mapInArrow(_count_slots, "slot long, n long"), COUNT_SLOTS)
+        # without the signatures, which only the representatives need
+        rows = stages.write(signed.select("id", "n_shingles", "set_key"), "rows")
+        stages.drop(signed)
+        counts = _slot_counts(stages, reps.select("sig"), _count_slots, _slots(COORDINATES * reps.count()))
         posts = stages.write(
             reps.select("id", "n_shingles", "sig").mapInArrow(_post(counts, COORDINATES - MATCHES + 1), "key long, id long, n long"), "postings"
         )
+        low = stages.write(reps.select("id", "sig").mapInArrow(_low_bytes, "id long, low binary"), "low-bytes")
+        stages.drop(reps)
         heads = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
         heads = stages.write(heads.select("key", F.col("head.id").alias("a"), F.col("head.n").alias("n_a")), "heads")
         shared = stages.write(posts.join(heads, "key"), "shared-postings")
@@ -266,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         alike = F.expr(f"100 * least(n_a, n) >= {LINK_PERCENT} * greatest(n_a, n)")
         star = shared.where((F.col("a") != F.col("id")) & alike).select("a", F.col("id").alias("b")).distinct()
         star = stages.write(star, "star-pairs")
-        links = _links(stages, texts, reps, star)
+        links = _links(stages, texts, low, star)
         grouped = stages.write(components(stages, links), "components")
 
         # lists that still hold several components
@@ -279,13 +354,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = short.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
         near = left.join(short, "key").where((F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & alike)
         near = near.select("a", F.col("id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = _links(stages, texts, reps, stages.write(near, "short-list-pairs"))
+        more = _links(stages, texts, low, stages.write(near, "short-list-pairs"))
 
         still = marked.join(mixed.where(F.col("size") > SHORT_LIST), "key").select("id", "c").distinct()
         still = stages.write(still, "open-documents")
-        stages.drop(marked, mixed, short, shared, reps)
-        sets = stages.write(texts.join(still, "id").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "open-shingles")
-        often = _slot_counts(spark, sets.select("shingles").mapInArrow(_count_shingles, "slot long, n long"), SHINGLE_SLOTS)
+        stages.drop(marked, mixed, short, shared, low)
+        sets = stages.write(texts.join(_few(still.select("id")), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "open-shingles")
+        held = sets.agg(F.sum(F.length("shingles") / 8)).first()[0]
+        often = _slot_counts(stages, sets.select("shingles"), _count_shingles, _slots(int(held or 0)))
         rare = sets.join(still, "id").select("id", "c", "shingles")
         rare = stages.write(rare.mapInArrow(_post_shingles(often), "key long, id long, c long, n long, place long"), "rare-shingles")
         left = rare.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("place").alias("place_a"))
@@ -293,26 +369,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = (F.col("a") < F.col("id")) & (F.col("c_a") != F.col("c")) & (F.col("n_a") - F.col("place_a") >= common) & (F.col("n") - F.col("place") >= common)
         rest = left.join(rare, "key").where(met)
         rest = stages.write(rest.select("a", F.col("id").alias("b")).distinct(), "rest-pairs")
-        more = more.union(_confirmed(stages, sets, rest))
+        bits = stages.write(sets.mapInArrow(_parities, "id long, n long, bits binary"), "parities")
+        both = rest.join(bits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
+        both = both.join(bits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b").select("a", "b", "n_a", "n_b", "x", "y")
+        possible = stages.write(both.mapInArrow(_possible, "a long, b long"), "possible-pairs")
+        stages.drop(rare, rest, bits)
+        more = more.union(_confirmed(stages, sets, possible))
         final = stages.write(components(stages, links.union(more)), "final-components")
 
         whole = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
         whole = stages.write(whole.select("set_key", F.coalesce("component", "rep").alias("component")), "class-components")
-        found = signed.select("id", "n_shingles", "set_key").join(whole, "set_key", "left")
+        found = rows.join(whole, "set_key", "left")
         component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
         named = own_ids(found.select("id", "n_shingles", component.alias("component_id")), names, "id", "component_id")
         kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(False))
         return stages.keep(named.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")))
 
 
-def _links(stages: Stages, texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(stages: Stages, texts: DataFrame, low: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that agree in MATCHES coordinates and whose full sets pass."""
-    signatures = reps.select("id", "sig")
-    with_a = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-    with_b = with_a.join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
+    with_a = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("x")), "a")
+    with_b = with_a.join(low.select(F.col("id").alias("b"), F.col("low").alias("y")), "b").select("a", "b", "x", "y")
     likely = stages.write(with_b.mapInArrow(_agree, "a long, b long"), "likely-pairs")
     wanted = stages.write(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "wanted")
-    sets = stages.write(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
+    sets = stages.write(texts.join(_few(wanted), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingles")
     links = _confirmed(stages, sets, likely)
     stages.drop(likely, wanted, sets)
     return links

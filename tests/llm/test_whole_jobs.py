@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from millrace.llm import decontaminate, quality, token_counts
+from millrace.llm import decontaminate, minhash_dedup, quality, token_counts
 from millrace.llm.queries import piece_model
 
 
@@ -81,3 +82,36 @@ def test_pipeline_decides_by_row(spark, tmp_path):
         assert len([t for t in texts if t in (b, near(b))]) == 1 and len([t for t in texts if t in (d, near(d))]) == 1
         assert len(got) == len(known) + 2 and near(c) not in texts
     assert all(i is None or i == 7 for i, _ in found[3] if (i, _) not in apart)
+
+
+def test_bitmaps_of_sets_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    for n, other, shared in ((1, 1, 1), (1, 1, 0), (90, 120, 85), (400, 300, 300), (3000, 2900, 2600), (64, 65, 0), (500, 500, 250)):
+        draw = np.unique(rng.integers(0, 1 << 63, n + other - shared + 9, dtype=np.uint64))
+        rng.shuffle(draw)
+        a, b = draw[:n], draw[n - shared : n - shared + other]
+        apart = minhash_dedup._apart(minhash_dedup.parity(a).tobytes(), minhash_dedup.parity(b).tobytes())
+        assert apart <= n + other - 2 * shared
+        if shared * 2 <= min(n, other) > 9:
+            assert 7 * apart > n + other  # sets half alike are ruled out
+
+
+def test_pairs_of_long_lists_are_ruled_out_before_sets_meet(spark, monkeypatch):
+    """One slot leaves no order, so all pairs share a shingle; the tables else grow with what they count."""
+    assert [minhash_dedup._slots(n) for n in (0, 1 << 20, 1 << 22, 1 << 25, 1 << 40)] == [1 << 16, 1 << 16, 1 << 18, 1 << 21, 1 << 22]
+    monkeypatch.setattr(minhash_dedup, "LEAST_SLOTS", 1)
+    monkeypatch.setattr(minhash_dedup, "MOST_SLOTS", 1)
+    compared, confirmed = [], minhash_dedup._confirmed
+
+    def counted(stages, sets, pairs):
+        compared.append(pairs.count())
+        return confirmed(stages, sets, pairs)
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", counted)
+    shared = [f"s{k}" for k in range(66)]
+    texts = [" ".join(shared + [f"u{i}x{k}" for k in range(34)]) for i in range(60)]
+    texts += [t + " end" for t in texts[::20]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(1, 61)} | {61: 1, 62: 21, 63: 41}
+    assert sum(compared) < 300  # of 1,953
