@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bundles inside bundles are followed this deep.
+from millrace.sources.staging import staged
+
+#: Bundles inside bundles are followed this deep by expand(), and to their end by expand_whole().
 MOST_DEPTH = 4
 #: Rows of daily sales that one task of attribute() sorts and sums.
 TASK_ROWS = 1 << 19
@@ -31,6 +33,18 @@ def expand(parts: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     return rows.groupBy("bundle", "sku").agg(F.sum("qty").alias("qty"))
 
 
+def expand_whole(parts: DataFrame) -> DataFrame:
+    """As expand(), however deep bundles are nested: level by level, each written, until no bundle is left to open."""
+    left = parts.select("bundle", F.col("bundle").alias("sku")).distinct().withColumns({"qty": F.lit(1.0), "path": F.array().cast("array<bigint>")})
+    inner = parts.select(F.col("bundle").alias("parent"), "component", F.col("qty").alias("times"))
+    held = left.select("bundle", "sku", "qty").limit(0)
+    while not left.isEmpty():
+        opened = staged(left.join(inner, (F.col("sku") == F.col("parent")) & ~F.array_contains("path", F.col("sku")), "left"))
+        held = held.union(opened.where("component IS NULL").select("bundle", "sku", "qty"))
+        left = opened.where("component IS NOT NULL").select("bundle", F.col("component").alias("sku"), (F.col("qty") * F.col("times")).alias("qty"), F.array_append("path", F.col("sku")).alias("path"))
+    return held.groupBy("bundle", "sku").agg(F.sum("qty").alias("qty"))
+
+
 def dependency(units: DataFrame, flat: DataFrame) -> DataFrame:
     """(sku, own_units, via_bundles, share_pct, bundle_driven) of products that sold through a bundle; units has (sku, units)."""
     pushed = flat.join(units.withColumnsRenamed({"sku": "bundle"}), "bundle").where("bundle != sku")

@@ -14,6 +14,7 @@ from millrace.plans.queries import (
     _bundle_parts, _residuals, daily, filled, rounded, stepped, with_,
 )
 from millrace.sources import ingest, tables
+from millrace.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,8 +647,12 @@ def event_faults(spark, d):
     return ingest.event_faults(events)
 
 
+#: BOM however deep bundles are nested.
+BOM_WHOLE = BOM.replace("depth < 4 AND ", "").replace("depth = 4 OR ", "")
+
+
 @query(
-    "WITH RECURSIVE " + BOM
+    "WITH RECURSIVE " + BOM_WHOLE
     + """, dl AS (SELECT l_partkey AS sku, CAST(l_shipdate AS DATE) AS ds, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
 x AS (SELECT flat.sku, ds, sum(y * qty) AS extra FROM dl JOIN flat ON flat.bundle = dl.sku WHERE flat.bundle <> flat.sku AND y > 0 GROUP BY 1, 2 HAVING sum(y * qty) > 0)
 SELECT coalesce(dl.sku, x.sku) AS sku, coalesce(dl.ds, x.ds) AS ds, coalesce(y, 0) + coalesce(extra, 0) AS y, coalesce(extra, 0) AS bundle_units, y IS NULL AS from_bundle_only FROM dl FULL JOIN x ON x.sku = dl.sku AND x.ds = dl.ds"""
@@ -657,7 +662,7 @@ def bundle_attribution(spark, d):
     tasks = 1 + lines.count() // bundles.TASK_ROWS
     dealt = lines.select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("ds"), "l_quantity").repartition(tasks, "sku", "ds")
     rows = dealt.groupBy("sku", "ds").agg(F.sum("l_quantity").alias("y"))
-    return bundles.attribute(rows, bundles.expand(_bundle_parts(spark, d)), tasks)
+    return bundles.attribute(rows, bundles.expand_whole(staged(_bundle_parts(spark, d))), tasks)
 
 
 @query(

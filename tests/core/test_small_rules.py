@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rules
 from millrace.operators import backtest, bands, bundles, calendar, demand, engines, holidays, livelog, planning, pricing, seasonality, telemetry
+from millrace.plans import decisions
 from millrace.plans import queries as plans
 from millrace.sources import ingest
 from millrace.streaming import events as stream
@@ -260,3 +261,19 @@ def test_summary_has_the_columns_of_its_sql(spark):
     held = duckdb.connect()
     held.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     assert plans.censoring_summary(spark, folder).columns == [r[0] for r in held.execute("DESCRIBE " + plans.CENSORING_SUMMARY).fetchall()]
+
+
+def test_bundles_are_followed_to_their_end(spark):
+    """Nine bundles in one another, beside a loop of six and a product that is reached by two ways."""
+    chain = [(k, k + 1, 2.0) for k in range(1, 10)]
+    loop = [(20 + k, 20 + (k + 1) % 6, 3.0) for k in range(6)]
+    ways = [(40, 41, 2.0), (40, 42, 3.0), (41, 43, 5.0), (42, 43, 7.0)]
+    got = {tuple(r) for r in bundles.expand_whole(bundles.normalise(frame(spark, chain + loop + ways, "bundle long, component long, qty double"))).collect()}
+    wanted = {(k, 10, 2.0 ** (10 - k)) for k in range(1, 10)} | {(20 + k, 20 + k, 3.0**6) for k in range(6)}
+    assert got == wanted | {(40, 43, 31.0), (41, 43, 5.0), (42, 43, 7.0)}
+    assert bundles.expand_whole(frame(spark, [], "bundle long, component long, qty double")).count() == 0
+
+
+def test_attribution_and_its_sql_have_no_depth():
+    sql = decisions.oracle_sql()["bundle_attribution"]
+    assert "depth <" not in sql and "depth =" not in sql and "depth < 4" in plans.oracle_sql()["bundle_expansion"]
