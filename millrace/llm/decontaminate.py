@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from millrace.llm.shared import Stages, text_bytes
+from millrace.llm.shared import Stages, giving_back, text_bytes
 
 #: Lower-cases A-Z and blanks every byte that belongs to no word; bytes from 0x80 are parts of letters.
 _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -143,6 +143,7 @@ def _scan(automaton, first: bool, last: bool, with_text: bool):
     All but the last pass carry the text on too.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton.value
         for batch in batches:

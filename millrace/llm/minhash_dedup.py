@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Stages, by_row, components, own_ids
+from millrace.llm.shared import Stages, by_row, components, giving_back, own_ids
 
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= 75 * union.
@@ -119,6 +119,7 @@ def _elements(sig: np.ndarray) -> np.ndarray:
     return e
 
 
+@giving_back
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, key, sig = [], [], []
@@ -158,6 +159,7 @@ def _count_slots(slots: int):
 def _post(counts, prefix: int):
     """Posts each signature under its `prefix` rarest coordinate-value pairs."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.uint64(len(counts.value))
         for batch in batches:
@@ -172,6 +174,7 @@ def _post(counts, prefix: int):
     return run
 
 
+@giving_back
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signatures as the lowest byte of each coordinate, all that pairs carry."""
     for batch in batches:
@@ -179,6 +182,7 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
 
 
+@giving_back
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in the lowest bytes of MATCHES coordinates or more: all that agree in so many, and hardly another."""
     for batch in batches:
@@ -197,6 +201,7 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(((s >> np.uint64(20)) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1)
 
 
+@giving_back
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
@@ -212,6 +217,7 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
+@giving_back
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that may link by their bitmaps: sets of n and m that do differ in (n + m) / 7 shingles at most."""
     for batch in batches:
@@ -220,6 +226,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 100):
@@ -245,6 +252,7 @@ def _post_shingles(counts):
     n - common + 1 of the one and m - common + 1 of the other.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.uint64(len(counts.value))
         for batch in batches:
@@ -284,6 +292,7 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+@giving_back
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []

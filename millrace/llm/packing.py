@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Stages, text_bytes
+from millrace.llm.shared import Stages, giving_back, text_bytes
 
 WINDOW = 2048
 END_ID = 1
@@ -179,6 +179,7 @@ def balance(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
 
 
 def _pack(path: str, window: int, end_id: int, piece: int, group_windows: int, with_ids: bool, remembered: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokenizer_at(path, remembered), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
