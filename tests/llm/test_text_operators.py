@@ -569,3 +569,16 @@ def test_stretches_rule_out_no_line_within_edits(spark):
     assert pairs.where(f"{line_dedup._stretches('x', 'y')} <= 5 * 20").count() == 40
     turned = pairs.where(f"{line_dedup._stretches('x', 'reverse(x)')} <= 5 * 20")
     assert turned.count() == 0
+
+
+def test_members_of_long_lists_meet_whatever_their_simhashes(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", 2)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    other, line = (" ".join(word() for _ in range(8)) for _ in range(2))
+    rows = [(1, other), (2, line), (3, line[:30] + "z" + line[31:])]
+    classes = spark.createDataFrame(rows, "node long, norm string")
+    posts = spark.createDataFrame([(1, n, len(t), (1 << 60) - 1 if n == 3 else 0) for n, t in rows], "key long, node long, len long, simhash long")
+    with Stages(spark, "test") as stages:
+        found = {tuple(r) for r in line_dedup._groups(stages, classes, posts).collect()}
+    assert found == {(2, 2), (3, 2)}
